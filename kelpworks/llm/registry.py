@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from kelpworks.llm.decontaminate import op2_decontaminate
 from kelpworks.llm.pii import op1_pii
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,3 +49,15 @@ def blocks_of(items, weight, most):
         total += w
     if block:
         yield block
+
+
+#: A side of a join is broadcast when it is counted and has at most so many keys of 12 bytes; beyond that both sides are shuffled.
+BROADCAST_KEYS = 500_000
+
+
+def only_or_without(docs: DataFrame, keys: DataFrame, how: str, cols: list[str]) -> DataFrame:
+    """docs joined left_semi or left_anti to a stored table of keys, which is broadcast where its counted size allows."""
+    keys = keys.select(*cols).distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, cols, how)
