@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from kelpworks.llm.decontaminate import op2_decontaminate
+from kelpworks.llm.language import op6_language
 from kelpworks.llm.pii import op1_pii
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op6_language": op6_language}
 
 
 def oracle_sql() -> dict[str, str]:
