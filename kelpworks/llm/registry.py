@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from kelpworks.llm.decontaminate import op2_decontaminate
 from kelpworks.llm.language import op6_language
+from kelpworks.llm.near_dedup import op7_near_dedup
 from kelpworks.llm.pii import op1_pii
 from kelpworks.llm.quality import op10_quality
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op6_language": op6_language, "op10_quality": op10_quality}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op6_language": op6_language, "op7_near_dedup": op7_near_dedup, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
