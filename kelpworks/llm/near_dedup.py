@@ -3,8 +3,9 @@
 1. Sketch: each document's set of distinct word shingles gives REGISTERS registers; a register is the truncated
    logarithm (base BASE) of the smallest of the shingles' exponential values, so sketches merge by maximum.
 2. Candidates: BANDS bands of ROWS registers. Equal sets are one node. In a bucket each node is compared with the one
-   that the most buckets point to, which is the common origin where copies differ among themselves. Nodes of one
-   bucket that are not connected after that are compared with each other, so no link depends on the choice.
+   that the most buckets point to, which is the common origin where copies differ among themselves. Nodes that share a
+   bucket but are not connected after that are joined on their rarest shingles (prefix_pairs), so no link depends on
+   the choice.
 3. Estimate: the likelihood of both sketches' register comparisons, given the set sizes, is maximised over the
    similarity; pairs far below the threshold are left out.
 4. Verify: full sets are compared; components of the verified links are the groups.
@@ -151,6 +152,28 @@ def verified(pairs: DataFrame, regs: DataFrame, sets: DataFrame, percent: int) -
     return stored(full.where(100 * same >= percent * (F.size("a_shingles") + F.size("b_shingles") - same)).select(*PAIR), "links")
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different groups, one of them `outside`, that can reach the similarity: no such pair is lost.
+
+    Sets are ordered from their rarest shingle on. Two that are similar enough share one within their first
+    n - ceil(n * percent / 100) + 1, and at the first that they share enough of both must be left.
+    """
+    own = nodes.join(sets, ["s1", "s2"])
+    single = own.select("s1", "s2", "group", "outside", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    rarity = stored(single.groupBy("shingle").agg(F.count("*").alias("held")), "rarity")
+    ordered = single.join(rarity, "shingle").groupBy("s1", "s2", "group", "outside", "n").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("order"))
+    prefix = F.slice(F.col("order.shingle"), F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    placed = stored(ordered.select("s1", "s2", "group", "outside", "n", F.posexplode(prefix).alias("at", "shingle")), "prefixes")
+    of = lambda df, s: df.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("s1", "s2", "group", "outside", "n", "at")))
+    x, y = of(placed.where("outside"), "x"), of(placed, "y")
+    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))  # the shared one and what follows it
+    total = F.col("x_n") + F.col("y_n")
+    once = ~F.col("y_outside") | (F.col("x_s1") < F.col("y_s1")) | ((F.col("x_s1") == F.col("y_s1")) & (F.col("x_s2") < F.col("y_s2")))
+    sizes = F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent
+    on = (x["shingle"] == y["shingle"]) & (F.col("x_group") != F.col("y_group")) & sizes & (left * (100 + percent) >= total * percent) & once
+    return x.join(y, on).select(F.col("x_s1").alias("a1"), F.col("x_s2").alias("a2"), F.col("y_s1").alias("b1"), F.col("y_s2").alias("b2")).distinct()
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """id, n (set size), component (smallest id of the group), one row per row of docs."""
     sketches = stored(sketch(docs, size, doc_id, text), "sketches")
@@ -179,18 +202,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     links = verified(pairs, regs, sets, percent)
     labels = label(links)
 
-    # what one bucket holds but the links with its hub don't connect: every node outside its largest group against the others
+    # what one bucket holds but the links with its hub don't connect: the nodes outside its largest group against all of these
     at = labels.select(F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), F.xxhash64("label").alias("group"))
     many = members.join(counts.where("held > 2").select("band"), "band").join(at, ["s1", "s2"], "left")
     many = stored(many.select("band", "s1", "s2", F.coalesce("group", F.xxhash64("s1", "s2")).alias("group")), "grouped")
     sizes = many.groupBy("band", "group").agg(F.count("*").alias("own"))
     largest = stored(sizes.groupBy("band").agg(F.max(F.struct("own", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("band", F.col("top.group").alias("top")), "largest")
     open_ = many.join(largest, "band")
-    outside = stored(open_.where("group != top").select("band", F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("group").alias("own")), "outside")
-    inside = stored(open_.select("band", F.col("s1").alias("b1"), F.col("s2").alias("b2"), "group"), "inside")
-    rest = outside.join(inside, "band").where("own != group").select(*PAIR)
-    flip = (F.col("a1") > F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") > F.col("b2")))
-    rest = rest.select(*(F.when(flip, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a1", "b1"), ("a2", "b2"), ("b1", "a1"), ("b2", "a2")))).distinct()
+    open_ = stored(open_.groupBy("s1", "s2", "group").agg(F.max(F.col("group") != F.col("top")).alias("outside")), "open")
+    rest = prefix_pairs(open_, sets, percent)
     more = verified(stored(rest, "rest"), regs, sets, percent)
     if not more.isEmpty():
         labels = label(links.unionByName(more))
