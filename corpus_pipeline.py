@@ -3,10 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kelpworks.llm.decontaminate import drop_contaminated
+from kelpworks.llm.line_dedup import drop_lines
+from kelpworks.llm.mixing import domain_of, mix
+from kelpworks.llm.near_dedup import drop_near
+from kelpworks.llm.quality import keep_good
 from kelpworks.llm.shared import stored, table
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose template recurs go; n_chars follows the text."""
+    names = docs.columns
+    return drop_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (5-word shingles, similarity 0.8) stays: the one with the smallest id."""
+    return drop_near(docs, size=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark text go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the targets of their domains ask for, with domain, rate and copy."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+    return mix(docs, labels)
+
+
+STAGES = [("quality", quality), ("line dedup", lines), ("near dedup", near), ("decontaminate", decontaminate), ("mixing", mixing)]
 #: SQL can't express the fitted models; the pipeline's tests hold it against brute force instead.
 ORACLE_SQL = None
 

@@ -140,20 +140,39 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], domains: list[str], st
     return F.when(F.col("tokens") > 0, rate_of(moves, width, ridge)).otherwise(1.0), start, now
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with domain (likeliest), posterior (in the order of the sorted targets), tokens, rate and copies."""
+def copies_of(k1: str, k2: str) -> Column:
+    """How often a document of column `rate` appears: rounded by a hash of its key, so that totals hold on average."""
+    chance = F.pmod(F.xxhash64(k1, k2, F.lit(88)), F.lit(1_000_000)) / 1e6
+    return (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long")
+
+
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], doc_id: str, text: str) -> tuple[DataFrame, tuple, Column]:
+    """The stored posteriors (k1, k2, __id, tokens, posterior), the classifier, and the rate as an expression over them."""
     domains = sorted(targets)
-    priors, weights = word_weights(docs, labels, doc_id, text)
-    scored = stored(with_posteriors(docs.select(F.col(doc_id), F.col(text)), priors, weights, domains, text).select(*row_key(F.col(doc_id), F.col(text)), F.col(doc_id).alias("__id"), "tokens", "posterior"), "posteriors")
-    rate, _, _ = fit_rates(scored, targets, domains)
-    chance = F.pmod(F.xxhash64("k1", "k2", F.lit(88)), F.lit(1_000_000)) / 1e6
-    best = F.get(F.array(*(F.lit(d) for d in domains)), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
-    rated = scored.withColumn("rate", rate)
-    return rated.select("__id", "k1", "k2", best.alias("domain"), "posterior", "tokens", "rate", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long").alias("copies"))
+    model = word_weights(docs, labels, doc_id, text)
+    scored = with_posteriors(docs.select(F.col(doc_id), F.col(text)), *model, domains, text)
+    scored = stored(scored.select(*row_key(F.col(doc_id), F.col(text)), F.col(doc_id).alias("__id"), "tokens", "posterior"), "posteriors")
+    return scored, model, fit_rates(scored, targets, domains)[0]
+
+
+def likeliest(targets: dict[str, float]) -> Column:
+    return F.get(F.array(*(F.lit(d) for d in sorted(targets))), F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs as often as their rates say, with domain, rate and copy (from 0); posteriors are computed anew, so no text is shuffled."""
+    _, model, rate = fit(docs, labels, targets, doc_id, text)
+    k1, k2 = row_key(F.col(doc_id), F.col(text))
+    own = [c for c in docs.columns if c not in ("domain", "rate", "copy", "tokens", "posterior")]
+    rated = with_posteriors(docs.select(*own), *model, sorted(targets), text).withColumn("rate", rate).withColumns({"domain": likeliest(targets), "__k1": k1, "__k2": k2})
+    times = rated.withColumn("__n", copies_of("__k1", "__k2")).where("__n > 0")
+    return times.select(*own, "domain", "rate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("copy"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates and copies of all documents; the domains good, low and toxic are learned from labels."""
     labels = table(spark, sf_dir, "labels").select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
-    found = mix(table(spark, sf_dir, "documents"), labels)
-    return found.select(F.col("__id").alias("doc_id"), "domain", "tokens", *(F.round(F.get("posterior", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))), F.round("rate", 6).alias("rate"), "copies")
+    scored, _, rate = fit(table(spark, sf_dir, "documents"), labels, TARGETS, "doc_id", "text")
+    found = scored.withColumn("rate", rate).withColumn("copies", copies_of("k1", "k2"))
+    shares = [F.round(F.get("posterior", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
+    return found.select(F.col("__id").alias("doc_id"), likeliest(TARGETS).alias("domain"), "tokens", *shares, F.round("rate", 6).alias("rate"), "copies")

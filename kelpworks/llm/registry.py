@@ -9,12 +9,13 @@ from kelpworks.llm.mixing import op8_mixing
 from kelpworks.llm.near_dedup import op7_near_dedup
 from kelpworks.llm.pii import op1_pii
 from kelpworks.llm.quality import op10_quality
+from kelpworks.llm.substring_dedup import op5_substring_dedup
 from kelpworks.llm.topk import OP4_SQL, op4_topk
 from kelpworks.llm.url_filter import op9_url_filter
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op3_line_dedup": op3_line_dedup, "op4_topk": op4_topk, "op6_language": op6_language, "op7_near_dedup": op7_near_dedup, "op8_mixing": op8_mixing, "op9_url_filter": op9_url_filter, "op10_quality": op10_quality}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op3_line_dedup": op3_line_dedup, "op4_topk": op4_topk, "op5_substring_dedup": op5_substring_dedup, "op6_language": op6_language, "op7_near_dedup": op7_near_dedup, "op8_mixing": op8_mixing, "op9_url_filter": op9_url_filter, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
