@@ -25,35 +25,37 @@ MIN_DOCS, DEPTH, SIMILAR, COPY = 10, 3, 0.5, 0.8
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
-def tokens(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
-    return F.filter(F.split(masked, r"\s+"), lambda t: t != "")
+def clean(line: Column) -> Column:
+    """Tokens with one space between, those with a digit as a wildcard."""
+    spaced = F.when(line.rlike(r"[\t\x0B\f\r]|\x20\x20|^\x20|\x20$"), F.trim(F.regexp_replace(line, r"\s++", " "))).otherwise(line)
+    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, VARIABLE, "<*>")).otherwise(spaced)
 
 
-def leaf_of(own: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(own), F.slice(own, 1, depth))
+def leaf_of(line: Column, depth: int) -> Column:
+    return F.xxhash64(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))), F.substring_index(line, " ", depth))
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """k1, k2, place (from 0), own (tokens) of every line that isn't blank."""
-    at = docs.where(F.col(text).isNotNull()).select(*row_key(F.col(doc_id), F.col(text)), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    return at.where(F.trim("line") != "").select("k1", "k2", "place", tokens(F.col("line")).alias("own")).where(F.size("own") > 0)
+    """k1, k2, place (from 0), raw of every line that isn't empty."""
+    at = docs.where(F.col(text).isNotNull()).select(*row_key(F.col(doc_id), F.col(text)), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
+    return at.where("raw != ''")
 
 
 def recurring(docs: DataFrame, doc_id: str, text: str, min_docs: int, depth: int, similar: float) -> DataFrame:
     """k1, k2, place of every line whose template recurs."""
-    lines = _lines(docs, doc_id, text).select("k1", "k2", "place", leaf_of(F.col("own"), depth).alias("leaf"), F.xxhash64("own").alias("line"))
-    lines = stored(lines, "lines")
+    lines = _lines(docs, doc_id, text).select("k1", "k2", "place", "raw", clean(F.col("raw")).alias("line")).where("line != ''")
+    lines = stored(lines.select("k1", "k2", "place", leaf_of(F.col("line"), depth).alias("leaf"), F.xxhash64("line").alias("line"), F.xxhash64("raw").alias("raw")), "lines")
     leaves = stored(lines.groupBy("leaf").agg(F.count_distinct("k1").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "leaves")
     shared = lines.join(leaves, "leaf")
-    counted = stored(shared.groupBy("leaf", "line").agg(F.count_distinct("k1").alias("docs")), "shared-lines")
+    counted = stored(shared.groupBy("leaf", "line").agg(F.count_distinct("k1").alias("docs"), F.min("raw").alias("raw")), "shared-lines")
     plain = counted.where(F.col("docs") >= min_docs).select("line")
 
     # the tokens of the other lines, each once
     rare = counted.where(F.col("docs") < min_docs)
-    whole = _lines(docs, doc_id, text).select(F.xxhash64("own").alias("line"), "own")
-    texts = only_or_without(whole, rare, "left_semi", ["line"])
-    places = texts.groupBy("line").agg(F.first("own").alias("own")).join(rare, "line").select("leaf", "line", "docs", F.posexplode(F.transform("own", lambda t: F.xxhash64(t))).alias("at", "token"))
+    whole = _lines(docs, doc_id, text).select(F.xxhash64("raw").alias("raw"), F.col("raw").alias("text"))
+    texts = only_or_without(whole, rare, "left_semi", ["raw"]).groupBy("raw").agg(F.first("text").alias("text"))
+    own = texts.join(rare, "raw").select("leaf", "line", "docs", F.split(clean(F.col("text")), " ").alias("own"))
+    places = own.select("leaf", "line", "docs", F.posexplode(F.transform("own", lambda t: F.xxhash64(t))).alias("at", "token"))
     places = stored(places, "tokens")
     fixed = stored(places.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("stays")), "fixed")
     marked = places.join(fixed, ["leaf", "at", "token"], "left").select("leaf", "line", "docs", "at", F.when(F.col("stays"), F.col("token")).alias("token"))
@@ -71,7 +73,8 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     drops = recurring(docs, doc_id, text, min_docs, depth, similar).groupBy("k1", "k2").agg(F.collect_set("place").alias("__places"))
     drops = stored(drops.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.array_sort("__places").alias("__places")), "drops")
     both = docs.withColumns({"__k1": k1, "__k2": k2}).join(drops, ["__k1", "__k2"], "left")
-    lines = F.split(text, "\n")
+    both = both.withColumn("__lines", F.when(F.col("__places").isNotNull(), F.split(text, "\n")))
+    lines = F.col("__lines")
     gone = F.aggregate("__places", F.lit(0), lambda a, i: a + F.length(F.get(lines, i)))
     total = F.length(F.regexp_replace(text, "\n", ""))
     copied = F.coalesce(gone >= copy * total, F.lit(False))
