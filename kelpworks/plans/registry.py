@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from kelpworks.plans import evaluation, relational, retrieval, texts
+
+MODULES = (retrieval, relational, texts, evaluation)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
