@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Latin letters with a mark, by the letter that they decompose to; d with stroke has no decomposition.
 _PAIRS = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", chr(c))) > 1}
@@ -65,7 +66,7 @@ def clean_text(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
@@ -98,7 +99,7 @@ def repaired(text: str | None) -> str | None:
     return min(found, key=lambda t: (marker_hits(t) + 2 * t.count("�"), len(t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _repair(s: pd.Series) -> pd.Series:
     return s.map(repaired)
 

@@ -113,6 +113,7 @@ KEEP = "WITH m AS (SELECT conv_id, turn, coalesce(contains(text, ':') AND length
 
 #: Items of an order have no unique number, so the part and the price settle its order.
 _PLACE = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+_RANK = "CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT)"
 
 
 def chunk_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,23 +141,23 @@ SELECT conv_id, block, first(kind) AS kind, count(*) AS n_lines, string_agg(role
 
 def citation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order the first known flag and ship mode of its items, and all distinct suppliers in order."""
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select("l_orderkey", (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("place"), F.nullif(F.col("l_returnflag"), F.lit("N")).alias("flag"), (F.col("l_suppkey") % 5).alias("page"))
+    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select("l_orderkey", F.expr(_RANK).alias("place"), F.nullif(F.col("l_returnflag"), F.lit("N")).alias("flag"), (F.col("l_suppkey") % 5).alias("page"))
     merged = merged_citations(items, ["l_orderkey"], "place", ["flag"], ["page"])
     return merged.select("l_orderkey", "flag", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "first_rank")
 
 
-CITATIONS = """WITH i AS (SELECT l_orderkey, l_linenumber * 10000000 + l_partkey AS place, nullif(l_returnflag, 'N') AS flag, l_suppkey % 5 AS page FROM lineitem WHERE l_orderkey % 3 = 0),
+CITATIONS = f"""WITH i AS (SELECT l_orderkey, {_RANK} AS place, nullif(l_returnflag, 'N') AS flag, l_suppkey % 5 AS page FROM lineitem WHERE l_orderkey % 3 = 0),
 p AS (SELECT l_orderkey, page, min(place) AS n FROM i GROUP BY l_orderkey, page), q AS (SELECT l_orderkey, string_agg(CAST(page AS VARCHAR), ',' ORDER BY n) AS pages FROM p GROUP BY l_orderkey)
 SELECT i.l_orderkey, arg_min(flag, place) FILTER (flag IS NOT NULL) AS flag, any_value(pages) AS pages, min(place) AS first_rank FROM i JOIN q ON i.l_orderkey = q.l_orderkey GROUP BY i.l_orderkey"""
 
 
 def citation_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of an order: returned ones first, then by price, then as they stood."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("planning"), F.col("l_extendedprice").alias("score"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("index"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("planning"), F.col("l_extendedprice").alias("score"), F.expr(_RANK).alias("index"))
     return reranked(items, "l_orderkey", "planning", "score", "index").where("place <= 2").select("l_orderkey", "l_linenumber", "place")
 
 
-RANK = "SELECT l_orderkey, l_linenumber, place FROM (SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R' DESC, l_extendedprice DESC, l_linenumber, l_partkey) AS INTEGER) AS place FROM lineitem) WHERE place <= 2"
+RANK = f"SELECT l_orderkey, l_linenumber, place FROM (SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag = 'R' DESC, l_extendedprice DESC, {_RANK}) AS INTEGER) AS place FROM lineitem) WHERE place <= 2"
 
 
 def fallback_union(spark: SparkSession, sf_dir: str) -> DataFrame:
