@@ -28,6 +28,8 @@ from kelpworks.llm.shared import row_key, stored, table
 TERMS, SAMPLE = 200, 10_000
 #: Steps of the projected gradient, and the weight of the ridge against the misses.
 STEPS, RIDGE = 40, 1e-3
+#: The steps end when no domain's share of the tokens moves by more.
+SETTLED = 2e-5
 #: Target shares of the expected tokens by domain.
 TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
 
@@ -134,8 +136,8 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], domains: list[str], st
         wanted = [w / whole for w in wanted]
         for _ in range(steps):
             moves.append([(s - w) / max(b, 1e-6) for s, w, b in zip(now, wanted, start, strict=True)])
-            n, now = totals()
-            if max(abs(s - w) for s, w in zip(now, wanted, strict=True)) < 1e-4:
+            before, (n, now) = now, totals()
+            if max(abs(s - b) for s, b in zip(now, before, strict=True)) < SETTLED:
                 break
     return F.when(F.col("tokens") > 0, rate_of(moves, width, ridge)).otherwise(1.0), start, now
 
@@ -165,8 +167,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     k1, k2 = row_key(F.col(doc_id), F.col(text))
     own = [c for c in docs.columns if c not in ("domain", "rate", "copy", "tokens", "posterior")]
     rated = with_posteriors(docs.select(*own), *model, sorted(targets), text).withColumn("rate", rate).withColumns({"domain": likeliest(targets), "__k1": k1, "__k2": k2})
-    times = rated.withColumn("__n", copies_of("__k1", "__k2")).where("__n > 0")
-    return times.select(*own, "domain", "rate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("copy"))
+    times = rated.withColumn("__n", copies_of("__k1", "__k2"))
+    # no filter below the generator: it would be pushed down and compute the posteriors again for each use
+    spread = F.explode_outer(F.slice(F.sequence(F.lit(0).cast("long"), F.col("__n")), F.lit(1), F.col("__n").cast("int")))
+    return times.select(*own, "domain", "rate", spread.alias("copy")).where("copy is not null")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
