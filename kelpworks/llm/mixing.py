@@ -62,6 +62,8 @@ def word_weights(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(picked), "__id")  # at most sample ids a domain
     rows = stored(rows.select("domain", F.array_distinct(F.concat(words_of(F.col("text")), signs_of(F.col("text")))).alias("terms")), "labelled")
     size = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
+    if not size:  # none of the labelled documents is there
+        return {}, {}
     held = rows.select("domain", F.explode("terms").alias("term")).groupBy("term").agg(*(F.count_if(F.col("domain") == d).alias(d) for d in sorted(size)))
     rates = {d: (F.col(d) + 0.1) / (size[d] + 0.2) for d in size}
     seen = reduce(lambda a, b: a + b, (F.col(d) for d in size))
@@ -162,7 +164,7 @@ def likeliest(targets: dict[str, float]) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs as often as their rates say, with domain, rate and copy (from 0); posteriors are computed anew, so no text is shuffled."""
+    """docs as often as their rates say, with domain, rate and copy (from 0; such columns of docs are replaced). Posteriors are computed anew, so no text is shuffled."""
     _, model, rate = fit(docs, labels, targets, doc_id, text)
     k1, k2 = row_key(F.col(doc_id), F.col(text))
     own = [c for c in docs.columns if c not in ("domain", "rate", "copy", "tokens", "posterior")]
