@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpworks.operators.cases import cost_by_case, highlights, listing_text, merged_results, plan_year, stated_facts, target_score, within_budget, zipped
 from kelpworks.operators.evaluation import THRESHOLDS, balanced_sample, case_table, configurations, cost_proxy, eligible, metric_stats, profile, scorecard, top_report, value_counts
 from kelpworks.plans.tables import table
 
@@ -139,5 +140,72 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROBIN = """WITH r AS (SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS turn, min(doc_id) OVER (PARTITION BY source) AS f FROM documents)
 SELECT doc_id, source, turn FROM r ORDER BY turn, f, doc_id LIMIT 30"""
 
-QUERIES = {"eligible_configurations": eligible_configurations, "report_table": report_table, "configuration_grid": configuration_grid, "metric_statistics": metric_statistics, "case_pivot": case_pivot, "score_card": score_card, "counts_by_field": counts_by_field, "runtime_profile": runtime_profile, "round_robin": round_robin}
-SQL = {"eligible_configurations": ELIGIBLE, "report_table": REPORT, "configuration_grid": GRID, "metric_statistics": STATS, "case_pivot": CASES, "score_card": CARD, "counts_by_field": COUNTS, "runtime_profile": PROFILE, "round_robin": ROBIN}
+
+def judge_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs of two batches of cases, by the case that stands at the same position."""
+    events = table(spark, sf_dir, "events").where("event_id < 300").select("event_id", F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("cost"))
+    merged = merged_results([events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")], "event_id")
+    goldens = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("position"), F.col("o_orderpriority").alias("golden"))
+    return cost_by_case(zipped(merged, goldens, "position"), "golden", "cost")
+
+
+JUDGE = """WITH e AS (SELECT event_id, event_id % 2 AS batch, CASE WHEN event_id % 7 <> 0 THEN value END AS cost FROM events WHERE event_id < 300), p AS (SELECT *, row_number() OVER (ORDER BY batch, event_id) - 1 AS position FROM e)
+SELECT o_orderpriority AS golden, round(sum(cost), 8) AS cost FROM p JOIN orders ON o_orderkey = position GROUP BY o_orderpriority"""
+
+
+def probe_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source the documents in order until 8 or 3200 characters are reached."""
+    return within_budget(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "doc_id", "text", 8, 3200).select("source", "doc_id")
+
+
+PROBE = "WITH d AS (SELECT source, doc_id, row_number() OVER w - 1 AS n, sum(length(text)) OVER w - length(text) AS c FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) SELECT source, doc_id FROM d WHERE n < 8 AND c < 3200"
+
+
+def target_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by what they say of a target's values."""
+    docs = table(spark, sf_dir, "documents").withColumn("score", F.round(target_score(F.col("text"), [2.5, 555, 7, "License", "GNU General Public License"], {"k": ("version", "apache")}), 6))
+    return docs.where("score > 0").groupBy("score").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+TARGET = """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT doc_id, round(CASE WHEN contains(t, '2.5') OR contains(t, '2,5') THEN 5.0::DOUBLE ELSE 0 END + CASE WHEN contains(t, '555') THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN contains(t, '7') THEN 1.1::DOUBLE ELSE 0 END
++ CASE WHEN contains(t, 'license') THEN 2.4::DOUBLE ELSE 0 END + CASE WHEN contains(t, 'gnu general public license') THEN 3.4::DOUBLE ELSE 0 END + CASE WHEN contains(t, 'version') THEN 0.55::DOUBLE ELSE 0 END + CASE WHEN contains(t, 'apache') THEN 0.55::DOUBLE ELSE 0 END, 6) AS score FROM d)
+SELECT score, count(*) AS n, min(doc_id) AS first_id FROM s WHERE score > 0 GROUP BY score"""
+
+
+def plan_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years that talks of orders name, the user's newest first."""
+    talk = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("conv_id"), F.col("o_orderkey").alias("turn"), F.when(F.col("o_orderkey") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("ke hoach nam "), F.when(F.col("o_orderkey") % 2 == 0, 2000 + F.col("o_orderkey") % 30).otherwise(1990)).alias("text"))
+    return plan_year(talk)
+
+
+YEARS = """WITH t AS (SELECT o_custkey AS conv_id, o_orderkey AS turn, o_orderkey % 3 = 0 AS own, CAST(2000 + o_orderkey % 30 AS INTEGER) AS y FROM orders WHERE o_orderkey % 2 = 0)
+SELECT conv_id, coalesce(arg_max(y, turn) FILTER (own), arg_max(y, turn)) AS plan_year FROM t GROUP BY conv_id"""
+
+
+def listing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of orders as listings, with their parts as amenities and items as nearby places."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey")
+    near = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("amenities"), F.array_sort(F.collect_list(F.struct((F.col("l_quantity") * 50).alias("metres"), F.col("p_name").alias("name")))).alias("utilities"))
+    rows = table(spark, sf_dir, "orders").join(near, F.col("o_orderkey") == F.col("l_orderkey"))
+    row = {"post_id": F.col("o_orderkey"), "post_type": F.when(F.col("o_orderstatus") == "O", "SALE").otherwise("RENT"), "category": F.col("o_orderpriority"), "price": F.round("o_totalprice").cast("long"), "area": F.lit(None)}
+    return rows.select("o_orderkey", F.md5(listing_text(row, F.col("amenities"), F.col("utilities")).cast("binary")).alias("digest"))
+
+
+LISTINGS = """WITH i AS (SELECT *, l_quantity * 50 AS m FROM lineitem JOIN part ON p_partkey = l_partkey), n AS (SELECT l_orderkey, string_agg(DISTINCT '• ' || p_brand, chr(10) ORDER BY '• ' || p_brand) AS a,
+string_agg('• ' || p_name || ' - ' || CASE WHEN m >= 1000 THEN regexp_replace(format('{:.1f}', m / 1000), '\\.0$', '') || ' km' ELSE CAST(CAST(round(m) AS BIGINT) AS VARCHAR) || ' m' END, chr(10) ORDER BY m, p_name) AS u FROM i GROUP BY l_orderkey)
+SELECT o_orderkey, md5('LISTING_ID: ' || o_orderkey || chr(10) || 'Loại: ' || CASE WHEN o_orderstatus = 'O' THEN 'Cần bán' ELSE 'Cho thuê' END || chr(10) || 'Danh mục: ' || o_orderpriority || chr(10) || 'Giá: ' || CAST(round(o_totalprice) AS BIGINT) || ' VNĐ' || chr(10) || 'Diện tích: N/A m²' || chr(10) || '--- TIỆN ÍCH NỘI KHU ---' || chr(10) || a || chr(10) || '--- TIỆN ÍCH XUNG QUANH ---' || chr(10) || u) AS digest FROM orders JOIN n ON l_orderkey = o_orderkey"""
+
+
+def expected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of expected outputs and highlights, made of each customer."""
+    c = table(spark, sf_dir, "customer").where("c_custkey <= 200")
+    expected = F.concat(F.lit("- Nêu đúng giá bán: "), F.col("c_custkey"), F.lit(" tỷ\n1. Không suy đoán\nXác định rằng quận "), F.col("c_name"), F.lit("\nlời chào"))
+    listed = F.concat_ws("|", F.col("c_name"), F.lit("gần trường học"), F.col("c_mktsegment"))
+    return c.select("c_custkey", stated_facts(expected).alias("facts"), highlights(F.lit("có trường nào gần không"), listed).alias("highlights"))
+
+
+FACTS = "SELECT c_custkey, 'Giá: ' || c_custkey || ' tỷ' || chr(10) || 'quận ' || c_name AS facts, 'gần trường học' AS highlights FROM customer WHERE c_custkey <= 200"
+
+
+QUERIES = {"eligible_configurations": eligible_configurations, "report_table": report_table, "configuration_grid": configuration_grid, "metric_statistics": metric_statistics, "case_pivot": case_pivot, "score_card": score_card, "counts_by_field": counts_by_field, "runtime_profile": runtime_profile, "round_robin": round_robin, "judge_costs": judge_costs, "probe_budget": probe_budget, "target_rank": target_rank, "plan_years": plan_years, "listing_texts": listing_texts, "expected_facts": expected_facts}
+SQL = {"eligible_configurations": ELIGIBLE, "report_table": REPORT, "configuration_grid": GRID, "metric_statistics": STATS, "case_pivot": CASES, "score_card": CARD, "counts_by_field": COUNTS, "runtime_profile": PROFILE, "round_robin": ROBIN, "judge_costs": JUDGE, "probe_budget": PROBE, "target_rank": TARGET, "plan_years": YEARS, "listing_texts": LISTINGS, "expected_facts": FACTS}
