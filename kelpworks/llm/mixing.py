@@ -31,7 +31,7 @@ STEPS, RIDGE = 40, 1e-3
 #: The steps end when no domain's share of the tokens moves by more.
 SETTLED = 2e-5
 #: Target shares of the expected tokens by domain.
-TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
+TARGETS = {"good": 0.92, "low": 0.08, "toxic": 0.0}
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:

@@ -221,10 +221,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those of a group but its smallest id, all columns as they were."""
-    gone = near_groups(docs, doc_id, text, size, percent).where("id != component").select(F.col("id").alias("__id"))
-    keyed = docs.withColumn("__id", F.col(doc_id))
-    return only_or_without(keyed, stored(gone, "copies"), "left_anti", ["__id"]).select(*docs.columns)
+    """docs without those of a group but its smallest id, all columns as they were; of repeated rows one stays.
+
+    An id names one document: rows of one id go or stay together, and of those with one text the first is kept.
+    """
+    found = stored(near_groups(docs, doc_id, text, size, percent), "groups-of-rows")
+    gone = found.where("id != component").select(F.col("id").alias("__id"))
+    kept = only_or_without(docs.withColumn("__id", F.col(doc_id)), gone, "left_anti", ["__id"])
+    again = stored(found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id")), "repeated")
+    if not again.isEmpty():
+        once = only_or_without(kept, again, "left_semi", ["__id"]).dropDuplicates([doc_id, text])
+        kept = only_or_without(kept, again, "left_anti", ["__id"]).unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

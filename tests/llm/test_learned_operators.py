@@ -53,7 +53,7 @@ def test_near_groups_of_a_star_a_chain_and_odd_rows(spark):
     found = near_dedup.near_groups(df, size=2).collect()
     assert {r.id: r.component for r in found} == wanted and len(found) == len(texts) + 2
     kept = near_dedup.drop_near(df, size=2)
-    assert {r.doc_id for r in kept.collect()} == set(wanted.values()) and kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(wanted.values())) and kept.columns == df.columns
     assert near_dedup.near_groups(df.limit(0)).count() == 0
 
 
