@@ -115,10 +115,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         return pa.array([features_of(t).tolist() for t in texts], pa.list_(pa.float32()))
 
     got = mapped(rows, "text", "x", T.ArrayType(T.FloatType()), many).select("x", "y").toArrow()
-    y = np.array(got.column("y").to_pylist(), int)
+    y = got.column("y").to_numpy().astype(int)
     if len(set(y.tolist())) < 2:
         return None
-    x = np.array(got.column("x").to_pylist(), float)
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), -1).astype(float)
     return Model(x, y, there[0] / (there[0] + there[1])).parts()
 
 
