@@ -223,4 +223,30 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold passages of the benchmark."""
     found = verdicts(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.size("near").cast("long").alias("n_near"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+#: The same in DuckDB: words of both sides, windows of the lengths that occur, joined as texts.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark
+), bw AS (
+  SELECT item_id, least(13, len(ws)) AS n, unnest(range(1, greatest(2, len(ws) - 11))) AS i, ws FROM b WHERE len(ws) > 0
+), win AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS w FROM bw
+), dw AS (
+  SELECT doc_id, n, i, array_to_string(ws[i : i + n - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, l.n, unnest(range(1, len(ws) - l.n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) l WHERE len(ws) >= l.n)
+), hit AS (
+  SELECT doc_id, i, dw.n, item_id FROM dw JOIN win ON dw.n = win.n AND dw.w = win.w
+), places AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM hit GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN places ON d.doc_id = places.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""

@@ -89,3 +89,37 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents without lines whose template recurs, as digests: how many lines were dropped, which, and what is left."""
     found = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
     return found.select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.transform("dropped", lambda i: i.cast("string")), ",").alias("dropped"), "copied", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+#: The same in DuckDB, with texts of lines and templates instead of hashes.
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, place, ls[place + 1] AS raw, list_transform(list_filter(regexp_split_to_array(ls[place + 1], '[ \t\n\x0B\f\r]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS own
+  FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS place FROM d)
+), k AS (
+  SELECT *, array_to_string(own, ' ') AS line, len(own) || '|' || array_to_string(own[1:{DEPTH}], ' ') AS leaf FROM l WHERE len(own) > 0
+), counted AS (
+  SELECT leaf, line, any_value(own) AS own, count(DISTINCT doc_id) AS docs FROM k
+  WHERE leaf IN (SELECT leaf FROM k GROUP BY leaf HAVING count(DISTINCT doc_id) >= {MIN_DOCS}) GROUP BY leaf, line
+), places AS (
+  SELECT leaf, line, docs, i, own[i] AS token FROM (SELECT *, unnest(range(1, len(own) + 1)) AS i FROM counted WHERE docs < {MIN_DOCS})
+), fixed AS (
+  SELECT leaf, i, token FROM places GROUP BY leaf, i, token HAVING sum(docs) >= {MIN_DOCS}
+), named AS (
+  SELECT p.leaf, p.line, any_value(docs) AS docs, string_agg(coalesce(f.token, chr(1)), ' ' ORDER BY p.i) AS template
+  FROM places p LEFT JOIN fixed f ON p.leaf = f.leaf AND p.i = f.i AND p.token = f.token GROUP BY p.leaf, p.line HAVING count(f.token) >= {SIMILAR} * count(*)
+), dropped AS (
+  SELECT line FROM counted WHERE docs >= {MIN_DOCS}
+  UNION SELECT line FROM named WHERE (leaf, template) IN (SELECT (leaf, template) FROM named GROUP BY leaf, template HAVING sum(docs) >= {MIN_DOCS})
+), gone AS (
+  SELECT doc_id, list_sort(list(place)) AS places, sum(length(raw)) AS n FROM k WHERE line IN (SELECT line FROM dropped) GROUP BY doc_id
+), judged AS (
+  SELECT d.doc_id, text, ls, places, coalesce(n >= CAST({COPY} AS DOUBLE) * length(replace(text, chr(10), '')), false) AS copied FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
+), texts AS (
+  SELECT doc_id, copied, CASE WHEN copied OR places IS NULL THEN [] ELSE places END AS places,
+         CASE WHEN copied OR places IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(0, len(ls)), lambda i: NOT list_contains(places, i)), lambda i: ls[i + 1]), chr(10)) END AS t FROM judged
+)
+SELECT doc_id, CAST(len(places) AS BIGINT) AS n_dropped, array_to_string(places, ',') AS dropped, copied, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS text_sha256 FROM texts
+"""

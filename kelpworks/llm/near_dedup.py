@@ -239,3 +239,28 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 2-word shingles have a similarity of 0.8 or more."""
     found = near_groups(table(spark, sf_dir, "documents"), size=2, percent=80)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()).alias("kept"))
+
+
+#: The same in DuckDB: shared shingles of distinct sets are counted pair by pair, links followed to the smallest id.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) END AS sh FROM d
+), nodes AS (
+  SELECT min(doc_id) AS node, sh FROM s WHERE len(sh) > 0 GROUP BY sh
+), one AS (
+  SELECT node, len(sh) AS n, unnest(sh) AS x FROM nodes
+), links AS (
+  SELECT a.node AS a, b.node AS b FROM one a JOIN one b ON a.x = b.x AND a.node <> b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT node, node AS label FROM nodes
+  UNION
+  SELECT links.b, reach.label FROM reach JOIN links ON links.a = reach.node
+), least_of AS (
+  SELECT node, min(label) AS label FROM reach GROUP BY node
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(label, s.doc_id) AS component_id, s.doc_id = coalesce(label, s.doc_id) AS kept
+FROM s LEFT JOIN nodes ON nodes.sh = s.sh LEFT JOIN least_of ON least_of.node = nodes.node
+"""

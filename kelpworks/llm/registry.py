@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from kelpworks.llm.decontaminate import op2_decontaminate
+from kelpworks.llm.decontaminate import OP2_SQL, op2_decontaminate
 from kelpworks.llm.language import op6_language
-from kelpworks.llm.line_dedup import op3_line_dedup
+from kelpworks.llm.line_dedup import OP3_SQL, op3_line_dedup
 from kelpworks.llm.mixing import op8_mixing
-from kelpworks.llm.near_dedup import op7_near_dedup
+from kelpworks.llm.near_dedup import OP7_SQL, op7_near_dedup
 from kelpworks.llm.pii import op1_pii
 from kelpworks.llm.quality import op10_quality
 from kelpworks.llm.substring_dedup import op5_substring_dedup
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": OP4_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_topk": OP4_SQL, "op7_near_dedup": OP7_SQL}

@@ -3,7 +3,7 @@
 
 import brute
 import pytest
-from kelpworks.llm import decontaminate, line_dedup, pii, topk
+from kelpworks.llm import decontaminate, line_dedup, pii, registry, topk
 from oracle import same
 from pyspark.sql import functions as F
 
@@ -103,8 +103,9 @@ def test_repeated_rows_count_as_one_document_and_empty_tables_stay_empty(spark):
     assert line_dedup.drop_lines(twice.limit(0)).count() == 0
 
 
-def test_topk_query_agrees_with_sql(spark, sf_dir):
-    same(topk.op4_topk(spark, sf_dir), topk.OP4_SQL, sf_dir)
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_agrees_with_sql(spark, sf_dir, name):
+    same(registry.queries()[name](spark, sf_dir), registry.oracle_sql()[name], sf_dir)
 
 
 @pytest.mark.parametrize("numbers", [2_000_000, 4])
