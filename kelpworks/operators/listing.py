@@ -68,8 +68,9 @@ def listing_order(bedrooms: Column, floor: Column, price: Column, created: Colum
 
 def with_retry(rows: DataFrame, strict: Column, relaxed: Column) -> DataFrame:
     """The rows that fit, or if there are none those that fit without the implied city; one job."""
-    fit = rows.where(relaxed).withColumn("__s", strict)
-    return fit.withColumn("__any", F.max("__s").over(Window.partitionBy(F.lit(1)))).where(F.col("__s") | ~F.col("__any")).drop("__s", "__any")
+    fit = rows.where(relaxed).withColumns({"__s": F.coalesce(strict, F.lit(False)), "__j": F.lit(1)})
+    found = fit.agg(F.max("__s").alias("__any")).withColumn("__j", F.lit(1))  # one row
+    return fit.join(F.broadcast(found), "__j").where(F.col("__s") | ~F.col("__any")).drop("__s", "__any", "__j")
 
 
 def semi_by_id(docs: DataFrame, ids: DataFrame, key: str, null_passes: bool = True, unparsed_passes: bool = False) -> DataFrame:

@@ -1,7 +1,7 @@
 """The chunk store: a Parquet table partitioned by collection. Every write is scoped to one collection.
 
-A replaced collection is written beside the old one and swapped in when it is complete, so a failed ingest loses
-nothing; readers see the version that the pointer file names.
+A replaced collection is written beside the old one and counts once it is complete, so a failed ingest loses nothing;
+readers see the last whole version and what was added to it. One writer a collection at a time.
 """
 
 from __future__ import annotations
@@ -23,16 +23,19 @@ class ChunkStore:
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self, collection: str) -> list[str]:
+    def _complete(self, collection: str) -> list[tuple[int, str]]:
+        """Number and name of each finished write, in order: v (the whole collection) or a (rows added to it)."""
         jvm, fs = self._fs()
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{collection}")
         if not fs.exists(at):
             return []
-        found = [(f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-        names = sorted(name for _, name in found)
-        whole = [n for n in names if n.startswith("v")]
-        last = whole[-1] if whole else ""
-        return [last] * bool(last) + [n for n in names if n.startswith("a") and n[1:15] >= last[1:15]]
+        names = [f.getPath() for f in fs.listStatus(at)]
+        return sorted((int(p.getName()[1:13]), p.getName()) for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _versions(self, collection: str) -> list[str]:
+        parts = [name for _, name in self._complete(collection)]
+        last = max((i for i, name in enumerate(parts) if name.startswith("v")), default=0)
+        return parts[last:]
 
     def read(self, collection: str, where=None) -> DataFrame:
         """Pruned to the collection's files; the filter reaches the scan."""
@@ -41,12 +44,9 @@ class ChunkStore:
         df = df.withColumn("collection", F.lit(collection))
         return df if where is None else df.where(where)
 
-    def _name(self, kind: str) -> str:
-        jvm = self.spark.sparkContext._jvm
-        return f"{kind}{jvm.System.currentTimeMillis():014d}{jvm.System.nanoTime() % 10**6:06d}-{uuid.uuid4().hex[:8]}"
-
     def _write(self, df: DataFrame, collection: str, kind: str) -> None:
-        df.select("chunk_id", "content", "meta", "embedding").write.parquet(f"{self.path}/{collection}/{self._name(kind)}")
+        number = max((n for n, _ in self._complete(collection)), default=0) + 1
+        df.select("chunk_id", "content", "meta", "embedding").write.parquet(f"{self.path}/{collection}/{kind}{number:012d}-{uuid.uuid4().hex[:8]}")
 
     def append(self, df: DataFrame, collection: str) -> None:
         """S12."""
