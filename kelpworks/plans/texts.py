@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpworks.functions.keys import body_key, content_digest, paged_key
+from kelpworks.functions.planning import has_project_row, haystack, is_incomplete, is_toc_like, unit_headers
 from kelpworks.functions.text import FROM, TO, clean_text, compact, format_number, hierarchy_level, is_heading, is_new_item, is_table_line, is_weak_chunk, normalize_loose, normalize_text, quality_of, repair_mojibake, sanitize, slug, year_in
 from kelpworks.operators.chunking import chunked, split_rows
 from kelpworks.operators.context import context_documents, first_by, overlap_score
@@ -120,6 +121,17 @@ def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", "turn", overlap_score(F.col("text"), F.col("question"), [F.lit("the")], F.array().cast("array<string>")).alias("score"), F.length(tidied(F.col("text"), [r"^[A-Z]\w*\.$", r"^\s*$"])).alias("n"))
 
 
+def planning_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of planning texts that are made of each order."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.when(k % 5 == 0, "Mục lục\nPhần 1 .... 3\nPhần 2 .... 9\n").otherwise(""), F.when(k % 3 == 0, "Danh mục công trình").otherwise("Dự án xây dựng trạm tại phường Hàng Bài và phường Cửa Nam, 12,5 ha."))
+    rows = table(spark, sf_dir, "orders").select(k, is_toc_like(text).alias("toc"), is_incomplete(text).alias("incomplete"), has_project_row(normalize_text(text)).alias("project"), unit_headers(normalize_text(text)).alias("units"), haystack(text, F.lit("Ba Đình")).alias("hay"))
+    return rows.select("o_orderkey", "toc", "incomplete", "project", "units", F.startswith("hay", F.lit("ba dinh")).alias("placed"))
+
+
+FEATURES = """SELECT o_orderkey, o_orderkey % 5 = 0 AND o_orderkey % 3 = 0 AS toc, o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0 AS incomplete, o_orderkey % 3 <> 0 AS project, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 2 END AS units, true AS placed FROM orders"""
+
+
 def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursive splitting of every document."""
     return split_rows(table(spark, sf_dir, "documents"), profile="planning").select("doc_id", "piece", F.length("content").alias("n"), F.md5(F.col("content").cast("binary")).alias("digest"))
@@ -143,5 +155,5 @@ def repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("r") == F.col("text")).alias("same"), F.sum(F.length(sanitize("r", 100))).alias("shown"))
 
 
-QUERIES = {"normal_forms": normal_forms, "cleaned": cleaned, "line_classes": line_classes, "text_quality": text_quality, "dedup_keys": dedup_keys, "question_profiles": question_profiles, "follow_ups": follow_ups, "extracted_facts": extracted_facts, "context_build": context_build, "answer_scores": answer_scores, "text_pieces": text_pieces, "structural_chunks": structural_chunks, "hierarchical_chunks": hierarchical_chunks, "repaired_texts": repaired_texts}
-SQL = {"normal_forms": FORMS, "cleaned": CLEANED, "line_classes": CLASSES, "text_quality": QUALITY, "dedup_keys": KEYS, "extracted_facts": FACTS}
+QUERIES = {"planning_features": planning_features, "normal_forms": normal_forms, "cleaned": cleaned, "line_classes": line_classes, "text_quality": text_quality, "dedup_keys": dedup_keys, "question_profiles": question_profiles, "follow_ups": follow_ups, "extracted_facts": extracted_facts, "context_build": context_build, "answer_scores": answer_scores, "text_pieces": text_pieces, "structural_chunks": structural_chunks, "hierarchical_chunks": hierarchical_chunks, "repaired_texts": repaired_texts}
+SQL = {"planning_features": FEATURES, "normal_forms": FORMS, "cleaned": CLEANED, "line_classes": CLASSES, "text_quality": QUALITY, "dedup_keys": KEYS, "extracted_facts": FACTS}

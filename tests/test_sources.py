@@ -1,5 +1,5 @@
 import pytest
-from kelpworks.sources import files
+from kelpworks.sources import files, schema
 from kelpworks.sources.store import SCHEMA, ChunkStore
 from kelpworks.streaming.ingest import event_counts, ingest_stream
 from pyspark.sql import functions as F
@@ -64,3 +64,13 @@ def test_stream_upserts_and_counts(spark, sf_dir, tmp_path):
     assert [r.chunk_id for r in store.read("s").collect()] == ["2"]
     batch = event_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
     assert batch.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_tables_and_messages(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE service LOCATION '{tmp_path}/service'")
+    assert schema.create_tables(spark, "service") == list(schema.TABLES) and schema.create_tables(spark, "service") == []
+    for text in ("one", "two"):
+        schema.add_message(spark, 1, "user", text, "service")
+    assert [r.content for r in spark.table("service.chat_messages").orderBy("id").collect()] == ["one", "two"]
+    (tmp_path / "a.json").write_text('{"a":\n 1}')
+    assert schema.read_json(spark, str(tmp_path / "a.json"), "a int").first()[0] == 1

@@ -1,4 +1,5 @@
 import pytest
+from kelpworks.functions import planning
 from kelpworks.functions import text as t
 from kelpworks.operators import intents, listing
 from pyspark.sql import functions as F
@@ -64,3 +65,22 @@ def test_floor_filters_are_put_in_order(spark):
     df = spark.createDataFrame([("12 Hàng Bài", 30, 9.0, 1.0, 5, 2, 8)], "district string, bedrooms int, price_min double, price_max double, floor int, floor_min int, floor_max int")
     r = intents.sane_filters(df).first()
     assert (r.district, r.bedrooms, r.price_min, r.price_max, r.floor) == (None, None, 1.0, 9.0, None)
+
+
+@pytest.mark.parametrize(
+    ("of", "value", "wanted"),
+    [
+        (planning.without_metadata, "[chunk=1]\nDistrict: a | title: b | city: c\nĐất ở\nHồ\n[x=y]", "Đất ở\nHồ\n[x=y]"),
+        (planning.without_metadata, "[chunk=1]", "[chunk=1]"),
+        (planning.is_toc_like, "Mục lục\nPhần 1 .... 3\nPhần 2 .... 9", True),
+        (planning.is_toc_like, "Bảng 1 dự án xây dựng, bảng 2", False),
+        (planning.is_toc_like, None, False),
+        (planning.is_incomplete, "Danh mục công trình", True),
+        (planning.is_incomplete, "Thu hồi 12,5 ha đất tại phường Hàng Bài.", False),
+        (planning.is_incomplete, "Các loại đất gồm", True),
+        (lambda c: planning.unit_headers(t.normalize_text(c)), "phường Hàng Bài, phương án, xã hội, xã Tân Lập", 2),
+        (lambda c: planning.haystack(c, F.lit("Ba Đình")), "[a=b]\nĐất", "ba dinh dat"),
+    ],
+)
+def test_planning_function(spark, of, value, wanted):
+    assert one(spark, value, of) == wanted
