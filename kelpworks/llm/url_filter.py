@@ -62,7 +62,7 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return linked.unionByName(pairs.select("a", "b", one)).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), one)).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close: float = 1e-4, most: int = 48, kept: int = 6) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close: float = 1e-3, most: int = 40, kept: int = 4) -> DataFrame:
     """host, trust, distrust: seeds has host, good and bad (counts). A host without links keeps its mass."""
     links = links.where("n > 0")
     links = stored(links, "links")
@@ -76,15 +76,16 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close: flo
     back = links.join(into, "b").select(F.col("b").alias("x"), F.col("a").alias("y"), F.lit(0.0).alias("t"), (F.col("n") / F.col("s")).alias("d"))
     flows = reduce(DataFrame.unionByName, [forth, back, idle(out, "a", "t"), idle(into, "b", "d")])
     flows = stored(flows.groupBy("x", "y").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "flows")
-    ranks = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    ranks = last = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
     for turn in range(1, most + 1):
         came = flows.join(ranks, F.col("x") == F.col("host")).groupBy("y").agg(F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
         step = lambda seed, c: ((1 - damping) * F.col(seed) + damping * F.coalesce(F.col(c), F.lit(0.0)))
         new = base.join(came, F.col("host") == F.col("y"), "left").select("host", step("good", "t").alias("trust"), step("bad", "d").alias("distrust"))
+        ranks = new
         if turn % kept:
-            ranks = new
             continue
-        before, ranks = ranks, stored(new, "ranks")
+        ranks, before = stored(new, "ranks"), last  # compared with what was stored last, so that plans stay short
+        last = ranks
         moved = ranks.join(before.select("host", F.col("trust").alias("p"), F.col("distrust").alias("q")), "host").agg(F.sum(F.abs(F.col("trust") - F.col("p")) + F.abs(F.col("distrust") - F.col("q"))).alias("m")).first()["m"]
         if (moved or 0.0) < close:
             break
