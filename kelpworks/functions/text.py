@@ -22,8 +22,9 @@ def _text(c: Column | str) -> Column:
 
 
 def fold(c: Column | str) -> Column:
-    """Latin letters without their marks; free-standing marks go."""
-    return F.regexp_replace(F.translate(_text(c), FROM, TO), r"\p{Mn}+", "")
+    """Latin letters without their marks; free-standing marks go. Plain ASCII, which has none, is passed on."""
+    text = _text(c)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, FROM, TO), r"\p{Mn}+", "")).otherwise(text)
 
 
 def _spaced(c: Column) -> Column:

@@ -11,7 +11,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpworks.functions.text import compact, normalize_text
+from kelpworks.functions.text import normalize_text
 
 #: The fusion's constant and words that are no search terms.
 RRF_K = 60
@@ -77,7 +77,8 @@ def weight_of(term: str) -> float:
 def lexical_search(rows: DataFrame, terms: list[str], fields: list[str], k: int, row_id: str, min_hits: int = 1, where: Column | None = None) -> DataFrame:
     """R2: a term hits if one field holds it raw, normalised or compact. The forms of a field are made once a row."""
     rows = rows if where is None else rows.where(where)
-    forms = rows.withColumns({f"__{kind}_{f}": of(F.col(f)) for f in fields for kind, of in (("raw", lambda c: F.lower(F.coalesce(c.cast("string"), F.lit("")))), ("norm", normalize_text), ("comp", compact))})
+    forms = rows.withColumns({f"__{kind}_{f}": of(F.col(f)) for f in fields for kind, of in (("raw", lambda c: F.lower(F.coalesce(c.cast("string"), F.lit("")))), ("norm", normalize_text))})
+    forms = forms.withColumns({f"__comp_{f}": F.replace(F.col(f"__norm_{f}"), F.lit(" "), F.lit("")) for f in fields})
     hit_columns = {}
     for i, term in enumerate(terms):
         bare = re.sub(r"[^a-z0-9]", "", folded(term))
@@ -88,8 +89,10 @@ def lexical_search(rows: DataFrame, terms: list[str], fields: list[str], k: int,
     marked = forms.withColumns(hit_columns)
     score = reduce(lambda a, b: a + b, (F.col(f"__hit_{i}") * weight_of(t) for i, t in enumerate(terms)), F.lit(0.0))
     hits = reduce(lambda a, b: a + b, (F.col(c) for c in hit_columns), F.lit(0))
-    found = marked.select(*rows.columns, F.round(score, 6).alias("lex_score"), hits.alias("hits")).where(F.col("hits") >= max(1, min_hits))
-    return found.orderBy(F.desc("lex_score"), F.desc("hits"), row_id).limit(k)
+    found = marked.select(*rows.columns, F.round(score, 6).alias("lex_score"), hits.alias("hits"))
+    # the filter comes after the limit: below it, it would make each form again for each test
+    enough = F.col("hits") >= max(1, min_hits)
+    return found.orderBy(F.desc(enough), F.desc("lex_score"), F.desc("hits"), row_id).limit(k).where(enough)
 
 
 def fetch_size(k: int, factor: int = 3) -> int:
