@@ -226,22 +226,45 @@ class Locator:
         self.cursor = [0] * len(pages)
 
     def find(self, content: str, page: int) -> tuple[int, int] | None:
+        lines = self.pages[page - 1] if 0 < page <= len(self.pages) else []
+        begin = self.cursor[page - 1] if lines else 0
         wanted = flat(content)
+        place = self.whole(lines, begin, wanted) or self.closest(lines, begin, wanted)
+        if place:
+            self.cursor[page - 1] = place[1]
+        return place
+
+    @staticmethod
+    def whole(lines: list[str], begin: int, wanted: str) -> tuple[int, int] | None:
+        """The first lines that are exactly the chunk."""
+        for s in range(begin, len(lines)):
+            if lines[s] and wanted.startswith(lines[s]):
+                at, e = len(lines[s]), s + 1
+                while at < len(wanted) and e < len(lines) and wanted.startswith(" " + lines[e], at):
+                    at, e = at + 1 + len(lines[e]), e + 1
+                if at == len(wanted):
+                    return s + 1, e
+        return None
+
+    @staticmethod
+    def closest(lines: list[str], begin: int, wanted: str) -> tuple[int, int] | None:
+        """The window of at most 25 lines that shares most words; one that nearly is the chunk ends the search."""
         words = set(wanted.split())
-        lines = self.pages[page - 1] if 0 < page <= len(self.pages) else []
         best, place = 0.35, None
-        for s in range(self.cursor[page - 1] if lines else 0, len(lines)):
-            for e in range(s + 1, min(len(lines), s + 25) + 1):
-                window = " ".join(lines[s:e])
-                own = set(window.split())
+        for s in range(begin, len(lines)):
+            own: set[str] = set()
+            window = ""
+            for e in range(s, min(len(lines), s + 25)):
+                own.update(lines[e].split())
+                window = f"{window} {lines[e]}".strip()
+                # no longer window from here can be better, as it only gains words that the chunk lacks
+                if len(words) / max(1, len(own)) + 0.4 <= best:
+                    break
                 score = len(own & words) / max(1, len(words | own)) + (0.4 if window and window in wanted else 0.0)
                 if score > best:
-                    best, place = score, (s + 1, e)
+                    best, place = score, (s + 1, e + 1)
                 if score >= 0.92:
-                    self.cursor[page - 1] = e
-                    return s + 1, e
-        if place:
-            self.cursor[page - 1] = place[1]
+                    return place
         return place
 
 
