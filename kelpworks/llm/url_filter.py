@@ -5,7 +5,9 @@ host (one link each way, down to two labels). Trust is a personalised PageRank f
 that a rule allows, along the links; distrust one from those that a rule blocks, against the links. A host's pages
 without a rule are blocked where its distrust is above its trust times `ratio`.
 
-Links are counted per pair of hosts before anything is joined; each few rounds the ranks are stored.
+Links are counted per pair of hosts before anything is joined; each few rounds the ranks are stored. Rounds go on until
+every host's ranks are stable in proportion to themselves, so that the verdict of a small or far host is as sure as that
+of a large one, and does not depend on the number of hosts.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule and the verdict allow, as has a
 host that neither kind reaches; a null page text has no links; repeated rows get the same result; further columns are
@@ -25,6 +27,8 @@ from kelpworks.llm.shared import BROADCAST_KEYS, stored, table
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"(?i)\bhref\s*+=\s*+[\"']?+(?:https?:)?//([^/?#\"'\s>]++)"
+#: Ranks below are at the end of what a double holds exactly and settle no round.
+LEAST = 1e-300
 INNER = r"(?i)\bhref\s*+=\s*+[\"']?+/(?!/)"
 
 
@@ -62,8 +66,13 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return linked.unionByName(pairs.select("a", "b", one)).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), one)).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close: float = 1e-3, most: int = 40, kept: int = 4) -> DataFrame:
-    """host, trust, distrust: seeds has host, good and bad (counts). A host without links keeps its mass."""
+def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close: float = 1e-6, most: int | None = None, kept: int = 4) -> DataFrame:
+    """host, trust, distrust: seeds has host, good and bad (counts). A host without links keeps its mass.
+
+    Rounds start from nothing, so ranks only grow, and end when no host, however small its rank, grew by more than `close`
+    of it: a host just reached grows from 0, so mass on its way to further hosts keeps the rounds going. A host's links to
+    itself are solved for and not iterated. `most` caps the rounds; the default does not.
+    """
     links = links.where("n > 0")
     links = stored(links, "links")
     hosts = links.select(F.explode(F.array("a", "b")).alias("host")).unionByName(seeds.select("host")).distinct()
@@ -76,18 +85,23 @@ def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close: flo
     back = links.join(into, "b").select(F.col("b").alias("x"), F.col("a").alias("y"), F.lit(0.0).alias("t"), (F.col("n") / F.col("s")).alias("d"))
     flows = reduce(DataFrame.unionByName, [forth, back, idle(out, "a", "t"), idle(into, "b", "d")])
     flows = stored(flows.groupBy("x", "y").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), "flows")
-    ranks = last = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for turn in range(1, most + 1):
+    own = flows.where("x = y").select(F.col("x").alias("host"), F.col("t").alias("own_t"), F.col("d").alias("own_d"))
+    alone = lambda c: (1 - damping * F.coalesce(F.col(c), F.lit(0.0))).alias(c)
+    base = stored(base.join(own, "host", "left").select("host", "good", "bad", alone("own_t"), alone("own_d")), "base")
+    flows = flows.where("x != y")
+    ranks = last = base.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
+    turn = 0
+    while most is None or turn < most:
+        turn += 1
         came = flows.join(ranks, F.col("x") == F.col("host")).groupBy("y").agg(F.sum(F.col("t") * F.col("trust")).alias("t"), F.sum(F.col("d") * F.col("distrust")).alias("d"))
-        step = lambda seed, c: ((1 - damping) * F.col(seed) + damping * F.coalesce(F.col(c), F.lit(0.0)))
-        new = base.join(came, F.col("host") == F.col("y"), "left").select("host", step("good", "t").alias("trust"), step("bad", "d").alias("distrust"))
-        ranks = new
+        step = lambda seed, c: (((1 - damping) * F.col(seed) + damping * F.coalesce(F.col(c), F.lit(0.0))) / F.col(f"own_{c}"))
+        ranks = base.join(came, F.col("host") == F.col("y"), "left").select("host", step("good", "t").alias("trust"), step("bad", "d").alias("distrust"))
         if turn % kept:
             continue
-        ranks, before = stored(new, "ranks"), last  # compared with what was stored last, so that plans stay short
+        ranks, before = stored(ranks, "ranks"), last  # compared with what was stored last, so that plans stay short
         last = ranks
-        moved = ranks.join(before.select("host", F.col("trust").alias("p"), F.col("distrust").alias("q")), "host").agg(F.sum(F.abs(F.col("trust") - F.col("p")) + F.abs(F.col("distrust") - F.col("q"))).alias("m")).first()["m"]
-        if (moved or 0.0) < close:
+        grew = lambda now, was: (F.col(now) - F.col(was) > close * F.col(was)) & (F.col(now) > LEAST)
+        if ranks.join(before.select("host", F.col("trust").alias("p"), F.col("distrust").alias("q")), "host").where(grew("trust", "p") | grew("distrust", "q")).isEmpty():
             break
     return ranks
 

@@ -239,6 +239,28 @@ def test_ranks_agree_with_a_dense_iteration(spark):
         assert np.allclose([got[f"h{i}"][side] for i in range(6)], r, atol=1e-3)
 
 
+def test_small_and_far_hosts_get_converged_ranks(spark):
+    """A host fed by one of 10,001 seed pages and a chain of 44 hosts: each rank, and the verdict it gives, is the solved one."""
+    edges = [("big", "big", 50), ("big", "x", 1), ("x", "big", 1), ("mid", "tiny", 1), ("mid", "mid", 3)] + [(f"c{i:02}", f"c{i + 1:02}", 1) for i in range(44)] + [("c44", "tiny", 1), ("x", "c20", 1)]
+    links = spark.createDataFrame(edges, "a string, b string, n long")
+    seeds = spark.createDataFrame([("big", 10_000, 10_000), ("tiny", 0, 1), ("c05", 1, 0)], "host string, good long, bad long")
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.spread(links, seeds).collect()}
+    hosts = sorted(got)
+    n = np.zeros((len(hosts), len(hosts)))
+    for a, b, k in edges:
+        n[hosts.index(a), hosts.index(b)] += k
+    solved = []
+    for m, s in ((n.copy(), {"big": 10_000, "c05": 1}), (n.T.copy(), {"big": 10_000, "tiny": 1})):
+        m[np.diag_indices(len(hosts))] += m.sum(1) == 0
+        m /= m.sum(1, keepdims=True)
+        s = np.array([s.get(h, 0) for h in hosts]) / sum(s.values())
+        solved.append(np.linalg.solve(np.eye(len(hosts)) - 0.85 * m.T, 0.15 * s))
+    for i, h in enumerate(hosts):
+        assert np.allclose(got[h], (solved[0][i], solved[1][i]), rtol=1e-4, atol=0), h
+        assert (got[h][1] > got[h][0]) == (solved[1][i] > solved[0][i])
+    assert got["c00"][1] > got["c00"][0] == 0 and got["mid"][1] > got["mid"][0] == 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = table
