@@ -3,7 +3,9 @@
 1. Seeds: minimizers of word k-mers, of two sizes. Two texts that share 51 words share a LONG seed, which nothing
    shorter than it can hold; SHORT ones find passages with changed words.
 2. Links: equal texts are one node, its smallest id. Each seed that several nodes hold is linked from all of them to the
-   smallest one, so links grow with the occurrences and not with their square.
+   smallest one, so links grow with the occurrences and not with their square. A holder whose seed no passage with the
+   smallest one covers is then compared with all other holders that share enough word pairs around it, so that no passage depends on who is
+   smallest. This step grows with the square of a common phrase's holders.
 3. Chains: the matches of two nodes are chained in order of both texts; a gap costs GAP a word on either side. The
    best predecessor is a prefix maximum over the other text's positions, kept in a Fenwick tree.
 4. Alignment: hashed words around a chain are fetched in blocks; between matches and beyond the ends words are compared.
@@ -18,6 +20,7 @@ repeated rows count as one; a passage that a document repeats within itself is r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +63,16 @@ def seeds_of(h: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return values, at[first]
 
 
+def pairs_of(h: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words, the nth of a kind apart from the others, so that common ones are counted as often as they occur."""
+    both = mix(h[:-1] * POWER + h[1:])
+    order = np.argsort(both, kind="stable")
+    ordered = both[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(both)), bool), ordered[1:] != ordered[:-1]]))
+    nth = np.arange(len(both)) - np.repeat(starts, np.diff(np.append(starts, len(both))))
+    return (mix(ordered + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def chains_of(i: np.ndarray, j: np.ndarray, k: np.ndarray, gap: float = GAP) -> list[np.ndarray]:
     """Indices of the matches of each chain, best first. A match is k words from i in one text and from j in the other."""
     order = np.lexsort((j, i))
@@ -201,9 +214,6 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     placed = stored(_rows(nodes, seeds, "seed long, id long, at int, k int"), "seeds")
     held = placed.select("seed").groupBy("seed").count().where("count > 1").select("seed")
     shared = stored(placed.join(held, "seed"), "shared-seeds")
-    first = shared.groupBy("seed").agg(F.min("id").alias("other"), F.max("id").alias("most")).where("other != most").select("seed", "other")
-    first = stored(first.join(shared.select("seed", F.col("id").alias("other"), F.col("at").alias("there")), ["seed", "other"]).groupBy("seed", "other").agg(F.min("there").alias("there")), "first-seeds")
-    matches = shared.join(first, "seed").where("id != other").groupBy("id", "other").agg(F.collect_list(F.struct("at", "there", "k")).alias("m"))
 
     def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -214,23 +224,12 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
                     out.append((i, other, n, a[c].tolist(), b[c].tolist(), k[c].tolist()))
             yield pd.DataFrame(out, columns=["id", "other", "chain", "i", "j", "k"])
 
-    chains = stored(matches.mapInPandas(chain, "id long, other long, chain int, i array<int>, j array<int>, k array<int>"), "chains")
-    low = lambda c: F.greatest(F.floor((F.get(c, F.lit(0)) - MARGIN) / BLOCK), F.lit(0)).cast("int")
-    high = lambda c: F.floor((F.element_at(c, -1) + F.element_at("k", -1) + MARGIN) / BLOCK).cast("int")
-    wanted = lambda own, c, side: chains.select(F.col(own).alias("node"), F.explode(F.sequence(low(c), high(c))).alias("block"), "id", "other", "chain", F.lit(side).alias("side"))
-    asked = wanted("id", "i", 0).unionByName(wanted("other", "j", 1))
-
     def blocks(i: int, t: bytes) -> tuple:
         h = (hashes_of(t) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         h[h == 0] = 1
         cuts = range(0, len(h), BLOCK)
         return np.full(len(cuts), i), np.arange(len(cuts), dtype=np.int32), [h[c : c + BLOCK].tolist() for c in cuts]
 
-    used = stored(chains.select(F.explode(F.array("id", "other")).alias("id")).distinct(), "chained")
-    fetched = _rows(only_or_without(nodes, used, "left_semi", ["id"]), blocks, "node long, block int, words array<int>").dropDuplicates(["node", "block"])
-    fetched = stored(fetched, "blocks")
-    got = asked.join(fetched, ["node", "block"]).groupBy("id", "other", "chain").agg(F.collect_list(F.struct("side", "block", "words")).alias("got"))
-
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
@@ -248,7 +247,47 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
                         out.append((row.id, row.other, p + s, p + e, q + t, q + u, int(same[x:y].sum())))
             yield pd.DataFrame(out, columns=["doc_id", "other_id", "start", "end", "other_start", "other_end", "matched"])
 
-    found = chains.join(got, ["id", "other", "chain"]).select("id", "other", "i", "j", "k", "got").mapInPandas(align, "doc_id long, other_id long, start int, end int, other_start int, other_end int, matched int").distinct()
+    def compared(links: DataFrame) -> DataFrame:
+        """Stored passages of linked nodes; links: id, other, at, there, k."""
+        matches = links.groupBy("id", "other").agg(F.collect_list(F.struct("at", "there", "k")).alias("m"))
+        chains = stored(matches.mapInPandas(chain, "id long, other long, chain int, i array<int>, j array<int>, k array<int>"), "chains")
+        low = lambda c: F.greatest(F.floor((F.get(c, F.lit(0)) - MARGIN) / BLOCK), F.lit(0)).cast("int")
+        high = lambda c: F.floor((F.element_at(c, -1) + F.element_at("k", -1) + MARGIN) / BLOCK).cast("int")
+        wanted = lambda own, c, side: chains.select(F.col(own).alias("node"), F.explode(F.sequence(low(c), high(c))).alias("block"), "id", "other", "chain", F.lit(side).alias("side"))
+        asked = wanted("id", "i", 0).unionByName(wanted("other", "j", 1))
+        used = stored(chains.select(F.explode(F.array("id", "other")).alias("id")).distinct(), "chained")
+        fetched = _rows(only_or_without(nodes, used, "left_semi", ["id"]), blocks, "node long, block int, words array<int>").dropDuplicates(["node", "block"])
+        fetched = stored(fetched, "blocks")
+        got = asked.join(fetched, ["node", "block"]).groupBy("id", "other", "chain").agg(F.collect_list(F.struct("side", "block", "words")).alias("got"))
+        rows = chains.join(got, ["id", "other", "chain"]).select("id", "other", "i", "j", "k", "got").mapInPandas(align, "doc_id long, other_id long, start int, end int, other_start int, other_end int, matched int")
+        return stored(rows.distinct(), "passages")
+
+    hubs = shared.groupBy("seed").agg(F.min("id").alias("other"), F.max("id").alias("most")).where("other != most").select("seed", "other")
+    first = stored(hubs.join(shared.select("seed", F.col("id").alias("other"), F.col("at").alias("there")), ["seed", "other"]).groupBy("seed", "other").agg(F.min("there").alias("there")), "first-seeds")
+    found = compared(shared.join(first, "seed").where("id != other"))
+    # what the hub left open: holders other than it of which no passage covers the seed, against every holder but the hub
+    covers = found.select(F.col("doc_id").alias("id"), "start", "end").unionByName(found.select(F.col("other_id").alias("id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"))).distinct()
+    members = stored(shared.join(first.select("seed", "other"), "seed").where("id != other").drop("other"), "members")
+    covered = members.join(covers, "id").where("at >= start and at + k <= end").select("seed", "id").distinct()
+    left = stored(members.join(covered, ["seed", "id"], "left_anti"), "left-open")
+    asked = members.join(left.select("seed").distinct(), "seed", "left_semi").groupBy("id").agg(F.collect_list(F.struct("seed", "at", "k")).alias("s"))
+
+    def around(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for i, t, s in zip(f["id"], f["text"], f["s"], strict=True):
+                h = hashes_of(t.encode())
+                out += [(i, x["seed"], x["at"], x["k"], pairs_of(h[max(0, x["at"] - MARGIN) : x["at"] + x["k"] + MARGIN]).tolist()) for x in s]
+            yield pd.DataFrame(out, columns=["id", "seed", "at", "k", "near"])
+
+    members = stored(nodes.join(asked, "id").mapInPandas(around, "id long, seed long, at int, k int, near array<int>"), "contexts")
+    mates = members.select("seed", F.col("id").alias("mate"), F.col("at").alias("mate_at"), F.col("near").alias("mate_near"))
+    # each differing column of a passage takes two word pairs at most, so the contexts share the others; one is for hashes that collide
+    least = math.ceil(min_words - 1 - 2 * (1 - similar) * min_words - 1e-6) - 1
+    pairs = members.join(left.select("seed", "id"), ["seed", "id"], "left_semi").join(mates, "seed").where("id != mate").where(F.size(F.array_intersect("near", "mate_near")) >= least)
+    later = F.col("id") > F.col("mate")
+    pairs = pairs.select(F.greatest("id", "mate").alias("id"), F.least("id", "mate").alias("other"), F.when(later, F.col("at")).otherwise(F.col("mate_at")).alias("at"), F.when(later, F.col("mate_at")).otherwise(F.col("at")).alias("there"), "k").distinct()
+    found = found.unionByName(compared(pairs)).distinct()
     n = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     same = known.where("rep is not null and rep != id").select(F.col("id").alias("doc_id"), F.col("rep").alias("other_id"), n.alias("n")).where(F.col("n") >= min_words).distinct()
     whole = same.select("doc_id", "other_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.lit(0).alias("other_start"), F.col("n").alias("other_end"), F.col("n").alias("matched"), F.lit(True).alias("copy"))

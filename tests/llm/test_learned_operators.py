@@ -109,6 +109,21 @@ def test_passages_of_planted_texts(spark):
     assert substring_dedup.find_passages(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_a_smaller_document_that_holds_a_seed_hides_no_passage(spark):
+    """The smallest document holds all seeds of a passage of two others, but only 40 of its words."""
+    rng = random.Random(11)
+    seeds = lambda w: {v for size in (substring_dedup.LONG, substring_dedup.SHORT) for v in substring_dedup.seeds_of(substring_dedup.hashes_of(" ".join(w).encode()), *size)[0].tolist()}
+    for _ in range(1000):
+        p = prose(rng, 51)
+        at = rng.randrange(12)
+        a, b, c = prose(rng, 60) + p[at : at + 40] + prose(rng, 60), prose(rng, 60) + p + prose(rng, 60), prose(rng, 60) + p + prose(rng, 60)
+        if (both := seeds(b) & seeds(c)) and both <= seeds(a):
+            break
+    assert both <= seeds(a)
+    rows = substring_dedup.find_passages(docs(spark, [" ".join(x) for x in (a, b, c)])).collect()
+    assert [(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end, r.matched) for r in rows] == [(2, 1, 60, 111, 60, 111, 51)]
+
+
 def test_best_chain_is_the_best_of_all():
     rng = random.Random(8)
     for _ in range(30):
