@@ -32,6 +32,8 @@ _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
 WORDS = bytes(c if c in _KEPT else 32 for c in bytes(range(256)).translate(bytes.maketrans(UPPER, LOWER)))
 #: Item words in one block: its windows then take some hundred MB at most.
 BLOCK_WORDS = 1_000_000
+#: Words that a proximity match of op2_proximity may span beyond its window.
+SLOP = 2
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -226,6 +228,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with the items near a document's words in any order: how many and which, exact matches among them."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size("items").cast("long").alias("n_items"), F.size("near").cast("long").alias("n_near"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"))
+
+
 #: The same in DuckDB: words of both sides, windows of the lengths that occur, joined as texts.
 OP2_SQL = r"""
 WITH d AS (

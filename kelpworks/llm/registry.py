@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelpworks.llm.decontaminate import OP2_SQL, op2_decontaminate
+from kelpworks.llm.decontaminate import OP2_SQL, op2_decontaminate, op2_proximity
 from kelpworks.llm.language import op6_language
 from kelpworks.llm.line_dedup import OP3_SQL, op3_line_dedup
 from kelpworks.llm.mixing import op8_mixing
@@ -15,7 +15,7 @@ from kelpworks.llm.url_filter import op9_url_filter
 
 
 def queries() -> dict:
-    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op3_line_dedup": op3_line_dedup, "op4_topk": op4_topk, "op5_substring_dedup": op5_substring_dedup, "op6_language": op6_language, "op7_near_dedup": op7_near_dedup, "op8_mixing": op8_mixing, "op9_url_filter": op9_url_filter, "op10_quality": op10_quality}
+    return {"op1_pii": op1_pii, "op2_decontaminate": op2_decontaminate, "op2_proximity": op2_proximity, "op3_line_dedup": op3_line_dedup, "op4_topk": op4_topk, "op5_substring_dedup": op5_substring_dedup, "op6_language": op6_language, "op7_near_dedup": op7_near_dedup, "op8_mixing": op8_mixing, "op9_url_filter": op9_url_filter, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -77,6 +77,15 @@ def test_proximity_finds_terms_near_each_other(spark):
     assert [r.near for r in found] == [["1"], [], [], ["1"]] and [r.items for r in found] == [[], [], [], ["1"]]
 
 
+def test_proximity_query_finds_an_inserted_word_and_a_changed_order(spark, tmp_path):
+    words = [f"w{i}" for i in range(13)]
+    texts = [words, [*words[:5], "in", *words[5:]], words[6:] + words[:6], words[:12]]
+    docs(spark, [" ".join(t) for t in texts]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(words))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = registry.queries()["op2_proximity"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.n_items, r.n_near) for r in rows] == [(1, 1), (0, 1), (0, 1), (0, 0)] and rows[1].near_sha256 == brute.digest(["7"])
+
+
 def test_line_query_agrees_with_brute_force(spark, sf_dir):
     import hashlib
 
