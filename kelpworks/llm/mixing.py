@@ -28,8 +28,8 @@ from kelpworks.llm.shared import row_key, stored, table
 TERMS, SAMPLE = 200, 10_000
 #: Steps of the projected gradient, and the weight of the ridge against the misses.
 STEPS, RIDGE = 40, 1e-3
-#: The steps end when no domain's share of the tokens moves by more.
-SETTLED = 2e-5
+#: The steps end when the token-weighted root mean square of the projected gradient is below.
+SETTLED = 3e-5
 #: Target shares of the expected tokens by domain.
 TARGETS = {"good": 0.92, "low": 0.08, "toxic": 0.0}
 
@@ -104,13 +104,14 @@ def _sum(places: Column, column: Column, start: float) -> Column:
     return F.aggregate("__t", F.lit(start), lambda a, t: a + F.get(column, F.array_position(places, t).cast("int") - 1))
 
 
-def rate_of(moves: list[list[float]], width: float, ridge: float) -> Column:
-    """A document's rate after the steps so far: each adds -width * (ridge * (r - 1) + posterior . residual), at least 0."""
+def rate_of(moves: list[list[float]], width: float, ridge: float, start: Column | None = None) -> Column:
+    """A document's rate after the steps so far, from `start`: each adds -width * (ridge * (r - 1) + posterior . residual), at least 0."""
+    start = F.lit(1.0) if start is None else start
     if not moves:
-        return F.lit(1.0)
+        return start
     history = F.array(*(F.array(*(F.lit(float(x)) for x in m)) for m in moves))
     slope = lambda m: F.aggregate(F.zip_with("posterior", m, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(history, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), r - width * (slope(m) + ridge * (r - 1.0))))
+    return F.aggregate(history, start, lambda r, m: F.greatest(F.lit(0.0), r - width * (slope(m) + ridge * (r - 1.0))))
 
 
 def fit_rates(docs: DataFrame, targets: dict[str, float], domains: list[str], steps: int = STEPS, ridge: float = RIDGE) -> tuple[Column, list[float], list[float]]:
@@ -124,13 +125,17 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], domains: list[str], st
     width = 1.0 / (1.0 + ridge)
     moves: list[list[float]] = []
 
-    def totals() -> tuple[float, list[float]]:
-        mass = F.col("tokens") * rate_of(moves, width, ridge)
-        row = docs.agg(F.sum("tokens").alias("n"), *(F.sum(mass * F.get("posterior", F.lit(i))).alias(f"s{i}") for i in range(len(domains)))).first()
+    def totals() -> tuple[float, list[float], float]:
+        """Tokens, shares, and the size of the projected gradient that the last step followed."""
+        was = docs.withColumn("__was", rate_of(moves[:-1], width, ridge))
+        own = was.withColumn("__rate", rate_of(moves[-1:], width, ridge, F.col("__was")))
+        mass = F.col("tokens") * F.col("__rate")
+        moved = F.sum(F.col("tokens") * F.pow((F.col("__rate") - F.col("__was")) / width, F.lit(2))).alias("moved")
+        row = own.agg(F.sum("tokens").alias("n"), moved, *(F.sum(mass * F.get("posterior", F.lit(i))).alias(f"s{i}") for i in range(len(domains)))).first()
         n = float(row["n"] or 0)
-        return n, [float(row[f"s{i}"] or 0) / max(n, 1.0) for i in range(len(domains))]
+        return n, [float(row[f"s{i}"] or 0) / max(n, 1.0) for i in range(len(domains))], math.sqrt(float(row["moved"] or 0) / max(n, 1.0))
 
-    n, start = totals()
+    n, start, _ = totals()
     wanted = [targets.get(d, 0.0) if s > 0 else 0.0 for d, s in zip(domains, start, strict=True)]
     whole = sum(wanted)
     now = start
@@ -138,8 +143,8 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], domains: list[str], st
         wanted = [w / whole for w in wanted]
         for _ in range(steps):
             moves.append([(s - w) / max(b, 1e-6) for s, w, b in zip(now, wanted, start, strict=True)])
-            before, (n, now) = now, totals()
-            if max(abs(s - b) for s, b in zip(now, before, strict=True)) < SETTLED:
+            n, now, gradient = totals()
+            if gradient < SETTLED:
                 break
     return F.when(F.col("tokens") > 0, rate_of(moves, width, ridge)).otherwise(1.0), start, now
 

@@ -216,6 +216,13 @@ def test_rates_are_the_least_squares_solution(spark):
     assert loss(got) <= loss(r) + 1e-6
 
 
+def test_rates_of_flat_posteriors_reach_the_targets(spark):
+    """Steps move the shares by little where posteriors are near the prior; that is no reason to stop."""
+    df = spark.createDataFrame([(10, [0.65, 0.35]), (10, [0.35, 0.65])], "tokens long, posterior array<double>")
+    _, _, now = mixing.fit_rates(df, {"a": 0.52, "b": 0.48}, ["a", "b"], steps=200, ridge=0.0)
+    assert abs(now[0] - 0.52) < 6e-5
+
+
 def test_url_rules_and_parts(spark, sf_dir):
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in url_filter.op9_url_filter(spark, sf_dir).collect():
