@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 
 def lower(s: str | None) -> str:
@@ -74,38 +74,36 @@ def near(docs: list[tuple], size: int) -> dict:
     return {d: top(d) for d, _ in sets}
 
 
-def lines(docs: list[tuple], min_docs: int, depth: int = 3, similar: float = 0.5, copy: float = 0.8) -> dict:
+def lines(docs: list[tuple], min_docs: int, depth: int = 3, similar: float = 0.5, copy: float | None = None) -> dict:
     """doc: (places dropped, text that is left)."""
 
     def tokens(line: str) -> tuple:
         return tuple("<*>" if re.search("[0-9]", t) else t for t in re.split(r"[ \t\x0b\f\r]+", line) if t)
 
     parsed = {d: [tokens(x) for x in (t or "").split("\n")] for d, t in docs}
-    leaves, held = defaultdict(set), defaultdict(set)
-    leaf = lambda x: (len(x), x[:depth])
+    leaves = defaultdict(lambda: defaultdict(set))  # leaf: line: documents
     for d, own in parsed.items():
         for x in own:
             if x:
-                leaves[leaf(x)].add(d)
-                held[x].add(d)
-    held = {x: s for x, s in held.items() if len(leaves[leaf(x)]) >= min_docs}
-    dropped = {x for x, s in held.items() if len(s) >= min_docs}
-    support, total, template = Counter(), Counter(), {}
-    rare = {x: len(s) for x, s in held.items() if x not in dropped}
-    for x, n in rare.items():
-        for i, t in enumerate(x):
-            support[leaf(x), i, t] += n
-    for x, n in rare.items():
-        m = tuple(t if support[leaf(x), i, t] >= min_docs else None for i, t in enumerate(x))
-        if sum(t is not None for t in m) >= similar * len(m):
-            template[x] = (leaf(x), m)
-            total[template[x]] += n
-    dropped |= {x for x, m in template.items() if total[m] >= min_docs}
+                leaves[len(x), x[:depth]][x].add(d)
+    dropped = set()
+    for held in leaves.values():
+        if len(set().union(*held.values())) < min_docs:
+            continue
+        support = defaultdict(set)
+        for x, s in held.items():
+            for i, t in enumerate(x):
+                support[i, t] |= s
+        for x in held:
+            template = [t if t != "<*>" and len(support[i, t]) >= min_docs else None for i, t in enumerate(x)]
+            fits = [s for y, s in held.items() if all(t is None or t == u for t, u in zip(template, y, strict=True))]
+            if sum(t is not None for t in template) >= similar * len(x) and len(set().union(*fits)) >= min_docs:
+                dropped.add(x)
     out = {}
     for d, t in docs:
         own = (t or "").split("\n")
         at = [i for i, x in enumerate(parsed[d]) if x and x in dropped]
-        if at and sum(len(own[i]) for i in at) >= copy * sum(map(len, own)):
+        if at and copy is not None and sum(len(own[i]) for i in at) >= copy * sum(map(len, own)):
             at = []
         out[d] = (at, t if t is None or not at else "\n".join(x for i, x in enumerate(own) if i not in at))
     return out

@@ -100,12 +100,42 @@ def test_templates_with_variable_fields_are_dropped(spark):
     names = ["ann", "bob", "cid", "dee", "eve", "fay", "gus", "hal"]
     texts = [f"{n * 3} said these {n} things alone, which nobody else has said before or will say\nlog in ok by {n} at {i}:00\n  log in ok by\t{n} at 7" for i, n in enumerate(names)]
     texts += ["log in ok by zed at 9", None, "", "\n\n", "x\n" * 3_000, "log in ok never seen"] + ["same whole copy\nof a text"] * 6
-    wanted = brute.lines(list(enumerate(texts)), 5)
-    found = line_dedup.drop_lines(docs(spark, texts, "1 as place;2 as __x"), min_docs=5, report=True).collect()
+    wanted = brute.lines(list(enumerate(texts)), 5, copy=0.8)
+    found = line_dedup.drop_lines(docs(spark, texts, "1 as place;2 as __x"), min_docs=5, copy=0.8, report=True).collect()
     assert {r.doc_id: (list(r.dropped), r.text) for r in found} == wanted
     assert wanted[0][0] == [1, 2] and wanted[len(texts) - 1][1] == texts[-1] and len(found) == len(texts)
 
 
+def test_a_rare_variant_goes_with_its_template_and_a_single_document_keeps_its_list(spark):
+    """One variant in many documents counts for the rare ones; lines of one document count once; copies go unless `copy` is given."""
+    words = ["ann", "bob", "cid", "dee", "eve", "fay", "gus", "hal", "ian", "jon", "kay", "lee"]
+    own = lambda i: f"text {words[i % 12]} {words[i // 12]} of its own, nothing like it"
+    texts = [f"{own(i)}\nshare this article on facebook" for i in range(30)] + [f"{own(30 + i)}\nshare this article on {w}" for i, w in enumerate(words[:5])]
+    texts += ["\n".join(f"go and see {w}" for w in words), "12 34\n56 7\n8 9"] + [f"{own(50 + i)}\n12 34" for i in range(12)] + [f"{own(70 + i)}\ngo and tell others" for i in range(3)]
+    texts += ["all of these lines\nare in each document\nof the same group"] * 31
+    wanted = brute.lines(list(enumerate(texts)), 10)
+    found = {r.doc_id: (list(r.dropped), r.text) for r in line_dedup.drop_lines(docs(spark, texts), report=True).collect()}
+    assert found == wanted
+    assert all(wanted[i][0] == [1] for i in range(35)) and wanted[35][0] == wanted[36][0] == [] and all(wanted[i][1] == "" for i in range(52, 83))
+    whole = line_dedup.drop_lines(docs(spark, texts), copy=0.8, report=True).where("copied").select("doc_id", "text").collect()
+    assert sorted(r.doc_id for r in whole) == list(range(52, 83)) and {r.text for r in whole} == {texts[-1]}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lines_of_a_small_vocabulary_agree_with_brute_force(spark, seed):
+    """Leaves with many templates, some within others, and lines that several documents hold."""
+    import random
+
+    rng = random.Random(seed)
+    line = lambda: " ".join(["a", "b", *(rng.choice(["c", "c", "d", "e", str(rng.randrange(9)), f"x{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"]) for _ in range(rng.choice([2, 4])))])
+    texts = ["\n".join(line() for _ in range(rng.randrange(6))) for _ in range(120)]
+    wanted = brute.lines(list(enumerate(texts)), 6, depth=2)
+    found = line_dedup.drop_lines(docs(spark, texts, "1 as k1;2 as places;3 as lines;4 as row;5 as copied"), min_docs=6, depth=2)
+    assert found.columns == ["doc_id", "text", "k1", "places", "lines", "row", "copied"]
+    assert {r.doc_id: r.text for r in found.collect()} == {d: x[1] for d, x in wanted.items()}
+    assert 0 < sum(len(x[0]) for x in wanted.values()) < sum(len(t.split("\n")) for t in texts)
+
+
 def test_repeated_rows_count_as_one_document_and_empty_tables_stay_empty(spark):
     twice = docs(spark, ["a b c d\ntext one"]).unionByName(docs(spark, ["a b c d\ntext one"]))
     assert [r.text for r in line_dedup.drop_lines(twice, min_docs=2).collect()] == ["a b c d\ntext one"] * 2
