@@ -12,6 +12,9 @@ from kelpworks.llm.near_dedup import drop_near
 from kelpworks.llm.quality import keep_good
 from kelpworks.llm.shared import stored, table
 
+#: Documents of which this share of characters recurs are copies, which the near-duplicate stage decides on.
+COPY = 0.8
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -19,9 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs go; n_chars follows the text."""
+    """Lines whose template recurs go; n_chars follows the text. Copies (COPY) stay whole: the next stage keeps one of each group."""
     names = docs.columns
-    return drop_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    return drop_lines(docs, copy=COPY).withColumn("n_chars", F.length("text").cast("long")).select(*names)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
