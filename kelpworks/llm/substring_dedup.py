@@ -1,26 +1,32 @@
 """Substring dedup by collinear chaining: shared seeds, chains with gap costs through a Fenwick tree, alignment.
 
-1. Seeds: minimizers of word k-mers, of two sizes. Two texts that share 51 words share a LONG seed, which nothing
-   shorter than it can hold; SHORT ones find passages with changed words.
+1. Seeds: word k-mers of two sizes. LONG ones are minimizers: two texts that share MIN_WORDS words share one. SHORT ones
+   are chosen by their own hash, so that two texts choose the same ones whatever stands around; they find passages with
+   changed words. All places of a seed count, save those within MIN_WORDS of its last one in the same text.
 2. Links: equal texts are one node, its smallest id. Each seed that several nodes hold is linked from all of them to the
-   smallest one, so links grow with the occurrences and not with their square. A holder whose seed no passage with the
-   smallest one covers is then compared with all other holders that share enough word pairs around it, so that no passage depends on who is
-   smallest. This step grows with the square of a common phrase's holders.
-3. Chains: the matches of two nodes are chained in order of both texts; a gap costs GAP a word on either side. The
+   smallest one, and from each place to the one before it in the same text, so links grow with the occurrences and not
+   with their square.
+3. What the smallest holder leaves open: where no passage with it covers a holder's seed, all holders of that seed are
+   linked again by narrower keys, each again to its smallest holder. Around LONG seeds these are all stretches of
+   MIN_WORDS words that contain the seed, so that texts with such a stretch in common are compared with one that has it.
+   Around SHORT ones they are the seed together with a NEAR-mer close to it, of which one in NEAR_EVERY is chosen by hash.
+4. Chains: the matches of two nodes are chained in order of both texts; a gap costs GAP a word on either side. The
    best predecessor is a prefix maximum over the other text's positions, kept in a Fenwick tree.
-4. Alignment: hashed words around a chain are fetched in blocks; between matches and beyond the ends words are compared.
+5. Alignment: hashed words around a chain are fetched in blocks; between matches and beyond the ends words are compared.
    A passage counts if it has MIN_WORDS words on both sides and SIMILAR of them match.
 
-Result: one row per passage found in a node and the one it is linked to, and one per copy of a node. A document
-without a repeated passage has no row. Positions are those of words (from 0, end exclusive).
+Result: one row per passage found in a node and the one it is linked to (the same one where a text repeats a passage
+within itself), and one per copy of a node. A document without a repeated passage has no row. Positions are those of
+words (from 0, end exclusive).
 
-Defined results: a null text, and one of under MIN_WORDS words, has no passage; rows with a null id take no part;
-repeated rows count as one; a passage that a document repeats within itself is reported once; other columns are ignored.
+Defined results: a null text, and one of under MIN_WORDS words, has no passage; ids are whole numbers, and rows with a
+null id take no part; repeated rows count as one; of rows of one id with different texts the one whose text has the
+smallest hash stands for the id; within one text, places that overlap, or that are a run of one period (of at most half
+their length), are no repeat; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +40,12 @@ from kelpworks.llm.near_dedup import FOLD, mix
 from kelpworks.llm.shared import BROADCAST_KEYS, only_or_without, stored, table
 
 MIN_WORDS, SIMILAR, GAP = 50, 0.8, 0.1
-#: k-mer size and minimizer window: 40 + 12 - 1 = 51 words in common give a long seed.
-LONG, SHORT = (40, 12), (8, 32)
+#: k-mer size, and minimizer window: 24 + 27 - 1 = 50 words in common give a long seed.
+LONG = (24, 27, True)
+#: k-mer size, and of how many k-mers one is chosen by its hash.
+SHORT = (7, 6, False)
+#: Size of the k-mers that narrow a SHORT seed, of how many one is chosen, and how many words from the seed they may start.
+NEAR, NEAR_EVERY, NEAR_WORDS = 5, 4, 50
 #: Words of a block, and of the margin around a chain that is looked at.
 BLOCK, MARGIN = 64, 96
 POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -47,30 +57,65 @@ def hashes_of(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def seeds_of(h: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the minimizers of k words within w k-mers; each hash at its first place."""
+def kmers_of(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k-mers of words."""
     n = len(h) - k + 1
     if n < 1:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    powers = np.cumprod(np.full(len(h), POWER))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers)])
-    kmers = mix((sums[k:] - sums[:-k]) * np.cumprod(np.full(n, INVERSE)) ^ np.uint64(k))
-    if n <= w:
-        at = np.array([int(kmers.argmin())])
+        return np.empty(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(np.full(len(h), POWER)))])
+    return mix((sums[k:] - sums[:-k]) * np.cumprod(np.full(n, INVERSE)) ^ np.uint64(k))
+
+
+def seeds_of(h: np.ndarray, k: int, w: int, minimal: bool, apart: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and positions of the seeds of k words, and where each had its place before (-1: none).
+
+    Seeds are the minimizers within w k-mers, or those of which the hash is a multiple of w. Places of a seed less
+    than `apart` words after its last one are left out: they are looked at with that.
+    """
+    kmers = kmers_of(h, k)
+    if not minimal:
+        at = np.flatnonzero(kmers % np.uint64(w) == 0)
+    elif len(kmers) <= w:
+        at = np.array([int(kmers.argmin())] if len(kmers) else [], np.int64)
     else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(kmers, w).argmin(1) + np.arange(n - w + 1))
-    values, first = np.unique(kmers[at], return_index=True)
-    return values, at[first]
-
-
-def pairs_of(h: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring words, the nth of a kind apart from the others, so that common ones are counted as often as they occur."""
-    both = mix(h[:-1] * POWER + h[1:])
-    order = np.argsort(both, kind="stable")
-    ordered = both[order]
-    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(both)), bool), ordered[1:] != ordered[:-1]]))
-    nth = np.arange(len(both)) - np.repeat(starts, np.diff(np.append(starts, len(both))))
-    return (mix(ordered + nth.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        at = np.unique(np.lib.stride_tricks.sliding_window_view(kmers, w).argmin(1) + np.arange(len(kmers) - w + 1))
+    values = kmers[at]
+    order = np.argsort(values, kind="stable")  # places of a seed stay in order
+    values, at = values[order], at[order]
+    was = np.full(len(at), -1, np.int64)
+    again = np.flatnonzero(values[1:] == values[:-1]) + 1
+    kept = np.ones(len(at), bool)
+    last = {}
+    for i in again.tolist():
+        v = int(values[i])
+        before = last.setdefault(v, int(at[i - 1]))
+        if at[i] - before < apart:
+            kept[i] = False
+        else:
+            was[i], last[v] = before, int(at[i])
+    return values[kept], at[kept], was[kept]
+
+
+def narrower(h: np.ndarray, seeds: list[tuple[int, int, int, bool, bool]], whole: int = MIN_WORDS) -> dict[tuple[int, int, int], bool]:
+    """Narrower keys around seeds (hash, place, k, hub, open): (key, place, k), and whether one of its seeds is open."""
+    out: dict[tuple[int, int, int], bool] = {}
+    long, small = kmers_of(h, whole), kmers_of(h, NEAR)
+    chosen = small % np.uint64(NEAR_EVERY) == 0
+    for seed, at, k, hub, open_ in seeds:
+        if k == LONG[0]:
+            begin, end = max(0, at + k - whole), min(at + 1, len(long))
+            found = zip(long[begin:end].view(np.int64).tolist(), range(begin, end), strict=True)
+            keys = [(v, x, whole) for v, x in found]
+        elif hub:  # compared with every holder already
+            continue
+        else:
+            begin, end = max(0, at - NEAR_WORDS), min(at + k + NEAR_WORDS, len(small))
+            places = np.flatnonzero(chosen[begin:end]) + begin
+            places = places[(places < at) | (places > at + k - NEAR)]
+            keys = [(v, at, k) for v in np.unique(mix(small[places] * POWER ^ np.array([seed], np.int64).view(np.uint64))).view(np.int64).tolist()]
+        for key in keys:
+            out[key] = out.get(key, False) or open_
+    return out
 
 
 def chains_of(i: np.ndarray, j: np.ndarray, k: np.ndarray, gap: float = GAP) -> list[np.ndarray]:
@@ -154,6 +199,11 @@ def aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.nd
     return p, q, both & (a[np.minimum(p, len(a) - 1)] == b[np.minimum(q, len(b) - 1)]) & (a[np.minimum(p, len(a) - 1)] != 0)
 
 
+def periodic(words: np.ndarray, similar: float) -> bool:
+    """Whether the words repeat after at most half their length."""
+    return any((words[p:] == words[:-p]).mean() >= similar for p in range(1, len(words) // 2 + 1))
+
+
 def passages_of(same: np.ndarray, least: int, similar: float) -> list[tuple[int, int]]:
     """Disjoint stretches of at least so many columns, with that share of matches; each the best of what is left."""
     gain = np.where(same, 1.0, -similar / (1 - similar))
@@ -197,6 +247,10 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """doc_id, other_id (the smaller one), start, end, other_start, other_end, matched, copy (true: the texts are equal)."""
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     named = [F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.length("text").alias("n")]
+    twice = stored(base.select("id", *named).distinct().groupBy("id").agg(F.count("*").alias("texts"), F.min(F.struct("h1", "h2", "n")).alias("first")).where("texts > 1").select("id", "first"), "repeated-ids")
+    if not twice.isEmpty():
+        side = F.broadcast(twice) if twice.count() <= BROADCAST_KEYS else twice
+        base = base.join(side, "id", "left").where(F.col("first").isNull() | (F.col("first") == F.struct(*named))).drop("first")
     copies = base.select("id", *named).groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("most"))
     copies = stored(copies.where("rep != most"), "copied-texts")
     side = F.broadcast(copies) if copies.count() <= BROADCAST_KEYS else copies
@@ -207,12 +261,13 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         h = hashes_of(t)
         if len(h) < min_words:
             return None
-        parts = [(*seeds_of(h, *size), size[0]) for size in (LONG, SHORT)]
+        parts = [(*seeds_of(h, *size, apart=min_words), size[0]) for size in (LONG, SHORT)]
         value = np.concatenate([p[0] for p in parts]).view(np.int64)
-        return value, np.full(len(value), i), np.concatenate([p[1] for p in parts]).astype(np.int32), np.concatenate([np.full(len(p[0]), p[2], np.int32) for p in parts])
+        ints = (np.concatenate([np.broadcast_to(p[c], len(p[0])) for p in parts]).astype(np.int32) for c in (1, 2, 3))
+        return value, np.full(len(value), i), *ints
 
-    placed = stored(_rows(nodes, seeds, "seed long, id long, at int, k int"), "seeds")
-    held = placed.select("seed").groupBy("seed").count().where("count > 1").select("seed")
+    placed = stored(_rows(nodes, seeds, "seed long, id long, at int, was int, k int"), "seeds")
+    held = placed.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("hub")).where("n > 1").select("seed", F.col("hub.id").alias("other"), F.col("hub.at").alias("there"))
     shared = stored(placed.join(held, "seed"), "shared-seeds")
 
     def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,7 +298,7 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
                 left, right, same = aligned(a, b, i, j, np.asarray(row.k))
                 for x, y in passages_of(same, min_words, similar):
                     s, e, t, u = (int(c) for c in (left[x], left[y - 1] + 1, right[x], right[y - 1] + 1))
-                    if min(e - s, u - t) >= min_words:
+                    if min(e - s, u - t) >= min_words and (row.id != row.other or (q + u <= p + s and not periodic(a[s:e], similar))):
                         out.append((row.id, row.other, p + s, p + e, q + t, q + u, int(same[x:y].sum())))
             yield pd.DataFrame(out, columns=["doc_id", "other_id", "start", "end", "other_start", "other_end", "matched"])
 
@@ -262,32 +317,29 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         rows = chains.join(got, ["id", "other", "chain"]).select("id", "other", "i", "j", "k", "got").mapInPandas(align, "doc_id long, other_id long, start int, end int, other_start int, other_end int, matched int")
         return stored(rows.distinct(), "passages")
 
-    hubs = shared.groupBy("seed").agg(F.min("id").alias("other"), F.max("id").alias("most")).where("other != most").select("seed", "other")
-    first = stored(hubs.join(shared.select("seed", F.col("id").alias("other"), F.col("at").alias("there")), ["seed", "other"]).groupBy("seed", "other").agg(F.min("there").alias("there")), "first-seeds")
-    found = compared(shared.join(first, "seed").where("id != other"))
-    # what the hub left open: holders other than it of which no passage covers the seed, against every holder but the hub
-    covers = found.select(F.col("doc_id").alias("id"), "start", "end").unionByName(found.select(F.col("other_id").alias("id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"))).distinct()
-    members = stored(shared.join(first.select("seed", "other"), "seed").where("id != other").drop("other"), "members")
-    covered = members.join(covers, "id").where("at >= start and at + k <= end").select("seed", "id").distinct()
-    left = stored(members.join(covered, ["seed", "id"], "left_anti"), "left-open")
-    asked = members.join(left.select("seed").distinct(), "seed", "left_semi").groupBy("id").agg(F.collect_list(F.struct("seed", "at", "k")).alias("s"))
-
-    def around(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    links = shared.where("id != other").select("seed", "id", "other", "at", "there", "k")
+    within = shared.where("was >= 0").select("id", F.col("id").alias("other"), "at", F.col("was").alias("there"), "k")
+    found = compared(links.drop("seed").unionByName(within))
+
+    # seeds of which a holder has no passage with the smallest one there
+    covers = found.where("doc_id != other_id").select(F.col("doc_id").alias("id"), F.col("other_id").alias("other"), "start", "end").distinct()
+    covered = links.join(covers, ["id", "other"]).where("at >= start and at + k <= end").select("seed", "id", "at").distinct()
+    left = stored(links.join(covered, ["seed", "id", "at"], "left_anti").select("seed", "id", "at"), "left-open")
+    members = shared.join(left.select("seed").distinct(), "seed", "left_semi").join(left.withColumn("open", F.lit(True)), ["seed", "id", "at"], "left")
+    asked = members.groupBy("id").agg(F.collect_list(F.struct("seed", "at", "k", (F.col("id") == F.col("other")).alias("hub"), F.coalesce("open", F.lit(False)).alias("open"))).alias("s"))
+
+    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
             for i, t, s in zip(f["id"], f["text"], f["s"], strict=True):
-                h = hashes_of(t.encode())
-                out += [(i, x["seed"], x["at"], x["k"], pairs_of(h[max(0, x["at"] - MARGIN) : x["at"] + x["k"] + MARGIN]).tolist()) for x in s]
-            yield pd.DataFrame(out, columns=["id", "seed", "at", "k", "near"])
-
-    members = stored(nodes.join(asked, "id").mapInPandas(around, "id long, seed long, at int, k int, near array<int>"), "contexts")
-    mates = members.select("seed", F.col("id").alias("mate"), F.col("at").alias("mate_at"), F.col("near").alias("mate_near"))
-    # each differing column of a passage takes two word pairs at most, so the contexts share the others; one is for hashes that collide
-    least = math.ceil(min_words - 1 - 2 * (1 - similar) * min_words - 1e-6) - 1
-    pairs = members.join(left.select("seed", "id"), ["seed", "id"], "left_semi").join(mates, "seed").where("id != mate").where(F.size(F.array_intersect("near", "mate_near")) >= least)
-    later = F.col("id") > F.col("mate")
-    pairs = pairs.select(F.greatest("id", "mate").alias("id"), F.least("id", "mate").alias("other"), F.when(later, F.col("at")).otherwise(F.col("mate_at")).alias("at"), F.when(later, F.col("mate_at")).otherwise(F.col("at")).alias("there"), "k").distinct()
-    found = found.unionByName(compared(pairs)).distinct()
+                got = narrower(hashes_of(t.encode("utf-8", "surrogatepass")), [(x["seed"], x["at"], x["k"], x["hub"], x["open"]) for x in s], min_words)
+                if got:
+                    yield pd.DataFrame([(key, i, at, k, open_) for (key, at, k), open_ in got.items()], columns=["key", "id", "at", "k", "open"])
+
+    narrow = stored(nodes.join(asked, "id").mapInPandas(keys, "key long, id long, at int, k int, open boolean"), "narrower")
+    hubs = narrow.groupBy("key").agg(F.min(F.struct("id", "at")).alias("hub"), F.max("id").alias("most"), F.max("open").alias("open"))
+    hubs = hubs.where((F.col("hub.id") != F.col("most")) & F.col("open")).select("key", F.col("hub.id").alias("other"), F.col("hub.at").alias("there"))
+    again = narrow.join(hubs, "key").where("id != other").select("id", "other", "at", "there", "k").distinct()
+    found = found.unionByName(compared(again)).distinct()
     n = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     same = known.where("rep is not null and rep != id").select(F.col("id").alias("doc_id"), F.col("rep").alias("other_id"), n.alias("n")).where(F.col("n") >= min_words).distinct()
     whole = same.select("doc_id", "other_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.lit(0).alias("other_start"), F.col("n").alias("other_end"), F.col("n").alias("matched"), F.lit(True).alias("copy"))

@@ -124,6 +124,46 @@ def test_a_smaller_document_that_holds_a_seed_hides_no_passage(spark):
     assert [(r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end, r.matched) for r in rows] == [(2, 1, 60, 111, 60, 111, 51)]
 
 
+def passages(spark, texts):
+    return substring_dedup.find_passages(docs(spark, texts, "1 as id;2 as seed;3 as other;'x' as start")).collect()
+
+
+def test_pairs_with_a_smaller_holder_of_most_of_their_passage_are_all_found(spark):
+    """52 exact words in two documents, of which a third, smaller one holds 47."""
+    rng = random.Random(21)
+    planted = [prose(rng, 52) for _ in range(30)]
+    around = lambda x: " ".join(prose(rng, 60) + x + prose(rng, 60))
+    texts = [around(p[2:49]) for p in planted] + [around(p) for p in planted for _ in range(2)]
+    found = {(r.other_id, r.doc_id, r.start, r.end, r.matched) for r in passages(spark, texts)}
+    assert found == {(i, i + 1, 60, 112, 52) for i in range(30, 90, 2)}
+
+
+@pytest.mark.parametrize("quoted", [False, True])
+def test_passages_with_changed_words_are_found_nine_times_in_ten(spark, quoted):
+    """120 words of which every 12th differs, alone and with smaller documents that quote the runs between."""
+    rng = random.Random(22)
+    planted = [prose(rng, 120) for _ in range(40)]
+    around = lambda x: " ".join(prose(rng, 90) + x + prose(rng, 90))
+    texts = [around(p[a : a + 11]) for p in planted for a in range(0, 120, 12)] if quoted else []
+    pairs = {(len(texts) + 2 * i, len(texts) + 2 * i + 1) for i in range(40)}
+    for p in planted:
+        texts += [around(p), around([w if (i + 1) % 12 else f"z{rng.randrange(10**9)}" for i, w in enumerate(p)])]
+    found = {(r.other_id, r.doc_id) for r in passages(spark, texts)}
+    assert len(found & pairs) >= 36 and found <= pairs
+
+
+def test_repeats_within_a_document_and_rows_of_one_id(spark):
+    rng = random.Random(23)
+    p, q = prose(rng, 80), prose(rng, 70)
+    texts = [" ".join(prose(rng, 30) + p + prose(rng, 40) + p + prose(rng, 9)), " ".join(prose(rng, 10) + q + prose(rng, 10)), " ".join(q + prose(rng, 60) + q), "das " * 300, "x " * 30_000]
+    df = docs(spark, texts)
+    rows = [tuple(r) for r in substring_dedup.find_passages(df.unionByName(df.where("doc_id < 2"))).collect()]
+    assert sorted(rows) == [(0, 0, 150, 230, 30, 110, 80, False), (2, 1, 0, 70, 10, 80, 70, False), (2, 1, 130, 200, 10, 80, 70, False), (2, 2, 130, 200, 0, 70, 70, False)]
+    both = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[0]), (2, texts[1])], "doc_id long, text string")
+    one = [sorted(tuple(r) for r in substring_dedup.find_passages(x).collect()) for x in (both, both.orderBy(F.desc("text")))]
+    assert one[0] == one[1] and {r[:2] for r in one[0] if r[0] != r[1]} == {(2, 1)}
+
+
 def test_best_chain_is_the_best_of_all():
     rng = random.Random(8)
     for _ in range(30):
