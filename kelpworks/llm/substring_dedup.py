@@ -57,13 +57,29 @@ def hashes_of(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def _powers(n: int, kept: list = [np.cumprod(np.full(4096, POWER)), np.cumprod(np.full(4096, INVERSE))]) -> list[np.ndarray]:  # noqa: B006
+    """The first n powers of POWER and of its inverse; kept for further texts."""
+    if len(kept[0]) < n:
+        kept[:] = [np.cumprod(np.full(2 * n, x)) for x in (POWER, INVERSE)]
+    return [x[:n] for x in kept]
+
+
 def kmers_of(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-mers of words."""
     n = len(h) - k + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(np.full(len(h), POWER)))])
-    return mix((sums[k:] - sums[:-k]) * np.cumprod(np.full(n, INVERSE)) ^ np.uint64(k))
+    up, down = _powers(len(h))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up)])
+    return mix((sums[k:] - sums[:-k]) * down[:n] ^ np.uint64(k))
+
+
+def _running(x: np.ndarray, w: int, of: np.ufunc) -> np.ndarray:
+    """The least or largest of each w neighbours, in steps that double."""
+    size = 1
+    while size * 2 <= w:
+        x, size = of(x[:-size], x[size:]), size * 2
+    return of(x[: len(x) - (w - size)], x[w - size :]) if size < w else x
 
 
 def seeds_of(h: np.ndarray, k: int, w: int, minimal: bool, apart: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +94,8 @@ def seeds_of(h: np.ndarray, k: int, w: int, minimal: bool, apart: int = MIN_WORD
     elif len(kmers) <= w:
         at = np.array([int(kmers.argmin())] if len(kmers) else [], np.int64)
     else:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(kmers, w).argmin(1) + np.arange(len(kmers) - w + 1))
+        edge = np.zeros(w - 1, np.uint64)  # a k-mer is the least of some window if the largest minimum of its windows is its own
+        at = np.flatnonzero(_running(np.concatenate([edge, _running(kmers, w, np.minimum), edge]), w, np.maximum) == kmers)
     values = kmers[at]
     order = np.argsort(values, kind="stable")  # places of a seed stay in order
     values, at = values[order], at[order]
@@ -96,26 +113,25 @@ def seeds_of(h: np.ndarray, k: int, w: int, minimal: bool, apart: int = MIN_WORD
     return values[kept], at[kept], was[kept]
 
 
-def narrower(h: np.ndarray, seeds: list[tuple[int, int, int, bool, bool]], whole: int = MIN_WORDS) -> dict[tuple[int, int, int], bool]:
-    """Narrower keys around seeds (hash, place, k, hub, open): (key, place, k), and whether one of its seeds is open."""
-    out: dict[tuple[int, int, int], bool] = {}
+def narrower(h: np.ndarray, seed: np.ndarray, at: np.ndarray, k: np.ndarray, hub: np.ndarray, open_: np.ndarray, whole: int = MIN_WORDS) -> list[np.ndarray]:
+    """Columns of narrower keys around a text's seeds: key, place, k, and whether a seed that it comes from is open."""
     long, small = kmers_of(h, whole), kmers_of(h, NEAR)
-    chosen = small % np.uint64(NEAR_EVERY) == 0
-    for seed, at, k, hub, open_ in seeds:
-        if k == LONG[0]:
-            begin, end = max(0, at + k - whole), min(at + 1, len(long))
-            found = zip(long[begin:end].view(np.int64).tolist(), range(begin, end), strict=True)
-            keys = [(v, x, whole) for v, x in found]
-        elif hub:  # compared with every holder already
-            continue
-        else:
-            begin, end = max(0, at - NEAR_WORDS), min(at + k + NEAR_WORDS, len(small))
-            places = np.flatnonzero(chosen[begin:end]) + begin
-            places = places[(places < at) | (places > at + k - NEAR)]
-            keys = [(v, at, k) for v in np.unique(mix(small[places] * POWER ^ np.array([seed], np.int64).view(np.uint64))).view(np.int64).tolist()]
-        for key in keys:
-            out[key] = out.get(key, False) or open_
-    return out
+    # stretches of `whole` words that contain a LONG seed
+    wanted, opened = np.zeros(len(long), bool), np.zeros(len(long), bool)
+    for of, chosen in ((wanted, k == LONG[0]), (opened, (k == LONG[0]) & open_)):
+        x = (at[chosen][:, None] - np.arange(whole - LONG[0] + 1)).ravel()
+        of[x[(x >= 0) & (x < len(long))]] = True
+    x = np.flatnonzero(wanted)
+    # SHORT seeds, each with the chosen NEAR-mers around it; the hub is compared with every holder already
+    near = np.flatnonzero(small % np.uint64(NEAR_EVERY) == 0)
+    s = np.flatnonzero((k == SHORT[0]) & ~hub)
+    begin, end = np.searchsorted(near, at[s] - NEAR_WORDS), np.searchsorted(near, at[s] + SHORT[0] + NEAR_WORDS)
+    of = np.repeat(s, end - begin)
+    place = near[np.arange(len(of)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)]
+    outside = (place < at[of]) | (place > at[of] + SHORT[0] - NEAR)
+    of, place = of[outside], place[outside]
+    keys = np.concatenate([long[x], mix(small[place] * POWER ^ seed[of].view(np.uint64))]).view(np.int64)
+    return [keys, np.concatenate([x, at[of]]), np.concatenate([np.full(len(x), whole), k[of]]), np.concatenate([opened[x], open_[of]])]
 
 
 def chains_of(i: np.ndarray, j: np.ndarray, k: np.ndarray, gap: float = GAP) -> list[np.ndarray]:
@@ -267,8 +283,9 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         return value, np.full(len(value), i), *ints
 
     placed = stored(_rows(nodes, seeds, "seed long, id long, at int, was int, k int"), "seeds")
-    held = placed.groupBy("seed").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("hub")).where("n > 1").select("seed", F.col("hub.id").alias("other"), F.col("hub.at").alias("there"))
-    shared = stored(placed.join(held, "seed"), "shared-seeds")
+    held = placed.groupBy("seed").agg(F.count("*").alias("n"), F.min("id").alias("other")).where("n > 1").drop("n")
+    shared = stored(placed.join(held.hint("shuffle_hash"), "seed"), "shared-seeds")
+    first = stored(shared.where("id = other").groupBy("seed").agg(F.min("at").alias("there")), "first-seeds")
 
     def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -317,7 +334,7 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         rows = chains.join(got, ["id", "other", "chain"]).select("id", "other", "i", "j", "k", "got").mapInPandas(align, "doc_id long, other_id long, start int, end int, other_start int, other_end int, matched int")
         return stored(rows.distinct(), "passages")
 
-    links = shared.where("id != other").select("seed", "id", "other", "at", "there", "k")
+    links = shared.where("id != other").join(first, "seed").select("seed", "id", "other", "at", "there", "k")
     within = shared.where("was >= 0").select("id", F.col("id").alias("other"), "at", F.col("was").alias("there"), "k")
     found = compared(links.drop("seed").unionByName(within))
 
@@ -327,18 +344,26 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     left = stored(links.join(covered, ["seed", "id", "at"], "left_anti").select("seed", "id", "at"), "left-open")
     members = shared.join(left.select("seed").distinct(), "seed", "left_semi").join(left.withColumn("open", F.lit(True)), ["seed", "id", "at"], "left")
     asked = members.groupBy("id").agg(F.collect_list(F.struct("seed", "at", "k", (F.col("id") == F.col("other")).alias("hub"), F.coalesce("open", F.lit(False)).alias("open"))).alias("s"))
+    asked = nodes.join(asked, "id").select("id", "text", *(F.col(f"s.{c}").alias(c) for c in ("seed", "at", "k", "hub", "open")))
 
-    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i, t, s in zip(f["id"], f["text"], f["s"], strict=True):
-                got = narrower(hashes_of(t.encode("utf-8", "surrogatepass")), [(x["seed"], x["at"], x["k"], x["hub"], x["open"]) for x in s], min_words)
-                if got:
-                    yield pd.DataFrame([(key, i, at, k, open_) for (key, at, k), open_ in got.items()], columns=["key", "id", "at", "k", "open"])
-
-    narrow = stored(nodes.join(asked, "id").mapInPandas(keys, "key long, id long, at int, k int, open boolean"), "narrower")
-    hubs = narrow.groupBy("key").agg(F.min(F.struct("id", "at")).alias("hub"), F.max("id").alias("most"), F.max("open").alias("open"))
-    hubs = hubs.where((F.col("hub.id") != F.col("most")) & F.col("open")).select("key", F.col("hub.id").alias("other"), F.col("hub.at").alias("there"))
-    again = narrow.join(hubs, "key").where("id != other").select("id", "other", "at", "there", "k").distinct()
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 100):
+                batch = whole.slice(begin, 100)
+                texts, ids = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(0).to_pylist()
+                lists = [[x.values.to_numpy(zero_copy_only=False) for x in column] for column in batch.columns[2:]]
+                parts = [narrower(hashes_of(t), *columns, min_words) for t, *columns in zip(texts, *lists, strict=True)]
+                joined = [np.concatenate([p[c] for p in parts]) for c in range(4)]
+                owner = np.repeat(np.array(ids, np.int64), [len(p[0]) for p in parts])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((joined[0], owner, *joined[1:]), kinds, strict=True)], ["key", "id", "at", "k", "open"])
+
+    narrow = stored(asked.mapInArrow(keys, "key long, id long, at int, k int, open boolean"), "narrower")
+    hubs = narrow.groupBy("key").agg(F.min("id").alias("other"), F.max("id").alias("most"), F.max("open").alias("open")).where((F.col("other") != F.col("most")) & F.col("open")).select("key", "other")
+    again = stored(narrow.join(hubs.hint("shuffle_hash"), "key").select("key", "id", "other", "at", "k", "open"), "narrower-shared")
+    there = again.where("id = other").groupBy("key").agg(F.min("at").alias("there"), F.max("open").alias("hub_open"))
+    # two holders that both have passages with the seeds' smallest holder are linked through that
+    again = again.where("id != other").join(there, "key").where("open or hub_open").select("id", "other", "at", "there", "k").distinct()
     found = found.unionByName(compared(again)).distinct()
     n = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     same = known.where("rep is not null and rep != id").select(F.col("id").alias("doc_id"), F.col("rep").alias("other_id"), n.alias("n")).where(F.col("n") >= min_words).distinct()
