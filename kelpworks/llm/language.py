@@ -1,8 +1,8 @@
 """Language mixtures: expectation-maximisation over n-gram likelihoods, language set by penalised likelihood.
 
 Model: for each language, smoothed probabilities of hashed character 1- to 3-grams, counted over labelled documents.
-Prediction: a document is a mixture; EM estimates the share of each language in its n-grams. Starting from the
-languages that explain it best alone, the one with the least share is left out as long as the Bayesian information
+Prediction: a document is a mixture; EM estimates the share of each language in its n-grams. Starting from all
+languages, the one with the least share is left out as long as the Bayesian information
 criterion does not rise; the shares of the remaining set are the result. Documents go through in small dense batches.
 
 Defined results: a null text, and one without a letter, gets `und` and score 0; text of any length is read whole;
@@ -25,8 +25,6 @@ from kelpworks.llm.shared import table
 BUCKETS = 4096
 #: About so many labelled documents of each language are read for the model, chosen by a hash of their id.
 SAMPLE = 20_000
-#: At most so many languages are mixed in one document.
-MOST = 8
 #: n-grams count for this many observations at most in the criterion: they overlap, so they are not independent.
 OVERLAP = 3.0
 
@@ -83,8 +81,7 @@ def mixtures(counts: np.ndarray, logs: np.ndarray, steps: int = 8) -> np.ndarray
     p = np.exp(logs).T.astype(np.float32)
     total = np.maximum(counts.sum(1, keepdims=True), 1)
     alone = counts @ logs.T.astype(np.float32)
-    kept = np.zeros((docs, langs), bool)
-    np.put_along_axis(kept, np.argsort(-alone, axis=1)[:, :MOST], True, axis=1)
+    kept = np.ones((docs, langs), bool)
 
     def em(kept: np.ndarray, pi: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for _ in range(steps):

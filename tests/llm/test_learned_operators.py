@@ -241,6 +241,23 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.mix(odd, labels.limit(0)).count() >= 4 and mixing.mix(odd.limit(0), labels).count() == 0
 
 
+def test_posteriors_agree_with_naive_bayes_in_plain_python(spark, sf_dir):
+    """The fitted weights and priors applied to each text's buckets; telling words tell, and columns keep their names and values."""
+    table, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+    priors, weights = mixing.bucket_weights(table, labels)
+    rows = table.select("doc_id", "text", mixing.terms_of(mixing.words_of(F.col("text")), F.col("text")).alias("terms"))
+    terms = {r.doc_id: r.terms for r in rows.select("doc_id", "terms").collect()}
+    names = sorted(mixing.TARGETS)
+    for r in mixing.with_posteriors(rows.select("doc_id", "text"), priors, weights, names).collect():
+        raw = np.array([priors.get(d, -np.inf) + sum(weights[d][b] for b in terms[r.doc_id]) if d in priors else -np.inf for d in names])
+        e = np.exp(raw - raw.max())
+        assert np.allclose(r.posterior, e / e.sum(), atol=1e-9) and len(set(terms[r.doc_id])) == len(terms[r.doc_id])
+    out = mixing.mix(docs(spark, ["good words here", "bad"], "'a' as tokens;'b' as posterior;'c' as row;'d' as n;'e' as w"), labels.limit(0))
+    assert out.columns == ["doc_id", "text", "tokens", "posterior", "row", "n", "w", "domain", "rate", "copy"]
+    assert {(r.tokens, r.posterior, r.row, r.n, r.w) for r in out.collect()} == {("a", "b", "c", "d", "e")}
+
+
 def test_rates_are_the_least_squares_solution(spark):
     rng = np.random.default_rng(2)
     p, t = rng.dirichlet((0.4, 0.4, 0.4), 12), rng.integers(1, 50, 12).astype(float)
