@@ -1,6 +1,6 @@
 """Mixing to target weights with soft domain membership; built-in Spark functions only.
 
-1. Classifier: naive Bayes on the presence of all terms (words, runs of symbols, a word said three times in a row),
+1. Classifier: naive Bayes on the presence of all terms (words, runs of ASCII symbols, a word said three times in a row),
    hashed to BUCKETS and counted over the documents of a labelled table, predicts each document's posterior over the
    domains (a document belongs to each in part). A bucket's log odds in a domain count where they differ from those
    in all documents by more than SURE standard errors and FACTOR, so that small differences of many terms don't add up.
@@ -47,12 +47,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]++"), lambda w: w != "")
 
 
-def terms_of(words: Column, text: Column) -> Column:
-    """Different buckets of a text's words, its runs of symbols, and of a word said three times in a row."""
+def terms_of(words: Column, text: Column, of=lambda bucket: bucket) -> Column:
+    """Different buckets (or what `of` makes of them) of a text's words, its runs of ASCII symbols, and of a word said three times in a row."""
     text = F.coalesce(text, F.lit(""))
-    signs = F.regexp_extract_all(text, F.lit(r"[^\p{L}\p{N}\s]++"), F.lit(0))
+    signs = F.regexp_extract_all(text, F.lit(r"[!-/:-@\[-`{-~]++"), F.lit(0))
     again = F.when(text.rlike(r"(?<!\S)(\S{1,40}+)\x20\1\x20\1(?!\S)"), F.array(F.lit("<again>"))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.transform(F.concat(words, signs, again), lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")))
+    return F.array_distinct(F.transform(F.concat(words, signs, again), lambda t: of(F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))))
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[dict[str, float], dict[str, list[float]]]:
@@ -99,7 +99,7 @@ def with_posteriors(docs: DataFrame, priors: dict[str, float], weights: dict[str
     for n, i in enumerate(telling):
         rank[i] = n
     literal = lambda xs, kind: F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>")  # noqa: E731 - folded to one constant
-    terms = F.filter(F.transform(terms_of(F.col("w"), F.col("text")), lambda b: F.get(literal(rank, "int"), b)), lambda n: n >= 0)
+    terms = F.filter(terms_of(F.col("w"), F.col("text"), lambda b: F.get(literal(rank, "int"), b)), lambda n: n >= 0)
     docs = docs.select(*kept, F.size("w").cast("long").alias("tokens"), (terms if telling else F.array().cast("array<int>")).alias("t"))
     scores = []
     for d in known:
@@ -141,6 +141,7 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], domains: list[str], st
     """
     width = 1.0 / (1.0 + ridge)
     moves: list[list[float]] = []
+    docs = stored(docs.groupBy("posterior").agg(F.sum("tokens").alias("tokens")), "cells")  # equal posteriors have equal rates
 
     def totals(momentum: float) -> tuple[float, list[float], list[float], float]:
         """Tokens, shares where the next step starts and those at the rates, and the size of the projected gradient that the last step followed."""
