@@ -198,13 +198,13 @@ SELECT o_orderkey, md5('LISTING_ID: ' || o_orderkey || chr(10) || 'Loại: ' ||
 
 def expected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of expected outputs and highlights, made of each customer."""
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 200")
+    c = table(spark, sf_dir, "customer")
     expected = F.concat(F.lit("- Nêu đúng giá bán: "), F.col("c_custkey"), F.lit(" tỷ\n1. Không suy đoán\nXác định rằng quận "), F.col("c_name"), F.lit("\nlời chào"))
     listed = F.concat_ws("|", F.col("c_name"), F.lit("gần trường học"), F.col("c_mktsegment"))
     return c.select("c_custkey", stated_facts(expected).alias("facts"), highlights(F.lit("có trường nào gần không"), listed).alias("highlights"))
 
 
-FACTS = "SELECT c_custkey, 'Giá: ' || c_custkey || ' tỷ' || chr(10) || 'quận ' || c_name AS facts, 'gần trường học' AS highlights FROM customer WHERE c_custkey <= 200"
+FACTS = "SELECT c_custkey, 'Giá: ' || c_custkey || ' tỷ' || chr(10) || 'quận ' || c_name AS facts, 'gần trường học' AS highlights FROM customer"
 
 
 QUERIES = {"eligible_configurations": eligible_configurations, "report_table": report_table, "configuration_grid": configuration_grid, "metric_statistics": metric_statistics, "case_pivot": case_pivot, "score_card": score_card, "counts_by_field": counts_by_field, "runtime_profile": runtime_profile, "round_robin": round_robin, "judge_costs": judge_costs, "probe_budget": probe_budget, "target_rank": target_rank, "plan_years": plan_years, "listing_texts": listing_texts, "expected_facts": expected_facts}
