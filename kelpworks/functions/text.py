@@ -13,6 +13,12 @@ from pyspark.sql import types as T
 _PAIRS = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", chr(c))) > 1}
 _PAIRS = {a: b for a, b in _PAIRS.items() if b.isascii() and b.isalpha()} | {"đ": "d", "Đ": "D"}
 FROM, TO = "".join(_PAIRS), "".join(_PAIRS.values())
+#: Characters that are no space, headings in front of a folded line, areas, and words of project tables.
+VISIBLE = r"[^\s\p{Z}\x0B\x1C-\x1F\x85]"
+HEADING = r"^(?:(?:chuong|phu luc|muc|phan|dieu)|\d+(?:\.\d+){0,3})\b"
+AREA = r"\b\d+(?:[.,]\d+)?\s*(?:ha|m2|m²)\b"
+PROJECT_WORDS = ("du an", "cong trinh", "thu hoi", "dau gia", "gpmb")
+PROJECT_COLUMNS = ("tt", "stt", "danh muc", "cong trinh", "du an", "ma loai dat", "dien tich ke hoach", "dien tich thu hoi", "dia danh", "phuong", "can cu phap ly", "ghi chu")
 #: What text that was decoded with the wrong codec shows.
 MOJIBAKE = ("Ã", "Â", "Ä", "Æ", "â€", "–", "—", "�")
 
@@ -154,14 +160,18 @@ def travel_minutes(seconds: Column) -> Column:
 
 
 def quality_of(c: Column, pages: Column, long_pages: Column) -> Column:
-    """Share of pages with text, characters a page, share of letters; less for broken characters; 0 to 1, 3 digits."""
+    """Share of pages with text, characters a page, letters among what is no space; less for broken characters; 0 to 1,
+    3 digits. Without any text a quarter of the share of pages."""
     sample = F.substring(_text(c), 1, 120_000)
     n = F.length(sample)
-    share = lambda pattern: F.regexp_count(sample, F.lit(pattern)) / F.greatest(n, F.lit(1))
+    count = lambda pattern: F.regexp_count(sample, F.lit(pattern))
+    share = lambda pattern: count(pattern) / F.greatest(n, F.lit(1))
     whole = F.greatest(pages, F.lit(1))
-    base = 0.35 * (long_pages / whole) + 0.35 * F.least(F.lit(1.0), F.length(_text(c)) / whole / 900) + 0.30 * F.least(F.lit(1.0), share(r"\p{L}") / 0.45)
+    covered = F.least(F.lit(1.0), long_pages / whole)
+    letters = count(r"\p{L}") / F.greatest(count(VISIBLE), F.lit(1))
+    base = 0.35 * covered + 0.35 * F.least(F.lit(1.0), F.length(_text(c)) / whole / 900) + 0.30 * F.least(F.lit(1.0), letters / 0.45)
     broken = 18 * share("�") + 30 * share(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * (1 - 0.6 * F.least(F.lit(1.0), broken)))), 3))
+    return F.when(n == 0, F.round(0.25 * covered, 3)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base * (1 - 0.6 * F.least(F.lit(1.0), broken)))), 3))
 
 
 def is_table_line(c: Column) -> Column:
@@ -173,8 +183,8 @@ def is_heading(c: Column) -> Column:
     """A keyword or number in front, or short and nearly all in capitals."""
     flat = normalize_match(c)
     letters, upper = F.regexp_count(c, F.lit(r"\p{L}")), F.regexp_count(c, F.lit(r"\p{Lu}"))
-    loud = (letters >= 8) & (upper >= 0.78 * letters) & (F.length(c) <= 150)
-    return (F.length(F.trim(c)) > 0) & (flat.rlike(r"^(phan|chuong|muc|dieu)\s+[ivxlcdm0-9]+\b") | flat.rlike(r"^\d+(\.\d+)*[.)]\s+\S+") | loud)
+    loud = (letters >= 8) & (upper >= 0.78 * letters) & (F.length(F.trim(c)) <= 150)
+    return (F.length(F.trim(c)) > 0) & (flat.rlike(HEADING) | loud)
 
 
 def hierarchy_level(c: Column) -> Column:
@@ -191,6 +201,19 @@ def is_new_item(c: Column) -> Column:
     return normalize_match(c).rlike(r"^(\d+[.)]|[a-z][.)]|[ivxlcdm]+[.)])\s+\S+")
 
 
+def is_project_line(c: Column) -> Column:
+    """Names a project or taking of land, is a table's line, or gives an area."""
+    flat = normalize_match(c)
+    return (flat != "") & (contains_any(flat, PROJECT_WORDS) | is_table_line(c) | flat.rlike(AREA))
+
+
+def is_project_header(c: Column) -> Column:
+    """Three of a project table's column names, or two where the first is the running number."""
+    flat = normalize_match(c)
+    named = hits(flat, PROJECT_COLUMNS)
+    return (named >= 3) | ((named >= 2) & flat.rlike(r"^s?tt\b"))
+
+
 def is_weak_chunk(c: Column) -> Column:
     """empty, one line of digits, or two short lines without a number and unit."""
     lines = F.filter(F.split(F.trim(_text(c)), "\n"), lambda x: F.trim(x) != "")

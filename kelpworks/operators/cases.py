@@ -62,13 +62,23 @@ def cost_by_case(results: DataFrame, case: str, cost: str) -> DataFrame:
     return results.groupBy(case).agg(F.round(F.sum(F.col(cost).cast("string").try_cast("double")), 8).alias("cost"))
 
 
-def merged_results(batches: list[DataFrame], case: str) -> DataFrame:
-    """Batches of results one after the other; cases are numbered on."""
+def merged_results(batches: list[DataFrame], case: str, parts: int = 256) -> DataFrame:
+    """Batches of results one after the other; cases are numbered on by case, a null first. Cases are numbered within
+    parts that a sample of them bounds, and moved on by the counts of earlier parts, so no task sorts a whole batch."""
     whole = None
     for i, b in enumerate(batches):
         b = b.withColumn("batch", F.lit(i))
         whole = b if whole is None else whole.unionByName(b, allowMissingColumns=True)
-    return whole.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("batch", case)) - 1)  # as many rows as judged cases
+    # the sample only balances the parts; positions are the same for any
+    bounds = sorted({r[0] for r in whole.select(case).where(F.col(case).isNotNull()).orderBy(F.rand(1)).limit(parts - 1).collect()})
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(case))) if bounds else F.lit(0)
+    whole = whole.withColumn("__part", F.when(F.col(case).isNull(), -1).otherwise(part))
+    counts = whole.groupBy("batch", "__part").agg(F.count("*").alias("__n"))
+    order = Window.orderBy("batch", "__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part and batch
+    before = counts.select("batch", "__part", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("batch", "__part").orderBy(case)) - 1
+    numbered = whole.withColumn("__place", place).join(F.broadcast(before), ["batch", "__part"])
+    return numbered.withColumn("position", F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
 
 
 def within_budget(rows: DataFrame, per: str, order: str, content: str, docs: int, characters: int) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from kelpworks.functions.text import AREA, HEADING, PROJECT_COLUMNS, PROJECT_WORDS
 from kelpworks.operators.search import folded
 
 #: Separators in order of preference, sizes and overlaps, and limits of chunks.
@@ -71,8 +73,23 @@ def is_table(line: str) -> bool:
 
 def is_heading(line: str) -> bool:
     letters = [c for c in line if c.isalpha()]
-    loud = len(letters) >= 8 and sum(c.isupper() for c in letters) >= 0.78 * len(letters) and len(line) <= 150
-    return bool(line.strip()) and (bool(re.match(r"(phan|chuong|muc|dieu)\s+[ivxlcdm0-9]+\b|\d+(\.\d+)*[.)]\s+\S+", flat(line))) or loud)
+    loud = len(letters) >= 8 and sum(c.isupper() for c in letters) >= 0.78 * len(letters) and len(line.strip()) <= 150
+    return bool(line.strip()) and (bool(re.match(HEADING, flat(line))) or loud)
+
+
+def is_project(line: str) -> bool:
+    f = flat(line)
+    return bool(f) and (any(w in f for w in PROJECT_WORDS) or is_table(line) or bool(re.search(AREA, f)))
+
+
+def is_project_header(line: str) -> bool:
+    f = flat(line)
+    named = sum(w in f for w in PROJECT_COLUMNS)
+    return named >= 3 or (named == 2 and bool(re.match(r"s?tt\b", f)))
+
+
+def is_new_item(line: str) -> bool:
+    return bool(re.match(r"(\d+|[a-z]|[ivxlcdm]+)[.)]\s+\S+", flat(line)))
 
 
 def is_weak(text: str) -> bool:
@@ -80,14 +97,28 @@ def is_weak(text: str) -> bool:
     return not lines or (len(lines) == 1 and lines[0].strip().isdigit()) or (len(lines) <= 2 and len(text.split()) <= 6 and not re.search(UNIT, flat(text)))
 
 
+#: What the archetype is told by: column names, and what the lines' beginnings are.
+TABLE_MARKERS = ("danh muc cong trinh", "du an", "ma loai dat", "dien tich ke hoach", "dien tich thu hoi", "can cu phap ly", "ghi chu", "hdnd thanh pho")
+RAW_STARTS = {"roman": r"[IVXLCDM]+\s+\S+", "alpha": r"[A-ZĐ]\s+\S+"}
+FLAT_STARTS = {"letter": r"[a-z][.)]\s+\S+", "number": r"\d+[.)]\s+\S+"}
+
+
 def archetype(lines: list[str]) -> str:
-    """Of the first 700 lines."""
-    f = [flat(x) for x in lines[:700]]
-    whole = "\n".join(f)
+    """Of the first 700 lines, by what kinds of lines there are."""
+    rows = [(x.strip(), flat(x)) for x in lines[:700]]
+    whole = " ".join(f for _, f in rows)[:140_000]
     if "quyet dinh" in whole and whole.count("can cu") >= 2 and re.search(r"\bdieu\s+\d+\b", whole):
         return "decision"
-    tables, levels = sum(map(is_table, lines[:700])), sum(level_of(x) is not None for x in lines[:700])
-    return "hierarchical_table" if tables >= 8 and levels >= 4 else "narrative_report"
+    n: Counter[str] = Counter()
+    for raw, f in rows:
+        n.update(k for k, p in RAW_STARTS.items() if re.match(p, raw))
+        n.update(k for k, p in FLAT_STARTS.items() if re.match(p, f))
+        n["level"] += level_of(raw) is not None
+        n["header"] += is_project_header(raw)
+        n["project"] += is_project(raw) and (f[:1].isdigit() or " du an " in f" {f} ")
+    nested = n["alpha"] and n["roman"] and (n["letter"] or n["header"]) and n["project"] >= 2
+    listed = sum(m in whole for m in TABLE_MARKERS) >= 2 and n["level"] >= 5 and n["number"] >= 2
+    return "hierarchical_table" if nested or listed else "narrative_report"
 
 
 def chunk(content: str, page: int, kind: str, chunker: str, **more) -> dict:
@@ -123,7 +154,7 @@ def hierarchical(pages: list[list[str]], mode: str = "parent_context") -> list[d
             out.append(chunk(text, number, kind, "hierarchical", **more))
 
         for line in lines:
-            level = level_of(line) or (3 if is_heading(line) and not is_table(line) else None)
+            level = level_of(line) or (3 if is_heading(line) and not is_new_item(line) and not is_project(line) else None)
             if level is not None and level <= 3 and not is_table(line):
                 flush()
                 header = []
@@ -147,6 +178,42 @@ def hierarchical(pages: list[list[str]], mode: str = "parent_context") -> list[d
     return once(out)
 
 
+def contextual(pages: list[list[str]]) -> list[dict]:
+    """T5: blocks of lines below the open headings, which go on over pages. A block ends at a heading, at a new item after
+    a project's lines, and when full (14 lines, 1700 characters); the line that filled it then also opens the next one."""
+    out: list[dict] = []
+    path: dict[int, str] = {}
+    block: list[str] = []
+
+    def close(number: int) -> None:
+        if block:
+            names = [path[k] for k in sorted(path)]
+            body = "\n".join(block)
+            more = {"section_heading": names[-1] if names else None, "hierarchy_path": " > ".join(names) or None, "hierarchy_level": max(path, default=None)}
+            out.append(chunk("\n".join([*(f"[h{k}={path[k]}]" for k in sorted(path)), body]), number, "table" if is_project(body) else "text", "contextual", **more))
+            block.clear()
+
+    for number, lines in enumerate(pages, 1):
+        for line in (x.strip() for x in lines if x.strip()):
+            level = level_of(line)
+            if level is not None:
+                close(number)
+                if not is_project_header(line):
+                    path = {k: x for k, x in path.items() if k < level} | {level: line}
+                continue
+            if len(block) >= 2 and is_new_item(line) and is_project(block[0]):
+                close(number)
+            if block:
+                block.append(line)
+                if len(block) < 14 and len("\n".join(block)) < 1700:
+                    continue
+                close(number)
+            if not is_project_header(line):
+                block.append(line)
+        close(number)
+    return once(out)
+
+
 def decision(pages: list[list[str]]) -> list[dict]:
     """Legal basis, front matter, articles and the closing part; long ones are split."""
     out: list[dict] = []
@@ -219,53 +286,40 @@ def continued(chunks: list[dict]) -> list[dict]:
 
 
 class Locator:
-    """The lines of a page that a chunk stands on; each page's search goes on from where the last one ended."""
+    """The page and lines that a chunk stands on; each page's search goes on from where the last one ended."""
 
     def __init__(self, pages: list[list[str]]):
         self.pages = [[flat(x) for x in lines] for lines in pages]
         self.cursor = [0] * len(pages)
 
-    def find(self, content: str, page: int) -> tuple[int, int] | None:
-        lines = self.pages[page - 1] if 0 < page <= len(self.pages) else []
-        begin = self.cursor[page - 1] if lines else 0
-        wanted = flat(content)
-        place = self.whole(lines, begin, wanted) or self.closest(lines, begin, wanted)
-        if place:
-            self.cursor[page - 1] = place[1]
-        return place
-
-    @staticmethod
-    def whole(lines: list[str], begin: int, wanted: str) -> tuple[int, int] | None:
-        """The first lines that are exactly the chunk."""
-        for s in range(begin, len(lines)):
-            if lines[s] and wanted.startswith(lines[s]):
-                at, e = len(lines[s]), s + 1
-                while at < len(wanted) and e < len(lines) and wanted.startswith(" " + lines[e], at):
-                    at, e = at + 1 + len(lines[e]), e + 1
-                if at == len(wanted):
-                    return s + 1, e
-        return None
-
-    @staticmethod
-    def closest(lines: list[str], begin: int, wanted: str) -> tuple[int, int] | None:
-        """The window of at most 25 lines that shares most words; one that nearly is the chunk ends the search."""
-        words = set(wanted.split())
-        best, place = 0.35, None
-        for s in range(begin, len(lines)):
-            own: set[str] = set()
-            window = ""
-            for e in range(s, min(len(lines), s + 25)):
-                own.update(lines[e].split())
-                window = f"{window} {lines[e]}".strip()
-                # no longer window from here can be better, as it only gains words that the chunk lacks
-                if len(words) / max(1, len(own)) + 0.4 <= best:
-                    break
-                score = len(own & words) / max(1, len(words | own)) + (0.4 if window and window in wanted else 0.0)
-                if score > best:
-                    best, place = score, (s + 1, e + 1)
-                if score >= 0.92:
-                    return place
-        return place
+    def find(self, content: str, page: int) -> tuple[int, int, int] | None:
+        """The first window of at most 25 lines that holds 0.92 of the chunk's words, its own page before the others;
+        else the one that holds most, if these are 0.35."""
+        words = Counter(flat(content).split())
+        total = sum(words.values())
+        best, place = 0.0, None
+        for p in sorted(range(len(self.pages)), key=lambda p: p != page - 1) if total else ():
+            lines = self.pages[p]
+            held: dict[int, list[str]] = {}
+            for s in range(min(self.cursor[p], len(lines) - 1), len(lines)) if lines else ():
+                seen: set[str] = set()
+                score = 0
+                for e in range(s, min(len(lines), s + 25)):
+                    if e not in held:  # words hold no blank, so a window holds one only within a line
+                        held[e] = [w for w in words if w in lines[e]]
+                    for w in held[e]:
+                        if w not in seen:
+                            seen.add(w)
+                            score += words[w]
+                    if score > best * total:
+                        best, place = score / total, (p, s, e)
+                    if score >= 0.92 * total:
+                        return self.ended(p, s, e)
+        return self.ended(*place) if place and best >= 0.35 else None
+
+    def ended(self, p: int, s: int, e: int) -> tuple[int, int, int]:
+        self.cursor[p] = min(e + 1, len(self.pages[p]) - 1)
+        return p + 1, s + 1, e + 1
 
 
 #: Other names of the chunking modes.
@@ -283,13 +337,15 @@ def document_chunks(text: str, mode: str = "") -> list[dict]:
         chunks = chunks or sections(pages)
     else:
         kind = archetype([x for p in pages for x in p])
-        chunks = continued({"decision": decision, "hierarchical_table": hierarchical}.get(kind, sections)(pages))
+        ways = {"decision": (decision, sections), "hierarchical_table": (contextual, sections)}.get(kind, (sections, contextual))
+        chunks = continued(next((found for way in ways if (found := way(pages))), []))
     chunks = [c for c in chunks if c["is_parent"] or not is_weak(c["content"])]
     locator, counts = Locator(pages), {}
     for i, c in enumerate(chunks, 1):
         counts[c["chunk_type"]] = counts.get(c["chunk_type"], -1) + 1
         span = None if c["is_parent"] else locator.find(re.sub(r"^\[h.*\]\n", "", c["content"], flags=re.M), c["page_number"])
-        c |= {"chunk_index": counts[c["chunk_type"]], "global_index": i, "line_start": span and span[0], "line_end": span and span[1], "preview": c["content"][:400]}
+        c |= {"page_number": span[0] if span else c["page_number"], "line_start": span and span[1], "line_end": span and span[2]}
+        c |= {"chunk_index": counts[c["chunk_type"]], "global_index": i, "preview": c["content"][:400]}
     return chunks
 
 

@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpworks.functions import vocabulary as v
-from kelpworks.functions.text import compact, contains_any, normalize_planning, normalize_text, year_in
+from kelpworks.functions.text import compact, contains_any, hits, normalize_planning, normalize_text, said
+from kelpworks.operators.listing import utility_groups
 from kelpworks.operators.search import folded
 
 
 def district_of(c: Column) -> Column:
-    """The first district whose alias stands as a phrase, else whose compact name is contained; null if none."""
+    """The first district whose alias stands as a phrase, else whose compact name is contained, else whose ward is named; null if none."""
     text, tight = F.concat(F.lit(" "), normalize_text(c), F.lit(" ")), compact(c)
     phrase = [F.when(F.contains(text, F.lit(f" {folded(d)} ")), F.lit(d)) for d in v.DISTRICTS]
     inside = [F.when(F.contains(tight, F.lit(folded(d).replace(" ", ""))), F.lit(d)) for d in v.DISTRICTS]
-    return F.coalesce(*phrase, *inside)
+    ward = [F.when(F.contains(text, F.lit(f" {w} ")), F.lit(d)) for w, d in v.WARDS.items()]
+    return F.coalesce(*phrase, *inside, *ward)
 
 
 def matches_district(document: Column, haystack: Column, district: str) -> Column:
@@ -33,20 +35,35 @@ def matches_year(year: Column, haystack: Column, wanted: int) -> Column:
 
 
 def planning_intent(question: Column) -> Column:
-    """L1: a keyword, or a land, structure or reason term beside a district, a year or an administrative unit."""
+    """L1: a keyword; or, beside a place or a year, a land, structure or reason term; projects need both place and year."""
     q = normalize_text(question)
-    placed = district_of(question).isNotNull() | year_in(question).isNotNull() | q.rlike(r"\b(quan|huyen|phuong|xa|thi xa)\b")
-    return contains_any(q, v.PLANNING_KEYWORDS) | (placed & (contains_any(q, v.LAND_ADMIN_TERMS) | contains_any(q, v.STRUCTURAL_TERMS) | contains_any(q, v.REASON_TERMS)))
+    year = F.regexp_like(F.coalesce(question, F.lit("")), F.lit(r"\b20\d{2}\b"))
+    place = district_of(question).isNotNull() | q.rlike(r"\b(phuong|xa|thi tran)\b")
+    land = [m for m in v.LAND_ADMIN_TERMS if m not in v.PROJECT_TERMS]
+    topical = contains_any(q, (*land, *v.REASON_TERMS, *v.STRUCTURAL_TERMS))
+    return contains_any(q, v.PLANNING_KEYWORDS) | (topical & (place | year)) | (contains_any(q, v.PROJECT_TERMS) & place & year)
 
 
-def query_profile(question: Column) -> Column:
-    """L2: eight flags."""
+def query_profile(question: Column, intent: Column | None = None) -> Column:
+    """L2: eight flags, all false for a question that isn't about planning (L1, unless intent says so)."""
     q = normalize_planning(question)
+    says = lambda markers: contains_any(q, markers)
+    structure = says(v.PROJECT_SUBJECTS) & says(v.PROJECT_STATES)
+    focus = says(v.FOCUS_MARKERS) & q.rlike(r"(?:phuong|xa)\s+[a-z0-9]{2,}")
+    demand = says(v.DEMAND_MARKERS) & (hits(q, v.SECTORS) >= 2)
+    network = says(v.NETWORKS) & says((*v.TERRAIN, *v.NETWORK_REASONS))
+    measured, amounts = says(v.ANALYTICAL_MARKERS), says(v.AMOUNT_MARKERS) | q.rlike(v.AMOUNT)
+    # how it is made up, or how much it is; a question for reasons only if it names what a fact is made of
+    analytical = says(v.HOW_MARKERS) & (measured | (amounts & ~says(v.REASONING_MARKERS)))
+    explanatory = ~(structure | focus | demand | network | analytical) & says(v.EXPLANATORY_MARKERS)
+    why = says(v.PROJECT_REASONS)
+    carried = (hits(q, v.CARRY_FORWARD_MARKERS) >= 2) | says(v.RESULT_GROUPS)
     flags = {
-        "fact": contains_any(q, v.FACT_MARKERS), "explanatory": contains_any(q, v.EXPLANATORY_MARKERS), "analytical": contains_any(q, v.ANALYTICAL_MARKERS), "carry_forward": contains_any(q, v.CARRY_FORWARD_MARKERS),
-        "registered_plan": contains_any(q, v.REGISTERED_PLAN_MARKERS), "entity": contains_any(q, v.ENTITY_MARKERS), "structural": contains_any(q, v.STRUCTURAL_TERMS), "land_admin": contains_any(q, v.LAND_ADMIN_TERMS),
+        "fact": says(v.FACT_MARKERS) | explanatory, "explanatory": explanatory, "project_structure": structure, "focus_area_reason": focus, "sector_land_demand": demand,
+        "drainage_transport": network, "carry_forward": structure & ~why & carried, "project_delay_reason": structure & why & says(v.DELAY_MARKERS),
     }
-    return F.struct(*(f.alias(k) for k, f in flags.items()))
+    about = planning_intent(question) if intent is None else intent
+    return F.struct(*((f & about).alias(k) for k, f in flags.items()))
 
 
 def query_intents(question: Column) -> Column:
@@ -111,14 +128,46 @@ def mentioned_post(c: Column) -> Column:
 
 
 def language_of(c: Column) -> Column:
-    """Vi by its letters or by two of its common words (one in a short text), else en."""
-    words = F.filter(F.split(normalize_text(c), " "), lambda w: w != "")
-    markers = F.size(F.filter(words, lambda w: w.isin("la", "cua", "khong", "gia", "bao", "nhieu", "nha", "can", "quan", "toi", "co", "cho")))
+    """L12 without a classifier: vi by its letters or by two of its common words (one in a text of six), else en."""
+    words = F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
+    markers = F.size(F.filter(words, lambda w: w.isin(*v.VIETNAMESE)))
     return F.when(F.lower(c).rlike("[ăâđêôơưáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]"), "vi").when(markers >= F.when(F.size(words) <= 6, 1).otherwise(2), "vi").otherwise("en")
 
 
-def tidied(answer: Column, dropped: list[str]) -> Column:
-    """Without the lines that match one of the patterns; an answer is never emptied."""
-    lines = F.split(F.coalesce(answer, F.lit("")), "\n")
-    left = F.trim(F.array_join(F.filter(lines, lambda x: ~reduce(lambda a, b: a | b, (x.rlike(p) for p in dropped), F.lit(False))), "\n"))
-    return F.coalesce(F.nullif(left, F.lit("")), answer)
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def _rewritten_lines(answer: Column, wanted: Column, line_of) -> Column:
+    """Where wanted, the answer with line_of for each line (null drops it), unless nothing changes or nothing is left."""
+    lines = F.split(answer, "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+    new = F.filter(F.transform(lines, line_of), lambda x: x.isNotNull())
+    text = _stripped(F.regexp_replace(F.array_join(new, "\n"), r"\n{3,}", "\n\n"))
+    return F.when(wanted & (new != lines) & (text != ""), text).otherwise(answer)
+
+
+def _without_price(line: Column) -> Column:
+    """A line that names a price: null, or what it says besides if that is a fact of another kind."""
+    flat = normalize_text(line)
+    left = reduce(lambda c, p: F.regexp_replace(c, p, ""), v.PRICE_PARTS, line)
+    left = F.regexp_replace(F.regexp_replace(left, r"(?U)\s{2,}", " "), r"^[ ,;-]+|[ ,;-]+$", "")
+    return F.when(~said(flat, v.PRICE_LINES), line).when(contains_any(flat, v.PRICE_KEEPS) & (left != ""), left)
+
+
+def postprocessed(question: Column, answer: Column) -> Column:
+    """Listing marks as links; headers and closing phrases go, and so do lines on prices, contacts, other kinds of places
+    or surroundings where the question is about something else. An answer is never emptied by its lines; null stays null.
+    Price words count whole (B12). Lines are read as they are: repair_mojibake comes first where it is needed."""
+    q = normalize_text(question)
+    out = F.regexp_replace(_stripped(answer), v.LISTING_MARK, r"[Xem chi tiết](/posts/$1) ")
+    out = reduce(lambda c, p: F.regexp_replace(c, p, ""), v.ANSWER_HEADERS, out)
+    out = reduce(lambda c, t: _stripped(F.regexp_replace(c, rf"(?iU)\s*{t}[^.!?]*[.!?]?\s*$", "")), v.ANSWER_TAILS, out)
+    intents = query_intents(question)
+    out = _rewritten_lines(out, intents["suitability_query"] & ~intents["needs_price"], _without_price)
+    contact = lambda x: contains_any(normalize_text(x), v.CONTACTS) | x.rlike(r"\b0\d{8,10}\b")
+    out = _rewritten_lines(out, ~contains_any(q, v.CONTACTS), lambda x: F.when(~contact(x), x))
+    asked = F.when(contains_any(q, v.NEARBY), utility_groups(question)).otherwise(F.array().cast("array<string>"))
+    other = lambda x: (F.size(utility_groups(x)) > 0) & ~F.arrays_overlap(utility_groups(x), asked)
+    out = _rewritten_lines(out, F.size(asked) > 0, lambda x: F.when(~other(x), x))
+    extra = lambda x: contains_any(normalize_text(x), v.SPACIOUS_EXTRAS) & ~contains_any(normalize_text(x), v.SPACIOUS_KEEPS)
+    return _rewritten_lines(out, contains_any(q, v.SPACIOUS), lambda x: F.when(~extra(x), x))

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import islice
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -192,3 +193,22 @@ def until_unique(rows: DataFrame, key: str, order: Column, most: int) -> DataFra
     before = fresh.groupBy(key, "candidate").agg(F.sum("__new").alias("__new"))
     running = before.withColumn("__before", F.sum("__new").over(Window.partitionBy(key).orderBy("candidate")) - F.col("__new")).where(F.col("__before") < most).select(key, "candidate")
     return rows.join(running, [key, "candidate"])
+
+
+def best_matches(rows: DataFrame, asked: Column, block: int = 100) -> DataFrame:
+    """query_id, vec_id, label and score of the best match of each asked row among all others, ties to the smaller
+    id. Queries come to the driver a block at a time; a block's vectors are one literal, scored in one pass over the rows with
+    a partial maximum a query. Null vectors take no part."""
+    rows = rows.where(F.col("embedding").isNotNull())
+    queries = rows.where(asked).select("vec_id", "embedding").toLocalIterator()
+    found = None
+    while part := list(islice(queries, block)):
+        literal = F.array(*(F.struct(F.lit(r[0]).alias("q"), F.array(*(F.lit(float(x)) for x in r[1])).alias("v")) for r in part))
+        pairs = rows.select("vec_id", "label", "embedding", F.explode(literal).alias("a")).where("a.q != vec_id")
+        scored = pairs.select(F.col("a.q").alias("query_id"), "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("a.v")), 6).alias("score"))
+        best = scored.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("n"), "label")).alias("b"))
+        best = best.select("query_id", (-F.col("b.n")).alias("vec_id"), "b.label", "b.score")
+        found = best if found is None else found.unionByName(best)
+    if found is None:
+        return rows.select(F.col("vec_id").alias("query_id"), "vec_id", "label", F.lit(0.0).alias("score")).limit(0)
+    return found

@@ -143,13 +143,13 @@ SELECT doc_id, source, turn FROM r ORDER BY turn, f, doc_id LIMIT 30"""
 
 def judge_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of two batches of cases, by the case that stands at the same position."""
-    events = table(spark, sf_dir, "events").where("event_id < 300").select("event_id", F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("cost"))
+    events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("cost"))
     merged = merged_results([events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")], "event_id")
-    goldens = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("position"), F.col("o_orderpriority").alias("golden"))
+    goldens = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("position"), F.col("o_orderpriority").alias("golden"))
     return cost_by_case(zipped(merged, goldens, "position"), "golden", "cost")
 
 
-JUDGE = """WITH e AS (SELECT event_id, event_id % 2 AS batch, CASE WHEN event_id % 7 <> 0 THEN value END AS cost FROM events WHERE event_id < 300), p AS (SELECT *, row_number() OVER (ORDER BY batch, event_id) - 1 AS position FROM e)
+JUDGE = """WITH e AS (SELECT event_id, event_id % 2 AS batch, CASE WHEN event_id % 7 <> 0 THEN value END AS cost FROM events), p AS (SELECT *, row_number() OVER (ORDER BY batch, event_id) - 1 AS position FROM e)
 SELECT o_orderpriority AS golden, round(sum(cost), 8) AS cost FROM p JOIN orders ON o_orderkey = position GROUP BY o_orderpriority"""
 
 

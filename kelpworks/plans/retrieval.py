@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpworks.operators.filters import build_filter, compiled
-from kelpworks.operators.search import cascade, cosine, fetch_size, fuse, lexical_search, multi_query_rrf, quota_select, ranked, terms_of, until_unique, vector_top_k, weight_of
+from kelpworks.operators.search import best_matches, cascade, fetch_size, fuse, lexical_search, multi_query_rrf, quota_select, ranked, terms_of, until_unique, vector_top_k, weight_of
 from kelpworks.plans.tables import table
 
 #: A question of the tables' own words, its terms and the fields that are searched.
@@ -132,15 +132,11 @@ WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 20 AND 80 AN
 
 
 def label_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For 20 query vectors the label of the best match, found through one pass of an array of queries."""
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id < 20").select("vec_id", "embedding").orderBy("vec_id").limit(20).collect()
-    literal = F.array(*(F.struct(F.lit(r[0]).alias("q"), F.array(*(F.lit(float(x)) for x in r[1])).alias("v")) for r in asked))
-    scored = rows.select("vec_id", "label", "embedding", F.explode(literal).alias("a")).where("a.q != vec_id").select(F.col("a.q").alias("query_id"), "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("a.v")), 6).alias("score"))
-    return scored.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("n"), "label")).alias("b")).select("query_id", (-F.col("b.n")).alias("vec_id"), "b.label", "b.score")
+    """For every vector whose id is divisible by 100 the label of the best match among all others."""
+    return best_matches(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-NEIGHBOURS = f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round({_COS}, 6) AS score FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id < 20) q ON q.vec_id <> e.vec_id)
+NEIGHBOURS = f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round({_COS}, 6) AS score FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q ON q.vec_id <> e.vec_id)
 SELECT query_id, vec_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n = 1"""
 
 QUERIES = {"vector_top": vector_top, "lexical_top": lexical_top, "hybrid_rrf": hybrid_rrf, "multi_query": multi_query, "filter_cascade": filter_cascade, "quota_selection": quota_selection, "early_stop": early_stop, "metadata_filter": metadata_filter, "label_neighbours": label_neighbours}

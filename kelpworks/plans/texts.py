@@ -10,7 +10,7 @@ from kelpworks.functions.planning import has_project_row, haystack, is_incomplet
 from kelpworks.functions.text import FROM, TO, clean_text, compact, format_number, hierarchy_level, is_heading, is_new_item, is_table_line, is_weak_chunk, normalize_loose, normalize_text, quality_of, repair_mojibake, sanitize, slug, year_in
 from kelpworks.operators.chunking import chunked, split_rows
 from kelpworks.operators.context import context_documents, first_by, overlap_score
-from kelpworks.operators.intents import floor_filter, language_of, planning_intent, query_intents, query_profile, rewritten, tidied
+from kelpworks.operators.intents import floor_filter, language_of, planning_intent, query_intents, postprocessed, query_profile, rewritten
 from kelpworks.operators.listing import price_vnd, rooms, utility_groups
 from kelpworks.plans.tables import table
 
@@ -49,7 +49,7 @@ _L1 = "(regexp_matches(flat, '^phan\\s+[ivxlcdm]+\\b') OR regexp_matches(flat, '
 CLASSES = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), f AS (SELECT *, {_FLAT} AS flat,
 len(regexp_extract_all(line, '\\p{{L}}')) AS letters, len(regexp_extract_all(line, '\\p{{Lu}}')) AS upper FROM l)
 SELECT doc_id, count(*) FILTER (contains(line, '|') OR (len(regexp_extract_all(line, '\\d+[\\d.,]*')) >= 3 AND len(regexp_split_to_array(trim(line), '\\s+')) >= 6)) AS tables,
-count(*) FILTER (length(trim(line)) > 0 AND (regexp_matches(flat, '^(phan|chuong|muc|dieu)\\s+[ivxlcdm0-9]+\\b') OR regexp_matches(flat, '^\\d+(\\.\\d+)*[.)]\\s+\\S+') OR (letters >= 8 AND upper >= 0.78 * letters AND length(line) <= 150))) AS headings,
+count(*) FILTER (length(trim(line)) > 0 AND (regexp_matches(flat, '^(chuong|phu luc|muc|phan|dieu)\\b') OR regexp_matches(flat, '^\\d+(\\.\\d+){{0,3}}\\b') OR (letters >= 8 AND upper >= 0.78 * letters AND length(trim(line)) <= 150))) AS headings,
 count(*) FILTER ({_L1}) AS level_1, count(*) FILTER (NOT {_L1} AND (regexp_matches(flat, '^muc\\s+\\d+') OR regexp_matches(trim(line), '^[IVXLCDM]+\\s+\\S+'))) AS level_2,
 count(*) FILTER (regexp_matches(flat, '^(\\d+[.)]|[a-z][.)]|[ivxlcdm]+[.)])\\s+\\S+')) AS items FROM f GROUP BY doc_id"""
 
@@ -61,7 +61,7 @@ def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUALITY = f"""WITH d AS (SELECT doc_id, text, substring(text, 1, 120000) AS s, translate(lower(text), '{FROM}', '{TO}') AS f FROM documents),
 q AS (SELECT *, greatest(length(s), 1) AS n, 0.35::DOUBLE * CASE WHEN length(text) >= 40 THEN 1 ELSE 0 END + 0.35::DOUBLE * least(1.0::DOUBLE, length(text) / 900) AS b FROM d)
-SELECT doc_id, CASE WHEN length(s) = 0 THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (b + 0.30::DOUBLE * least(1.0::DOUBLE, len(regexp_extract_all(s, '\\p{{L}}')) / n / 0.45::DOUBLE)) * (1 - 0.6::DOUBLE * least(1.0::DOUBLE, 18.0::DOUBLE * len(regexp_extract_all(s, chr(65533))) / n)))), 3) END AS quality,
+SELECT doc_id, CASE WHEN length(s) = 0 THEN 0.25::DOUBLE * CASE WHEN length(text) >= 40 THEN 1 ELSE 0 END ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (b + 0.30::DOUBLE * least(1.0::DOUBLE, len(regexp_extract_all(s, '\\p{{L}}')) / greatest(len(regexp_extract_all(s, '[^\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x{{85}}]')), 1) / 0.45::DOUBLE)) * (1 - 0.6::DOUBLE * least(1.0::DOUBLE, 18.0::DOUBLE * len(regexp_extract_all(s, chr(65533))) / n)))), 3) END AS quality,
 len(list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '')) = 0 OR (len(list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '')) = 1 AND regexp_matches(trim(text), '^\\d+$'))
 OR (len(list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '')) <= 2 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 6 AND NOT regexp_matches(trim(regexp_replace(f, '\\s+', ' ', 'g')), '\\b\\d+([.,]\\d+)?\\s*(ha|m2|%|ty)\\b')) AS weak FROM q"""
 
@@ -114,11 +114,11 @@ def context_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much each answer names of the words before it, and answers without their first kind of line."""
+    """How much each answer names of the words before it, and how long it is without what wasn't asked for."""
     talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     asked = talk.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
     both = talk.where("role = 'assistant'").join(asked, ["conv_id", "turn"])
-    return both.select("conv_id", "turn", overlap_score(F.col("text"), F.col("question"), [F.lit("the")], F.array().cast("array<string>")).alias("score"), F.length(tidied(F.col("text"), [r"^[A-Z]\w*\.$", r"^\s*$"])).alias("n"))
+    return both.select("conv_id", "turn", overlap_score(F.col("text"), F.col("question"), [F.lit("the")], F.array().cast("array<string>")).alias("score"), F.length(postprocessed(F.col("question"), F.col("text"))).alias("n"))
 
 
 def planning_features(spark: SparkSession, sf_dir: str) -> DataFrame:

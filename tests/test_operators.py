@@ -1,4 +1,4 @@
-from kelpworks.operators import chunking, evaluation, filters, listing, search
+from kelpworks.operators import cases, chunking, evaluation, filters, listing, search
 from kelpworks.operators.context import compacted, filled
 from kelpworks.plans.evaluation import matrix
 from pyspark.sql import functions as F
@@ -55,6 +55,22 @@ def test_greedy_fill_skips_or_stops(spark):
     assert again == "Một\nhai"
 
 
+def test_batches_are_numbered_on_in_parts(spark):
+    batches = [spark.createDataFrame([(i,) for i in ids], "case_id long") for ids in ([5, 3, 9, 9, None], [], [2, 1, 4])]
+    for parts in (1, 3, 50):
+        rows = cases.merged_results(batches, "case_id", parts).collect()
+        assert [(r.batch, r.case_id) for r in sorted(rows, key=lambda r: r.position)] == [(0, None), (0, 3), (0, 5), (0, 9), (0, 9), (2, 1), (2, 2), (2, 4)]
+        assert sorted(r.position for r in rows) == list(range(8))
+    assert cases.merged_results([batches[1]], "case_id").count() == 0
+
+
+def test_best_matches_in_blocks_agree_with_one_block(spark):
+    rows = spark.createDataFrame([(i, f"l{i % 7}", [float(i % 13 + 1), float(i % 5), 1.0]) for i in range(801)] + [(900, "x", None)], "vec_id long, label string, embedding array<double>")
+    whole = {tuple(r) for r in search.best_matches(rows, F.col("vec_id") % 100 == 0, block=50).collect()}
+    assert whole == {tuple(r) for r in search.best_matches(rows, F.col("vec_id") % 100 == 0, block=2).collect()} and {r[0] for r in whole} == set(range(0, 801, 100))
+    assert search.best_matches(rows.limit(0), F.lit(True)).collect() == []
+
+
 def test_semi_joins_pass_what_they_should(spark):
     docs = spark.createDataFrame([("1",), ("2",), (None,), ("x",)], "post string")
     ids = spark.createDataFrame([(1,)], "id long")
@@ -78,6 +94,26 @@ def test_archetypes_and_decision_articles():
     assert [c["global_index"] for c in chunks] == list(range(1, len(chunks) + 1)) and all(c["line_start"] for c in chunks)
 
 
+TABLE = "A KẾ HOẠCH\nII ĐẤT Ở\na) Các khu\n1. Dự án trường học 1,2 ha\n2. Dự án chợ 0,5 ha\nDự án bến xe 3 ha\nthu hồi tại phường\nii. dự án khác"
+
+
+def test_table_archetype_and_contextual_chunks():
+    lines = TABLE.split("\n")
+    assert chunking.archetype(lines) == "hierarchical_table" and chunking.archetype(lines[3:]) == "narrative_report" and chunking.archetype([]) == "narrative_report"
+    found = chunking.contextual([lines])
+    assert [c["content"].split("\n")[-1] for c in found] == ["thu hồi tại phường", "ii. dự án khác"] and {c["chunk_type"] for c in found} == {"table"}
+    assert found[0]["hierarchy_path"] == "A KẾ HOẠCH > II ĐẤT Ở > 2. Dự án chợ 0,5 ha"
+    full = chunking.contextual([[f"dòng chữ thứ {i}" for i in range(16)]])
+    assert [len(c["content"].split("\n")) for c in full] == [14, 3] and chunking.contextual([]) == []
+
+
+def test_chunks_are_located_by_the_words_that_lines_hold():
+    pages = [["một hai", "ba bốn", "năm sáu"], ["bảy tám", "chín mười"]]
+    at = chunking.Locator(pages)
+    assert at.find("ba bốn năm sáu", 1) == (1, 1, 3) and at.find("bảy tám", 1) == (2, 1, 1) and at.find("một hai", 1) is None and at.find("", 1) is None
+    assert chunking.Locator(pages).find("chín x w", 2) is None and chunking.Locator(pages).find("chín mười x", 2) == (2, 1, 2)
+
+
 def test_hierarchy_modes():
     text = "Phần I Hiện trạng\n1.1 Đất ở\nDiện tích đất ở đô thị tăng đều qua các năm gần đây.\nPhần II Kế hoạch\nKế hoạch thu hồi 3,2 ha cho công trình giao thông."
     inline = chunking.document_chunks(text)

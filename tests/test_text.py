@@ -51,14 +51,60 @@ def one(spark, value, of):
         (intents.mentioned_post, "tin số 42", 42),
         (intents.language_of, "nhà giá bao nhiêu", "vi"),
         (intents.language_of, "how much is it", "en"),
-        (lambda c: intents.tidied(c, ["^Source"]), "Source: x\nYes", "Yes"),
-        (lambda c: intents.tidied(c, ["^Source"]), "Source: x", "Source: x"),
+        (t.is_heading, "Phụ lục", True),
+        (t.is_heading, "Mục", True),
+        (t.is_heading, "2025 tổng hợp", True),
+        (t.is_heading, "12a tổng hợp", False),
+        (t.is_heading, "Đất ở đô thị", False),
+        (t.is_project_line, "Trường học 1,2 ha", True),
+        (t.is_project_line, "Đất ở đô thị", False),
+        (t.is_project_header, "TT Danh mục", True),
+        (t.is_project_header, "Danh mục công trình", False),
+        (t.is_project_header, "Dự án, công trình, ghi chú", True),
+        (lambda c: t.quality_of(c, F.lit(1), F.lit(0)), "a b c d", 0.303),  # 0.35 * 7 / 900 + 0.3, all that is no space is a letter
+        (lambda c: t.quality_of(c, F.lit(4), F.lit(2)), "", 0.125),
+        (lambda c: t.quality_of(c, F.lit(0), F.lit(0)), None, 0.0),
+        (intents.planning_intent, "dự án ở phường Hàng Bài", False),
+        (intents.planning_intent, "dự án ở phường Hàng Bài năm 2025", True),
+        (intents.planning_intent, "thu hồi ở quận", False),
+        (intents.planning_intent, "thu hồi ở thị trấn", True),
+        (intents.planning_intent, None, False),
+        (intents.district_of, "thửa đất ở Yên Sở", "Hoàng Mai"),
+        (intents.language_of, "", "en"),
+        (intents.language_of, "tim nha", "vi"),
+        (lambda c: intents.postprocessed(F.lit("How is it?"), c), "=== BẤT ĐỘNG SẢN 12 ===\nLISTING_ID: 12\nYes. If you need more information, ask.", "[Xem chi tiết](/posts/12) LISTING_ID: 12\nYes."),
+        (lambda c: intents.postprocessed(F.lit("How is it?"), c), "Yes\n  LISTING_ID: 12\n--- Part ---\nNo", "Yes\n\nNo"),
+        (lambda c: intents.postprocessed(F.lit("How is it?"), c), "Good quality\nLiên hệ 0901234567", "Good quality"),
+        (lambda c: intents.postprocessed(F.lit("Hotline?"), c), "Good\nLiên hệ 0901234567", "Good\nLiên hệ 0901234567"),
+        (lambda c: intents.postprocessed(F.lit("Có phù hợp không?"), c), "Giá bán 5 tỷ\nDiện tích 60 m2, giá 5 tỷ\nThe city", "Diện tích 60 m2\nThe city"),
+        (lambda c: intents.postprocessed(F.lit("Gần trường học?"), c), "Trường tiểu học\nSiêu thị\nĐẹp", "Trường tiểu học\nĐẹp"),
+        (lambda c: intents.postprocessed(F.lit("Có rộng rãi không?"), c), "Rộng 60 m2\nXung quanh đẹp", "Rộng 60 m2"),
+        (lambda c: intents.postprocessed(F.lit("x"), c), "Liên hệ", "Liên hệ"),
+        (lambda c: intents.postprocessed(F.lit("x"), c), None, None),
     ],
 )
 def test_text_function(spark, of, value, wanted):
     assert one(spark, value, of) == wanted
 
 
+@pytest.mark.parametrize(
+    ("question", "wanted"),
+    [
+        ("Dự án chuyển tiếp sang năm 2025 theo kế hoạch?", {"project_structure", "carry_forward"}),
+        ("Vì sao dự án chưa thực hiện trong kế hoạch?", {"fact", "project_structure", "project_delay_reason"}),
+        ("Kế hoạch nêu lý do gì?", {"fact", "explanatory"}),
+        ("Vì sao kế hoạch nhấn mạnh phường Hàng Bài?", {"fact", "focus_area_reason"}),
+        ("Vì sao kế hoạch cần tăng đất giao thông?", {"fact", "sector_land_demand", "drainage_transport"}),
+        ("Kế hoạch phân tích hiện trạng ra sao?", {"fact"}),
+        ("Vì sao trời mưa?", set()),
+        (None, set()),
+    ],
+)
+def test_profile_of_a_question(spark, question, wanted):
+    got = one(spark, question, intents.query_profile)
+    assert {k for k, flag in got.asDict().items() if flag} == wanted
+
+
 def test_floor_filters_are_put_in_order(spark):
     rows = spark.createDataFrame([("tầng 9 đến 5",), ("khoảng tầng 3",), ("tầng 7",)], "q string").select("q", intents.floor_filter(F.col("q")).alias("f")).select("q", "f.*").collect()
     assert [(r.floor_min, r.floor_max, r.floor) for r in rows] == [(5, 9, None), (2, 4, None), (None, None, 7)]
