@@ -112,22 +112,25 @@ def with_posteriors(docs: DataFrame, priors: dict[str, float], weights: dict[str
     return docs.select(*kept, "tokens", F.array(*(share.get(d, F.lit(0.0)) for d in domains)).alias("posterior"))
 
 
-def steps_of(moves: list[list[float]], width: float, ridge: float) -> Column:
-    """A document's rate `r` after the steps so far, `was` before the last one, and `y`, from where that one went.
+def steps_of(moves: list[list[float]], width: float, ridge: float, onward: float = 0.0) -> Column:
+    """A document's rate `r` after the steps so far, `was` before the last one, `y`, from where that one went, and `next`,
+    where the momentum `onward` takes it. All numbers that change from step to step are inside this one expression, so that
+    the code generated for a step's sums is the same for all steps and is compiled once.
 
     A move has the momentum that takes the last two rates to y, then a residual for each domain; the step is
     -width * (ridge * (y - 1) + posterior . residual), and the rate at least 0.
     """
     one = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("was"), F.lit(1.0).alias("y"))
     if not moves:
-        return one
+        return one.withField("next", F.lit(1.0))
 
     def step(s: Column, m: Column) -> Column:
         y = s["r"] + F.get(m, F.lit(0)) * (s["r"] - s["was"])
         slope = reduce(lambda x, z: x + z, (F.get(m, F.lit(i)) * F.get("posterior", F.lit(i - 1)) for i in range(1, len(moves[0]))))
         return F.struct(F.greatest(F.lit(0.0), y - width * (slope + ridge * (y - 1.0))).alias("r"), s["r"].alias("was"), y.alias("y"))
 
-    return F.aggregate(F.array(*(F.array(*(F.lit(float(x)) for x in m)) for m in moves)), one, step)
+    ahead = lambda s: F.struct(s["r"].alias("r"), s["was"].alias("was"), s["y"].alias("y"), (s["r"] + onward * (s["r"] - s["was"])).alias("next"))
+    return F.aggregate(F.array(*(F.array(*(F.lit(float(x)) for x in m)) for m in moves)), one, step, ahead)
 
 
 def fit_rates(docs: DataFrame, targets: dict[str, float], domains: list[str], steps: int = STEPS, ridge: float = RIDGE) -> tuple[Column, list[float], list[float]]:
@@ -145,8 +148,8 @@ def fit_rates(docs: DataFrame, targets: dict[str, float], domains: list[str], st
 
     def totals(momentum: float) -> tuple[float, list[float], list[float], float]:
         """Tokens, shares where the next step starts and those at the rates, and the size of the projected gradient that the last step followed."""
-        own = docs.withColumn("s", steps_of(moves, width, ridge))
-        at, r = F.col("s.r") + momentum * (F.col("s.r") - F.col("s.was")), F.col("s.r")
+        own = docs.withColumn("s", steps_of(moves, width, ridge, momentum))
+        at, r = F.col("s.next"), F.col("s.r")
         moved = F.sum(F.col("tokens") * F.pow((r - F.col("s.y")) / width, F.lit(2))).alias("moved")
         sums = [F.sum(F.col("tokens") * x * F.get("posterior", F.lit(i))).alias(f"{n}{i}") for n, x in (("y", at), ("r", r)) for i in range(len(domains))]
         row = own.agg(F.sum("tokens").alias("n"), moved, *sums).first()
