@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpworks.functions.text import normalize_text
+from kelpworks.functions.text import contains_any, normalize_text
 
 
 def first_by(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -14,9 +14,11 @@ def first_by(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFr
 
 
 def keep_or_all(rows: DataFrame, keep: Column, per: str) -> DataFrame:
-    """per group the rows that fit, or all if none does."""
+    """per group the rows that fit, or all if none does. The groups with a fit are an aggregate of their own, so no
+    group is sorted in one task; a null group is a group."""
     marked = rows.withColumn("__k", F.coalesce(keep, F.lit(False)))
-    return marked.withColumn("__any", F.max("__k").over(Window.partitionBy(per))).where(F.col("__k") | ~F.col("__any")).drop("__k", "__any")
+    fits = marked.where("__k").select(F.col(per).alias("__per"), F.lit(True).alias("__any")).distinct()
+    return marked.join(fits, F.col(per).eqNullSafe(F.col("__per")), "left").where(F.col("__k") | F.col("__any").isNull()).select(*rows.columns)
 
 
 def last_messages(messages: DataFrame, n: int = 6, session: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -103,3 +105,15 @@ def reranked(rows: DataFrame, per: str, planning: str, score: str, index: str) -
     """Planning first, then by score, then as they were; adds `place` from 1."""
     order = Window.partitionBy(per).orderBy(F.desc(planning), F.desc(score), index)
     return rows.withColumn("place", F.row_number().over(order))
+
+
+#: Words of an answer about several listings, and of one about a single one.
+SEVERAL, SINGLE = ("cac can", "nhung can", "mot so can", "danh sach", "lua chon", "phuong an"), "mot can"
+
+
+def names_one_listing(question: Column, answer: Column) -> Column:
+    """At most one link to a listing and no word of several; and one link, or a word of a single one on either side."""
+    asked, flat = normalize_text(question), normalize_text(answer)
+    links = F.regexp_count(F.coalesce(answer, F.lit("")), F.lit(r"(?i)/posts/\d+"))
+    single = F.contains(F.concat_ws("\n", flat, asked), F.lit(SINGLE)) | (links == 1)
+    return F.coalesce((flat != "") & (links <= 1) & ~contains_any(flat, SEVERAL) & single, F.lit(False))

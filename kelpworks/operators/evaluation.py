@@ -73,10 +73,10 @@ def profile(rows: DataFrame, by: str, means: list[str], tokens: list[str]) -> Da
 
 
 def balanced_sample(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
-    """Rows in turn from each group, groups by their first row, up to n in all."""
-    own, whole = Window.partitionBy(group).orderBy(order), Window.partitionBy(group)
-    turned = rows.withColumn("turn", F.row_number().over(own)).withColumn("__first", F.min(order).over(whole)).where(F.col("turn") <= n)
-    return turned.orderBy("turn", "__first", order).limit(n).drop("__first")
+    """Rows in turn from each group, groups by their first row, up to n in all; at most n of a group are shuffled."""
+    turned = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("turn") <= n)
+    first = turned.withColumn("__first", F.min(order).over(Window.partitionBy(group)))
+    return first.orderBy("turn", "__first", order).limit(n).drop("__first")
 
 
 def cost_proxy(runtime: Column, characters: Column, chunks: Column, k: Column) -> Column:
@@ -124,3 +124,30 @@ def top_report(rows: DataFrame, metric: str, key: str, n: int = 10) -> DataFrame
 def target_metadata(text: Column, names: tuple[str, ...] = ("postId", "propertyId", "planningDocumentId")) -> list[Column]:
     """key=int pairs of a context as columns."""
     return [F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), rf"(?i)\b{n}\s*[=:]\s*(\d+)", 1), F.lit("")).cast("bigint").alias(n) for n in names]
+
+
+#: Where a message's JSON has its token counts, the first that is neither absent nor 0 first.
+USAGE = {
+    "input_tokens": ("usage_metadata.input_tokens", "token_usage.prompt_tokens", "token_usage.input_tokens"),
+    "output_tokens": ("usage_metadata.output_tokens", "token_usage.completion_tokens", "token_usage.output_tokens"),
+    "total_tokens": ("usage_metadata.total_tokens", "token_usage.total_tokens"),
+}
+
+
+def token_usage(message: Column) -> Column:
+    """A struct of a message's input, output and total tokens from its JSON; the total is their sum where it isn't given.
+
+    A response's usage is that of `token_usage`, or of `usage` where that is absent or empty. What is no number is null;
+    a count of 0 counts only where no other place has one."""
+    own = F.coalesce(message, F.lit("{}"))
+    inner = lambda name: F.nullif(F.get_json_object(own, f"$.response_metadata.{name}"), F.lit("{}"))
+    response = F.coalesce(inner("token_usage"), inner("usage"))
+
+    def at(path: str) -> Column:
+        where, name = path.split(".")
+        found = F.get_json_object(own, f"$.{path}") if where == "usage_metadata" else F.get_json_object(response, f"$.{name}")
+        return found.try_cast("bigint")
+
+    picked = {n: F.coalesce(*(F.nullif(at(p), F.lit(0)) for p in paths), *(at(p) for p in reversed(paths))) for n, paths in USAGE.items()}
+    total = F.coalesce(picked["total_tokens"], picked["input_tokens"] + picked["output_tokens"])
+    return F.struct(picked["input_tokens"].alias("input_tokens"), picked["output_tokens"].alias("output_tokens"), total.alias("total_tokens"))

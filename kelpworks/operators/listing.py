@@ -133,3 +133,14 @@ def card(*rows: tuple[str, Column], least: int = 4) -> Column:
     """Name: value lines of what is known; null if they are too few."""
     lines = F.filter(F.array(*(F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in rows)), lambda x: x.isNotNull())
     return F.when(F.size(lines) >= least, F.array_join(lines, "\n"))
+
+
+#: The names of a post type, and how it is shown.
+POST_TYPES = {"Cho thue": ("rent", "cho thue", "thue"), "Can ban": ("sale", "can ban", "ban")}
+
+
+def post_type_name(c: Column) -> Column:
+    """H9: the shown name of a known post type, else the value itself; null where it is empty or has no letter or digit."""
+    flat = normalize_text(c)
+    known = F.coalesce(*(F.when(flat.isin(*names), F.lit(shown)) for shown, names in POST_TYPES.items()))
+    return F.when(flat != "", F.coalesce(known, F.trim(c)))

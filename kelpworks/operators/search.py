@@ -100,10 +100,12 @@ def fetch_size(k: int, factor: int = 3) -> int:
     return max(k, min(96, k * factor))
 
 
-def ranked(rows: DataFrame, *order: Column, per: str | None = None) -> DataFrame:
-    """rows with `rank0`; without `per` over all rows, so only after a limit."""
+def ranked(rows: DataFrame, *order: Column, per: str | None = None, most: int | None = None) -> DataFrame:
+    """rows with `rank0`; without `per` over all rows, so only after a limit. With `most` the first so many of each group:
+    the bound is on the row number itself, so that each task drops the others before the shuffle."""
     window = (Window.partitionBy(per) if per else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return rows.withColumn("rank0", F.row_number().over(window) - 1)
+    numbered = rows.withColumn("__n", F.row_number().over(window))
+    return (numbered if most is None else numbered.where(F.col("__n") <= most)).withColumn("rank0", F.col("__n") - 1).drop("__n")
 
 
 def fuse(sides: list[tuple[DataFrame, float]], key: str, k: int) -> DataFrame:
@@ -121,7 +123,7 @@ def multi_query_rrf(rows: DataFrame, queries: DataFrame, k: int, probe: int, row
     """The best `probe` rows of each query (at most 12 rows: query_id, q), fused in one pass over rows."""
     scored = rows.withColumn("__q", F.explode(_literal(queries)))
     scored = scored.select(row_id, F.col("__q.query_id").alias("query_id"), F.round(cosine(F.col(vector), F.col("__q.q")), 9).alias("sim"))
-    return fuse([(ranked(scored, F.desc("sim"), F.col(row_id), per="query_id").where(F.col("rank0") < probe), 1.0)], row_id, k)
+    return fuse([(ranked(scored, F.desc("sim"), F.col(row_id), per="query_id", most=probe), 1.0)], row_id, k)
 
 
 def _literal(queries: DataFrame) -> Column:
@@ -177,11 +179,13 @@ def table_quota(limit: int, prefer_text: bool) -> int:
 
 
 def quota_select(rows: DataFrame, key: str, kind: str, order: list[Column], limit: int, table_kind: str = "table", prefer_text: bool = False) -> DataFrame:
-    """Per key at most so many tables and texts, then what is left in order, up to the limit; adds `place`."""
+    """Per key at most so many tables and texts, then what is left in order, up to the limit; adds `place`.
+
+    A row beyond the limit among its own kind has that many before it in any case, so only so many a kind are shuffled."""
     tables = table_quota(limit, prefer_text)
     quota = F.when(F.col(kind) == table_kind, tables).otherwise(limit - tables)
     whole = Window.partitionBy(key)
-    numbered = rows.withColumn("__in", F.row_number().over(Window.partitionBy(key, kind).orderBy(*order)))
+    numbered = rows.withColumn("__in", F.row_number().over(Window.partitionBy(key, kind).orderBy(*order))).where(F.col("__in") <= limit)
     late = numbered.withColumn("__late", (F.col("__in") > quota).cast("int"))
     return late.withColumn("place", F.row_number().over(whole.orderBy("__late", *order))).where(F.col("place") <= limit).drop("__in", "__late")
 
@@ -212,3 +216,18 @@ def best_matches(rows: DataFrame, asked: Column, block: int = 100) -> DataFrame:
     if found is None:
         return rows.select(F.col("vec_id").alias("query_id"), "vec_id", "label", F.lit(0.0).alias("score")).limit(0)
     return found
+
+
+def richer(current: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the rows of the candidate list where it is strictly longer, else the current ones; order columns are kept.
+
+    Both lists have the same columns; a null key is a key as others are."""
+    sides = current.withColumn("__side", F.lit(0)).unionByName(candidate.withColumn("__side", F.lit(1)))
+    sizes = sides.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(*(F.count_if(F.col("__side") == i).alias(f"__n{i}") for i in (0, 1)))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    return sides.join(sizes, same).where(F.col("__side") == (F.col("__n1") > F.col("__n0")).cast("int")).select(*current.columns)
+
+
+def chunk_scan(rows: DataFrame, whole: Column, local: Column, limit: int = 2500) -> DataFrame:
+    """The first chunks by their number in the document, else in their type, else 0; ties by content."""
+    return rows.orderBy(F.coalesce(whole.cast("string"), local.cast("string"), F.lit("0")).cast("int"), *rows.columns).limit(max(1, limit))

@@ -1,5 +1,5 @@
 from kelpworks.operators import cases, chunking, evaluation, filters, listing, search
-from kelpworks.operators.context import compacted, filled
+from kelpworks.operators.context import compacted, filled, keep_or_all, names_one_listing
 from kelpworks.plans.evaluation import matrix
 from pyspark.sql import functions as F
 
@@ -127,3 +127,67 @@ def test_metric_rows_and_targets(spark):
     assert [tuple(r) for r in evaluation.metric_rows(df).collect()] == [(0, "contextual_recall", 0.5)]
     got = spark.createDataFrame([("x postId=12; propertyId: 3",)], "t string").select(*evaluation.target_metadata(F.col("t"))).first()
     assert tuple(got) == (12, 3, None)
+
+
+def test_the_longer_list_wins_only_where_it_is_strictly_longer(spark):
+    of = lambda pairs: spark.createDataFrame(pairs, "q int, doc string")
+    current, candidate = of([(1, "a"), (1, "b"), (2, "c"), (None, "n")]), of([(1, "x"), (1, "y"), (2, "z"), (2, "w"), (3, "v"), (None, "m"), (None, "o")])
+    got = {(r.q, r.doc) for r in search.richer(current, candidate, ["q"]).collect()}
+    assert got == {(1, "a"), (1, "b"), (2, "z"), (2, "w"), (3, "v"), (None, "m"), (None, "o")}
+    assert {r.doc for r in search.richer(current, candidate.limit(0), ["q"]).collect()} == {"a", "b", "c", "n"}
+
+
+def test_chunks_are_scanned_by_their_number(spark):
+    rows = spark.createDataFrame([("d", None, None), ("b", "2", "9"), ("c", None, "10"), ("a", "10", None)], "doc string, whole string, local string")
+    got = [r.doc for r in search.chunk_scan(rows, F.col("whole"), F.col("local")).collect()]
+    assert got == ["d", "b", "a", "c"]
+    assert search.chunk_scan(rows, F.col("whole"), F.col("local"), 0).count() == 1
+
+
+def test_quota_and_turns_keep_what_whole_windows_keep(spark):
+    rows = spark.createDataFrame([(i % 3 if i % 7 else None, "table" if i % 2 else "text", i) for i in range(60)], "g int, kind string, n int")
+    own = {}
+    for g, kind, n in sorted(rows.collect(), key=lambda r: r.n):
+        own.setdefault(g, []).append((kind, n))
+    for limit in (1, 4, 9, 40):
+        quota = {"table": search.table_quota(limit, False)}
+        quota["text"] = limit - quota["table"]
+        want = set()
+        for g, items in own.items():
+            taken = {k: [n for kind, n in items if kind == k][:q] for k, q in quota.items()}
+            early = sorted(taken["table"] + taken["text"])
+            order = early + [n for _, n in items if n not in early]
+            want |= {(g, n, place) for place, n in enumerate(order[:limit], 1)}
+        assert {(r.g, r.n, r.place) for r in search.quota_select(rows, "g", "kind", [F.col("n")], limit).collect()} == want
+    got = [(r.g, r.n, r.turn) for r in evaluation.balanced_sample(rows, "g", "n", 7).collect()]
+    firsts = sorted(own, key=lambda g: own[g][0][1])
+    assert got == [(g, own[g][turn][1], turn + 1) for turn in range(3) for g in firsts][:7]
+
+
+def test_a_group_without_a_fit_keeps_all(spark):
+    rows = spark.createDataFrame([(1, True), (1, False), (2, False), (2, None), (None, True), (None, False)], "g int, ok boolean")
+    got = sorted(((r.g, r.ok) for r in keep_or_all(rows, F.col("ok"), "g").collect()), key=str)
+    assert got == sorted([(1, True), (2, False), (2, None), (None, True)], key=str)
+    assert keep_or_all(rows.limit(0), F.col("ok"), "g").count() == 0
+
+
+def test_single_listing_answers(spark):
+    cases_ = [
+        ("Tìm căn hộ", "Hiện tại có một căn phù hợp", True), ("Tìm một căn", "Căn hộ ở Ba Đình", True), ("Tìm nhà", "Xem /posts/12", True), ("Tìm nhà", "Xem /posts/12 và /Posts/13", False),
+        ("Tìm một căn", "Danh sách: /posts/12", False), ("Tìm nhà", "Không có", False), ("một căn", "", False), ("một căn", None, False), (None, "một căn", True),
+    ]
+    df = spark.createDataFrame([(i, q, a) for i, (q, a, _) in enumerate(cases_)], "i int, q string, a string")
+    got = [r.one for r in df.select("i", names_one_listing(F.col("q"), F.col("a")).alias("one")).orderBy("i").collect()]
+    assert got == [x[2] for x in cases_]
+
+
+def test_post_types_and_token_usage(spark):
+    df = spark.createDataFrame([(0, "RENT"), (1, "Cần bán"), (2, " Đổi nhà "), (3, ""), (4, None), (5, "thuê")], "i int, t string")
+    assert [r.n for r in df.select("i", listing.post_type_name(F.col("t")).alias("n")).orderBy("i").collect()] == ["Cho thue", "Can ban", "Đổi nhà", None, None, "Cho thue"]
+    messages = [
+        ('{"usage_metadata": {"input_tokens": 3, "output_tokens": 4, "total_tokens": 9}}', (3, 4, 9)), ('{"response_metadata": {"token_usage": {"prompt_tokens": 5, "completion_tokens": "6"}}}', (5, 6, 11)),
+        ('{"response_metadata": {"token_usage": {}, "usage": {"input_tokens": 1, "output_tokens": 2}}}', (1, 2, 3)), ('{"usage_metadata": {"input_tokens": 0}, "response_metadata": {"usage": {"prompt_tokens": 8}}}', (8, None, None)),
+        ('{"usage_metadata": {"input_tokens": "x"}}', (None, None, None)), ("no json", (None, None, None)), (None, (None, None, None)),
+    ]
+    df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(messages)], "i int, m string")
+    assert [tuple(r.u) for r in df.select("i", evaluation.token_usage(F.col("m")).alias("u")).orderBy("i").collect()] == [x[1] for x in messages]

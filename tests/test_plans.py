@@ -26,3 +26,10 @@ def test_latest_match_needs_no_sort_of_a_group(spark, sf_dir):
 def test_native_queries_run_no_python(spark, sf_dir):
     for name in ("hybrid_rrf", "nearby_places", "normal_forms", "line_classes", "context_build", "question_profiles"):
         assert "Python" not in plan(registry.queries()[name](spark, sf_dir)), name
+
+
+def test_bounded_ranks_drop_rows_before_the_shuffle(spark, sf_dir):
+    for name in ("multi_query", "quota_selection", "round_robin"):
+        text = plan(registry.queries()[name](spark, sf_dir))
+        assert "WindowGroupLimit" in text, name
+    assert "Window" not in plan(registry.queries()["keep_if_any"](spark, sf_dir))
