@@ -112,9 +112,9 @@ def _repair(s: pd.Series) -> pd.Series:
 
 
 def repair_mojibake(c: Column | str) -> Column:
-    """H3: only texts with a marker go through Python."""
+    """H3: only texts with a marker are sent to Python; the function is evaluated for every row, so others are null there."""
     text = _text(c)
-    return F.when(text.rlike("|".join(MOJIBAKE)), _repair(text)).otherwise(text)
+    return F.coalesce(_repair(F.when(text.rlike("|".join(MOJIBAKE)), text)), text)
 
 
 def contains_any(c: Column, markers) -> Column:
