@@ -230,8 +230,10 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str
 
     def of(lists: pa.Array) -> pa.Array:
         pieces = shared.value.table
-        flat, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
-        if lists.values.null_count or flat and not 0 <= min(flat) <= max(flat) < len(pieces):
+        ends = lists.offsets.to_numpy()
+        own = lists.values.slice(ends[0], ends[-1] - ends[0])  # a slice's values are those of its whole batch
+        flat, ends = own.to_pylist(), (ends - ends[0]).tolist()
+        if own.null_count or flat and not 0 <= min(flat) <= max(flat) < len(pieces):
             piece = lambda i: pieces[i] if i is not None and 0 <= i < len(pieces) else b""
         else:
             piece = pieces.__getitem__

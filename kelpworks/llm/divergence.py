@@ -202,19 +202,24 @@ def _partial_pairs(kept: DataFrame) -> DataFrame:
         for whole, start in _whole_runs(batches, 2):
             group = np.array([code.setdefault(g, len(code)) for g in zip(whole.column(0).to_pylist(), whole.column(2).to_pylist(), strict=True)])
             p, p0 = whole.column(3).to_numpy(), whole.column(4).to_numpy()
-            for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
-                for i in range(s, e - 1):  # a row of the run against those after it
-                    rest = slice(i + 1, e)
-                    left.append(np.full(e - i - 1, group[i]))
-                    right.append(group[rest])
-                    part.append(f(p[i], p[rest]) - f(p[i], p0[rest]) - f(p0[i], p[rest]) + f(p0[i], p0[rest]))
-                    held += e - i - 1
-                    if held > 2 * PAIRS:
-                        own, sums = added_up()
-                        if len(own) > PAIRS:
-                            yield out(own, sums)
-                            own, sums = own[:0], sums[:0]
-                        left, right, part, held = [own // len(code)], [own % len(code)], [sums], len(own)
+            after = np.repeat(start[1:], np.diff(start)) - np.arange(whole.num_rows) - 1  # rows of its run after each row
+            reach = np.concatenate([[0], np.cumsum(after)])
+            at = 0
+            while at < whole.num_rows:
+                until = max(at + 1, int(np.searchsorted(reach, reach[at] + PAIRS, "right")) - 1)
+                n = after[at:until]
+                a = np.repeat(np.arange(at, until), n)
+                b = a + 1 + np.arange(len(a)) - np.repeat(reach[at:until] - reach[at], n)
+                left.append(group[a])
+                right.append(group[b])
+                part.append(f(p[a], p[b]) - f(p[a], p0[b]) - f(p0[a], p[b]) + f(p0[a], p0[b]))
+                held, at = held + len(a), until
+                if held > 2 * PAIRS:
+                    own, sums = added_up()
+                    if len(own) > PAIRS:
+                        yield out(own, sums)
+                        own, sums = own[:0], sums[:0]
+                    left, right, part, held = [own // len(code)], [own % len(code)], [sums], len(own)
         if held:
             yield out(*added_up())
 
