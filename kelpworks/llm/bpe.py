@@ -24,7 +24,6 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cached_property
-from itertools import chain
 from pathlib import Path
 
 import ahocorasick
@@ -48,7 +47,7 @@ SPACES = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u20
 #: English endings that are words of their own.
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Words that a Python worker remembers, and the longest of them.
-WORDS, LONGEST = 400_000, 64
+WORDS, LONGEST = 800_000, 64
 #: Pairs of tokens whose test a Python worker remembers.
 PAIRS = 1_000_000
 #: Rows that are encoded at once.
@@ -56,10 +55,10 @@ ROWS = 200
 NEVER = 1 << 60
 
 
-def _ranges(kind: str, more: list[tuple[int, int]]) -> str:
-    """Code points whose category starts with kind, as the inside of a character class."""
+def _ranges(kind: str, more: list[tuple[int, int]], below: int) -> str:
+    """Code points under `below` whose category starts with kind, as the inside of a character class."""
     found: list[list[int]] = []
-    for c in sorted({c for c in range(0x110000) if unicodedata.category(chr(c))[0] == kind} | {c for a, b in more for c in range(a, b + 1)}):
+    for c in sorted({c for c in range(below) if unicodedata.category(chr(c))[0] == kind} | {c for a, b in more for c in range(a, b + 1) if c < below}):
         if found and found[-1][1] == c - 1:
             found[-1][1] = c
         else:
@@ -67,10 +66,17 @@ def _ranges(kind: str, more: list[tuple[int, int]]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
 
 
-def word_pattern() -> str:
-    """Words of the byte-level scheme: endings, or runs of letters, numbers or others with a space before them, or white space."""
-    letter, number = _ranges("L", NEW_LETTERS), _ranges("N", NEW_NUMBERS)
-    return f"{ENDINGS}| ?[{letter}]+| ?[{number}]+| ?[^{SPACES}{letter}{number}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+def word_patterns() -> list[str]:
+    """Words of the byte-level scheme: endings, or runs of letters, numbers or others with a space before them, or white space.
+
+    Three patterns that agree on their own texts: for those of ASCII, of the basic plane, and all. The classes of the last
+    one have some hundred ranges, through which a search goes one by one; those of the others are looked up.
+    """
+    out = []
+    for below in (0x80, 0x10000, 0x110000):
+        letter, number = _ranges("L", NEW_LETTERS, below), _ranges("N", NEW_NUMBERS, below)
+        out.append(f"{ENDINGS}| ?[{letter}]+| ?[{number}]+| ?[^{SPACES}{letter}{number}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+    return out
 
 
 def byte_letters() -> dict[str, int]:
@@ -83,8 +89,8 @@ def byte_letters() -> dict[str, int]:
 class Vocabulary:
     """Tokens, merges and added tokens of a tokenizer file; what encoding needs is built where it is first used."""
 
-    def __init__(self, pieces: dict[int, bytes], merges: list[tuple[int, int, int]], added: dict[str, int], pattern: str):
-        self.pieces, self.merges, self.added, self.pattern = pieces, merges, added, pattern
+    def __init__(self, pieces: dict[int, bytes], merges: list[tuple[int, int, int]], added: dict[str, int], patterns: list[str]):
+        self.pieces, self.merges, self.added, self.patterns = pieces, merges, added, patterns
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -99,7 +105,7 @@ class Vocabulary:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         added = {t["content"]: t["id"] for t in file["added_tokens"]}
         pieces = {i: of(t) for t, i in ids.items() if t not in added} | {i: t.encode() for t, i in added.items()}
-        return cls(pieces, [(ids[a], ids[b], ids[a + b]) for a, b in pairs], added, word_pattern())
+        return cls(pieces, [(ids[a], ids[b], ids[a + b]) for a, b in pairs], added, word_patterns())
 
     @cached_property
     def table(self) -> list[bytes]:
@@ -110,11 +116,11 @@ class Vocabulary:
         return Encoder(self)
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("pieces", "merges", "added", "pattern")}
+        return {k: self.__dict__[k] for k in ("pieces", "merges", "added", "patterns")}
 
 
 class Encoder(dict):
-    """Word: its ids. A word that is asked for the first time is encoded."""
+    """Word: its ids, as the bytes of an int32 array. A word that is asked for the first time is encoded."""
 
     def __init__(self, v: Vocabulary):
         super().__init__()
@@ -137,7 +143,7 @@ class Encoder(dict):
         for piece, t in self.ids.items():
             self.automaton.add_word(piece.decode("latin-1"), t << 16 | len(piece))
         self.automaton.make_automaton()
-        self.words = re.compile(v.pattern).findall
+        self.ascii, self.basic, self.all = (re.compile(p).findall for p in v.patterns)
         self.added = v.added
         self.cut = re.compile("|".join(map(re.escape, sorted(v.added, key=len, reverse=True)))) if v.added else None
 
@@ -178,21 +184,25 @@ class Encoder(dict):
             at -= last[at] & 0xFFFF
         return tuple(reversed(found))
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        found = self.ids_of(word.encode())
+    def __missing__(self, word: str) -> bytes:
+        found = np.array(self.ids_of(word.encode()), np.int32).tobytes()
         if len(word) <= LONGEST and len(self) < WORDS:
             self[word] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        at = 0
+    def words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii(text)
+        return self.basic(text) if len(text.encode("utf-16-le")) == 2 * len(text) else self.all(text)
+
+    def encode(self, text: str) -> np.ndarray:
+        found, at = [], 0
         for m in self.cut.finditer(text) if self.cut else ():
-            ids.extend(chain.from_iterable(map(self.__getitem__, self.words(text[at : m.start()]))))
-            ids.append(self.added[m.group()])
+            found.extend(map(self.__getitem__, self.words(text[at : m.start()])))
+            found.append(np.int32(self.added[m.group()]).tobytes())
             at = m.end()
-        ids.extend(chain.from_iterable(map(self.__getitem__, self.words(text[at:] if at else text))))
-        return ids
+        found.extend(map(self.__getitem__, self.words(text[at:] if at else text)))
+        return np.frombuffer(b"".join(found), np.int32)
 
 
 def _with_column(docs: DataFrame, source: str, name: str, kind: T.DataType, of: Callable[[pa.Array], pa.Array], keep: bool) -> DataFrame:
@@ -217,7 +227,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     def of(texts: pa.Array) -> pa.Array:
         encoder, found, ends = shared.value.encoder, [], [0]
         for t in texts:
-            found.append(np.array(encoder.encode(t.as_py() or ""), np.int32))
+            found.append(encoder.encode(t.as_py() or ""))
             ends.append(ends[-1] + len(found[-1]))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
 
