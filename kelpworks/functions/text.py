@@ -19,6 +19,8 @@ HEADING = r"^(?:(?:chuong|phu luc|muc|phan|dieu)|\d+(?:\.\d+){0,3})\b"
 AREA = r"\b\d+(?:[.,]\d+)?\s*(?:ha|m2|m²)\b"
 PROJECT_WORDS = ("du an", "cong trinh", "thu hoi", "dau gia", "gpmb")
 PROJECT_COLUMNS = ("tt", "stt", "danh muc", "cong trinh", "du an", "ma loai dat", "dien tich ke hoach", "dien tich thu hoi", "dia danh", "phuong", "can cu phap ly", "ghi chu")
+#: What makes even a few words a chunk.
+TELLING = ("du an", "cong trinh", "thu hoi", "quyet dinh", "dieu ")
 #: What text that was decoded with the wrong codec shows.
 MOJIBAKE = ("Ã", "Â", "Ä", "Æ", "â€", "–", "—", "�")
 
@@ -215,16 +217,18 @@ def is_project_header(c: Column) -> Column:
 
 
 def is_weak_chunk(c: Column) -> Column:
-    """empty, one line of digits, or two short lines without a number and unit."""
+    """empty, one line of digits, or two short lines without a number and unit and without a telling word."""
     lines = F.filter(F.split(F.trim(_text(c)), "\n"), lambda x: F.trim(x) != "")
     words = F.size(F.filter(F.split(_text(c), r"\s+"), lambda w: w != ""))
-    unit = normalize_match(c).rlike(r"\b\d+(?:[.,]\d+)?\s*(?:ha|m2|%|ty)\b")
-    return (F.size(lines) == 0) | ((F.size(lines) == 1) & F.trim(_text(c)).rlike(r"^\d+$")) | ((F.size(lines) <= 2) & (words <= 6) & ~unit)
+    flat = normalize_match(c)
+    telling = flat.rlike(r"\b\d+(?:[.,]\d+)?\s*(?:ha|m2|%|ty)\b") | contains_any(flat, TELLING)
+    return (F.size(lines) == 0) | ((F.size(lines) == 1) & F.trim(_text(c)).rlike(r"^\d+$")) | ((F.size(lines) <= 2) & (words <= 6) & ~telling)
 
 
 def source_locator(page: Column, first: Column, last: Column) -> Column:
-    """H19."""
-    return F.when(page.isNull(), F.lit(None)).when(first.isNull(), F.concat(F.lit("page:"), page)).otherwise(F.concat(F.lit("page:"), page, F.lit(":lines:"), first, F.lit("-"), F.coalesce(last, first)))
+    """Page and line or lines, as far as they are known; unknown without a page."""
+    lines = F.when(last.isNull() | (last == first), first.cast("string")).when(first.isNotNull(), F.concat_ws("-", first, last))
+    return F.when(page.isNull(), F.lit("unknown")).otherwise(F.concat_ws(",", F.concat(F.lit("page:"), page), F.concat(F.lit("line:"), lines)))
 
 
 def page_url(url: Column, page: Column) -> Column:
@@ -233,8 +237,10 @@ def page_url(url: Column, page: Column) -> Column:
 
 
 def signature(path: Column, page: Column) -> Column:
-    """A slug of 96 characters at most, and the page."""
-    return F.concat(F.substring(slug(path), 1, 96), F.lit("-p"), F.coalesce(page, F.lit(0)))
+    """Names a place in the hierarchy: a slug of 96 characters at most (root if there is none), and the page if known."""
+    whole = F.coalesce(F.nullif(path, F.lit("")), F.lit("root"))
+    named = F.coalesce(F.nullif(F.substring(slug(normalize_match(whole)), 1, 96), F.lit("")), F.lit("root"))
+    return F.concat_ws("_", F.lit("planning_hierarchy"), named, F.concat(F.lit("p"), page))
 
 
 def descriptor(*parts: Column) -> Column:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from kelpworks.functions.text import AREA, HEADING, PROJECT_COLUMNS, PROJECT_WORDS
+from kelpworks.functions.text import AREA, HEADING, PROJECT_COLUMNS, PROJECT_WORDS, TELLING
 from kelpworks.operators.search import folded
 
 #: Separators in order of preference, sizes and overlaps, and limits of chunks.
@@ -94,7 +94,7 @@ def is_new_item(line: str) -> bool:
 
 def is_weak(text: str) -> bool:
     lines = [x for x in text.strip().split("\n") if x.strip()]
-    return not lines or (len(lines) == 1 and lines[0].strip().isdigit()) or (len(lines) <= 2 and len(text.split()) <= 6 and not re.search(UNIT, flat(text)))
+    return not lines or (len(lines) == 1 and lines[0].strip().isdigit()) or (len(lines) <= 2 and len(text.split()) <= 6 and not re.search(UNIT, flat(text)) and not any(m in flat(text) for m in TELLING))
 
 
 #: What the archetype is told by: column names, and what the lines' beginnings are.
@@ -146,7 +146,7 @@ def hierarchical(pages: list[list[str]], mode: str = "parent_context") -> list[d
             more = {"section_heading": names[-1] if names else None, "hierarchy_path": where or None, "hierarchy_level": max(path, default=None)}
             if mode == "parent_child" and where:
                 if where not in parents:
-                    parents[where] = re.sub(r"[^a-z0-9]+", "-", folded(where))[:96] + f"-p{number}"
+                    parents[where] = f"planning_hierarchy_{re.sub(r"[^a-z0-9]+", "_", folded(where)).strip("_")[:96] or "root"}_p{number}"
                     out.append(chunk(where, number, "text", "hierarchical", **more | {"is_parent": True, "parent_chunk_id": parents[where]}))
                 more["parent_chunk_id"] = parents[where]
             elif where:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kelpworks.plans import evaluation, relational, retrieval, texts
+from kelpworks.plans import evaluation, relational, retrieval, structure, texts
 
-MODULES = (retrieval, relational, texts, evaluation)
+MODULES = (retrieval, relational, texts, evaluation, structure)
 
 
 def queries() -> dict:

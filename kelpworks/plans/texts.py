@@ -63,7 +63,7 @@ QUALITY = f"""WITH d AS (SELECT doc_id, text, substring(text, 1, 120000) AS s, t
 q AS (SELECT *, greatest(length(s), 1) AS n, 0.35::DOUBLE * CASE WHEN length(text) >= 40 THEN 1 ELSE 0 END + 0.35::DOUBLE * least(1.0::DOUBLE, length(text) / 900) AS b FROM d)
 SELECT doc_id, CASE WHEN length(s) = 0 THEN 0.25::DOUBLE * CASE WHEN length(text) >= 40 THEN 1 ELSE 0 END ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (b + 0.30::DOUBLE * least(1.0::DOUBLE, len(regexp_extract_all(s, '\\p{{L}}')) / greatest(len(regexp_extract_all(s, '[^\\s\\p{{Z}}\\x0B\\x1C-\\x1F\\x{{85}}]')), 1) / 0.45::DOUBLE)) * (1 - 0.6::DOUBLE * least(1.0::DOUBLE, 18.0::DOUBLE * len(regexp_extract_all(s, chr(65533))) / n)))), 3) END AS quality,
 len(list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '')) = 0 OR (len(list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '')) = 1 AND regexp_matches(trim(text), '^\\d+$'))
-OR (len(list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '')) <= 2 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 6 AND NOT regexp_matches(trim(regexp_replace(f, '\\s+', ' ', 'g')), '\\b\\d+([.,]\\d+)?\\s*(ha|m2|%|ty)\\b')) AS weak FROM q"""
+OR (len(list_filter(string_split(trim(text), chr(10)), lambda x: trim(x) <> '')) <= 2 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) <= 6 AND NOT regexp_matches(trim(regexp_replace(f, '\\s+', ' ', 'g')), '\\b\\d+([.,]\\d+)?\\s*(ha|m2|%|ty)\\b') AND NOT regexp_matches(trim(regexp_replace(f, '\\s+', ' ', 'g')), 'du an|cong trinh|thu hoi|quyet dinh|dieu ')) AS weak FROM q"""
 
 
 def dedup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
