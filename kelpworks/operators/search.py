@@ -44,35 +44,30 @@ def folded(text: str) -> str:
 
 
 def terms_of(query: str, most: int = 12) -> list[str]:
-    """The first six phrases of five to two words, then words as written and folded, with compact and digit forms."""
-    words = re.findall(r"[\w/.\-]+", query.lower())
-    plain = re.findall(r"[a-z0-9/.\-]+", folded(query))
-    squeezed = lambda t: re.sub(r"[^a-z0-9]", "", folded(t))
-    phrases = [" ".join(plain[i : i + n]) for n in range(5, 1, -1) for i in range(len(plain) - n + 1)]
-    out = dict.fromkeys([p for p in phrases if len(squeezed(p)) >= 10][:6])
-    for token in [*words, *plain]:
-        if len(out) >= most:
-            break
-        if folded(token) in STOPWORDS or (len(token) < 3 and not any(c.isdigit() for c in token) and "/" not in token):
-            continue
-        out[token] = None
-        if len(squeezed(token)) >= 10:
-            out[squeezed(token)] = None
-        if len(digits := re.sub(r"\D", "", token)) >= 4:
-            out[digits] = None
+    """R3 for one question, on the driver; lexical_index.terms_column is the same for a table of questions."""
+    bare = lambda t: re.sub(r"[^a-z0-9]", "", folded(t))
+    plain = [w for w in re.findall(r"[a-z0-9/.\-]+", folded(query)) if w not in STOPWORDS]
+    grams = (" ".join(plain[i : i + n]) for n in range(5, 1, -1) for i in range(len(plain) - n + 1))
+    phrases = list(islice((g for g in grams if len(bare(g)) >= 10), 6))
+    out: dict[str, None] = {}
+    for word in (w.strip("._-") for w in [*phrases, *re.findall(r"[\w/.\-]+", query.lower()), *re.findall(r"[\w/.\-]+", folded(query))]):
+        short = len(word) < 3 and "/" not in word and not word.isdigit()
+        if word and word not in STOPWORDS and not short and word not in out and len(out) < most:
+            digits = re.sub("[^0-9]", "", word)
+            out |= dict.fromkeys([word, *[bare(word)] * (len(bare(word)) >= 10), *[digits] * (len(digits) >= 4)])
     return list(out)
 
 
 def weight_of(term: str) -> float:
     """How much a term's hit is worth."""
-    bare = re.sub(r"[^a-z0-9]", "", folded(term))
-    if " " in term and len(bare) >= 10:
+    norm, bare = folded(term), re.sub(r"[^a-z0-9]", "", folded(term))
+    if " " in norm and len(bare) >= 10:
         return 2.4
-    if sum(c.isdigit() for c in term) >= 4:
+    if re.fullmatch(r"\d{4,}", norm):
         return 2.0
-    if "/" in term or len(bare) >= 12:
+    if "/" in norm or len(bare) >= 12:
         return 1.8
-    return 1.4 if len(term) >= 9 else 1.0
+    return 1.4 if len(norm) >= 9 else 1.0
 
 
 def lexical_search(rows: DataFrame, terms: list[str], fields: list[str], k: int, row_id: str, min_hits: int = 1, where: Column | None = None) -> DataFrame:
