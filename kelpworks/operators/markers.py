@@ -7,6 +7,7 @@ of which is broadcast and passes over all rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cached_property, reduce
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Characters of the markers of one block; their automaton takes some hundred bytes each.
 BLOCK_CHARS = 2_000_000
+#: Pieces of texts that a worker remembers, and the longest of them.
+PIECES, LONGEST = 300_000, 64
 
 
 class Automaton:
@@ -30,19 +33,51 @@ class Automaton:
 
     @cached_property
     def trie(self) -> ahocorasick.Automaton:
-        ids: dict[str, list[int]] = {}
-        for number, marker in self.markers:
-            ids.setdefault(marker, []).append(number)
         trie = ahocorasick.Automaton()
-        for marker, numbers in ids.items():
-            trie.add_word(marker, tuple(numbers))
+        for i, marker in enumerate(self.ids):
+            trie.add_word(marker, i)
         trie.make_automaton()
         return trie
 
+    @cached_property
+    def numbers(self) -> list[list[int]]:
+        return list(self.ids.values())
+
+    @cached_property
+    def ids(self) -> dict[str, list[int]]:
+        ids: dict[str, list[int]] = {}
+        for number, marker in self.markers:
+            ids.setdefault(marker, []).append(number)
+        return ids
+
+    @cached_property
+    def pieces(self):
+        """Cuts a text at the characters that no marker has: no occurrence lies across them."""
+        return re.compile("[" + "".join(map(re.escape, sorted({c for marker in self.ids for c in marker}))) + "]+").findall
+
+    @cached_property
+    def known(self) -> Known:
+        return Known(self.trie)
+
     def found(self, text: str | None) -> list[int]:
         if not text or not self.markers:
             return []
-        return sorted({number for numbers in {hit for _, hit in self.trie.iter(text)} for number in numbers})
+        hits = set().union(*map(self.known.__getitem__, set(self.pieces(text))))
+        return sorted(number for hit in hits for number in self.numbers[hit])
+
+
+class Known(dict):
+    """Piece of a text: the markers in it. Short pieces are remembered, up to a bound."""
+
+    def __init__(self, trie: ahocorasick.Automaton):
+        super().__init__()
+        self.trie = trie
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = tuple({hit for _, hit in self.trie.iter(piece)})
+        if len(piece) <= LONGEST and len(self) < PIECES:
+            self[piece] = found
+        return found
 
 
 def blocks_of(markers: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:

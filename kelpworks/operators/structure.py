@@ -46,26 +46,16 @@ def heading_paths(lines: DataFrame, document: list[str], position: str, text: st
     return seen.withColumn("path", F.filter(F.array(*kept), lambda x: x.isNotNull())).drop(*names)
 
 
-def is_table_chunk(content: Column) -> Column:
-    """H14 for a block: a line with a bar, or as many table lines as half of its lines, and two."""
-    lines = F.filter(F.split(content, "\n"), lambda x: F.trim(x) != "")
-    tables = F.size(F.filter(lines, lambda x: is_table_line(F.trim(x))))
-    return (F.size(lines) > 0) & (F.contains(content, F.lit("|")) | (tables >= F.greatest(F.lit(2), F.floor(F.size(lines) / 2))))
-
-
 def starts_continuation(line: Column) -> Column:
     """A bullet, a number, or a word that goes on with what was said."""
     return normalize_match(line).rlike(LEAD)
 
 
-def announces_continuation(text: Column) -> Column:
-    """Ends in a colon or a word that something must follow."""
-    return normalize_match(F.right(text, F.lit(SEAM))).rlike(SIGNAL)
-
-
-def _kind(block: Column) -> Column:
-    given = F.nullif(block["chunk_type"], F.lit(""))
-    return F.coalesce(given, F.when(is_table_chunk(block["content"]), F.lit("table")).otherwise(F.lit("text")))
+#: What cleaning would change.
+UNCLEAN = r"[\x00\t]|\x20{2}|\n{3}|^\s"
+#: Characters of a normal form that SIGNAL needs.
+SIGNAL_CHARS = 10
+FIELDS = ("content", "chunk_type", "page", "heading", "path", "chunker")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -73,26 +63,50 @@ def _same(a: Column, b: Column) -> Column:
     return F.coalesce((a != "") & (a == b), F.lit(False))
 
 
-def _goes_on(open_: Column, block: Column) -> Column:
-    """Whether the block is merged into the open one, of which the fold keeps whether it has a number with a unit."""
-    near = F.coalesce(open_["page"] == block["page"], F.lit(False)) | _same(open_["heading"], block["heading"]) | _same(open_["path"], block["path"])
-    lines = F.split(block["content"], "\n")
-    short = (F.length(block["content"]) <= SHORT_CHARS) | (F.size(lines) <= SHORT_LINES)
-    figures = short & normalize_match(block["content"]).rlike(UNIT) & ~open_["measured"]
-    return near & (announces_continuation(open_["content"]) | starts_continuation(lines[0]) | figures) & (_kind(open_) == "text") & (_kind(block) == "text")
+def _looked_at(block: Column) -> Column:
+    """A cleaned block with what the fold asks of it, worked out once: how it begins and ends, its figures and table lines."""
+
+    def seen(x: Column) -> Column:
+        lines, flat = x["lines"], x["flat"]
+        shown = F.filter(lines, lambda line: F.trim(line) != "")
+        short = (F.length(block["content"]) <= SHORT_CHARS) | (F.size(lines) <= SHORT_LINES)
+        lead = F.when(F.size(lines) == 1, flat.rlike(LEAD)).otherwise(starts_continuation(lines[0]))
+        return F.struct(
+            *(block[c].alias(c) for c in FIELDS), lead.alias("lead"), _signals(flat).alias("signal"), flat.rlike(UNIT).alias("measured"), short.alias("short"),
+            F.contains(block["content"], F.lit("|")).alias("bar"), F.size(F.filter(shown, lambda line: is_table_line(F.trim(line)))).alias("tables"), F.size(shown).alias("lines"),
+        )
+
+    forms = F.struct(F.split(block["content"], "\n").alias("lines"), normalize_match(block["content"]).alias("flat"))
+    return F.transform(F.array(forms), seen)[0]
 
 
-def _opened(block: Column, measured: Column) -> Column:
-    return F.struct(*(block[c].alias(c) for c in ("content", "chunk_type", "page", "heading", "path", "chunker")), measured.alias("measured"))
+def _signals(flat: Column) -> Column:
+    """Ends in a colon or a word that something must follow."""
+    return F.right(flat, F.lit(SIGNAL_CHARS)).rlike(SIGNAL)
+
+
+def _is_text(b: Column) -> Column:
+    table = b["bar"] | (b["tables"] >= F.greatest(F.lit(2), F.floor(b["lines"] / 2)))
+    return F.coalesce(F.nullif(b["chunk_type"], F.lit("")) == "text", ~table)
+
+
+def _goes_on(open_: Column, block: Column) -> Column:
+    near = F.coalesce(open_["page"] == block["page"], F.lit(False)) | _same(open_["heading"], block["heading"]) | _same(open_["path"], block["path"])
+    said = open_["signal"] | block["lead"] | (block["short"] & block["measured"] & ~open_["measured"])
+    return said & near & _is_text(open_) & _is_text(block)
 
 
 def _merged(open_: Column, block: Column) -> Column:
+    """The open block with the other one added; what its end and its figures say is looked for across the seam too."""
     content = clean_text(F.concat(open_["content"], F.lit("\n"), block["content"]))
-    seam = F.concat(F.right(open_["content"], F.lit(SEAM)), F.lit("\n"), block["content"])
+    seam = normalize_match(F.concat(F.right(open_["content"], F.lit(SEAM)), F.lit("\n"), block["content"]))
     filled = lambda c: F.coalesce(F.nullif(open_[c], F.lit("")), block[c]).alias(c)
     named = F.concat(F.coalesce(F.nullif(open_["chunker"], F.lit("")), F.lit("unknown")), F.lit("+ContinuationMerge"))
-    page = F.coalesce(open_["page"], block["page"]).alias("page")
-    return F.struct(content.alias("content"), open_["chunk_type"].alias("chunk_type"), page, filled("heading"), filled("path"), named.alias("chunker"), (open_["measured"] | normalize_match(seam).rlike(UNIT)).alias("measured"))
+    return F.struct(
+        content.alias("content"), open_["chunk_type"].alias("chunk_type"), F.coalesce(open_["page"], block["page"]).alias("page"), filled("heading"), filled("path"), named.alias("chunker"), open_["lead"].alias("lead"),
+        (block["signal"] | _signals(seam)).alias("signal"), (open_["measured"] | block["measured"] | seam.rlike(UNIT)).alias("measured"), open_["short"].alias("short"),
+        (open_["bar"] | block["bar"]).alias("bar"), (open_["tables"] + block["tables"]).alias("tables"), (open_["lines"] + block["lines"]).alias("lines"),
+    )
 
 
 def merge_continuations(blocks: Column) -> Column:
@@ -101,23 +115,28 @@ def merge_continuations(blocks: Column) -> Column:
     An ordered fold: the state is the list of closed blocks and the open one, so a chain of any length is compared with all
     that it has taken up. Blocks without text go; nulls in any field count as not given; a null array stays null.
     """
-    none, closed = F.lit(None).cast(BLOCK.replace(">", ",measured:boolean>")), F.array().cast(f"array<{BLOCK}>")
-    plain = lambda b: F.struct(*(b[c].alias(c) for c in ("content", "chunk_type", "page", "heading", "path", "chunker")))
-    cleaned = F.filter(F.transform(blocks, lambda b: b.withField("content", clean_text(b["content"]))), lambda b: b["content"] != "")
+    state = BLOCK[:-1] + ",lead:boolean,signal:boolean,measured:boolean,short:boolean,bar:boolean,tables:int,lines:int>"
+    none, closed = F.lit(None).cast(state), F.array().cast(f"array<{BLOCK}>")
+    plain = lambda b: F.struct(*(b[c].alias(c) for c in FIELDS))
+    whole = lambda b: F.when(b["content"].rlike(UNCLEAN) | F.right(b["content"], F.lit(1)).rlike(r"\s"), clean_text(b["content"])).otherwise(b["content"])
+    cleaned = F.filter(F.transform(blocks, lambda b: F.struct(whole(b).alias("content"), *(b[c].alias(c) for c in FIELDS[1:]))), lambda b: b["content"] != "")
 
     def step(a: Column, b: Column) -> Column:
-        fresh = _opened(b, normalize_match(b["content"]).rlike(UNIT))
-        start = F.struct(a["closed"].alias("closed"), fresh.alias("open"))
+        start = F.struct(a["closed"].alias("closed"), b.alias("open"))
         joined = F.struct(a["closed"].alias("closed"), _merged(a["open"], b).alias("open"))
-        apart = F.struct(F.concat(a["closed"], F.array(plain(a["open"]))).alias("closed"), fresh.alias("open"))
+        apart = F.struct(F.concat(a["closed"], F.array(plain(a["open"]))).alias("closed"), b.alias("open"))
         return F.when(a["open"].isNull(), start).when(_goes_on(a["open"], b), joined).otherwise(apart)
 
-    def chunk(a: Column, first: Column) -> Column:
-        part = F.aggregate(F.slice(cleaned, first, CHUNK), F.struct(closed.alias("closed"), a["open"].alias("open")), step)
-        return F.struct(F.concat(a["closed"], part["closed"]).alias("closed"), part["open"].alias("open"))
+    def chunk(a: Column, part: Column) -> Column:
+        done = F.aggregate(F.transform(part, _looked_at), F.struct(closed.alias("closed"), a["open"].alias("open")), step)
+        return F.struct(F.concat(a["closed"], done["closed"]).alias("closed"), done["open"].alias("open"))
+
+    def parts(rows: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1)), F.lit(CHUNK))
+        return F.transform(firsts, lambda first: F.slice(rows, first, CHUNK))
 
-    firsts = F.sequence(F.lit(1), F.greatest(F.size(cleaned), F.lit(1)), F.lit(CHUNK))
     begin = F.struct(closed.alias("closed"), none.alias("open"))
     ended = lambda a: F.when(a["open"].isNull(), a["closed"]).otherwise(F.concat(a["closed"], F.array(plain(a["open"]))))
-    return F.when(blocks.isNotNull(), F.aggregate(firsts, begin, chunk, ended))
-
+    # Lambdas bind what is used twice, so that it is worked out once.
+    dealt = F.transform(F.array(cleaned), parts)[0]
+    return F.when(blocks.isNotNull(), F.aggregate(dealt, begin, chunk, lambda a: F.transform(F.array(a), ended)[0]))
