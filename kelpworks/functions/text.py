@@ -36,13 +36,12 @@ def fold(c: Column | str) -> Column:
 
 
 def _spaced(c: Column) -> Column:
-    """Single blanks between what is no space, none outside. Blanks that stand alone already are not matched, which is most."""
-    return F.trim(F.regexp_replace(c, r"\s{2,}|[^\S ]", " "))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def normalize_text(c: Column | str) -> Column:
     """Folded, lower case, all but a-z and 0-9 as one space."""
-    return F.trim(F.regexp_replace(fold(F.lower(_text(c))), r"[^a-z0-9]{2,}|[^a-z0-9 ]", " "))
+    return F.trim(F.regexp_replace(fold(F.lower(_text(c))), r"[^a-z0-9]+", " "))
 
 
 def normalize_planning(c: Column | str) -> Column:

@@ -46,6 +46,7 @@ ANSWER_HEADERS = (r"(?imdU)^\s*LISTING_ID\s*:\s*\d+\s*$", r"(?imdU)^\s*---\s*[^-
 ANSWER_TAILS = ("Nếu bạn cần thêm", "Nếu cần thêm", "Thông tin này được nêu", "Kế hoạch sử dụng đất hằng năm", "Ke hoach su dung dat hang nam", "If you need more information")
 FOLLOW_UP_MARKERS = (" do ", " do?", " do la", " do thi", " nay ", " nay?", " kia", " vay", " nhu vay", "chi tiet nao", "nhung chi tiet nao", "yeu to nao", "nhung diem nao", "nhung tien ich nao")
 ANCHOR_MARKERS = ("nha", "can", "bat dong san", "dat", "van phong", "mat bang", "lo dat", "quan", "huyen", "duong", "ngo")
+FOLLOW_UP_THINGS = ("can nay", "can nha nay", "nha nay", "ngoi nha nay", "can ho nay", "mat bang nay", "lo dat nay", "bds nay", "bat dong san nay", "tin nay", "chu nha", "lien lac", "lien he", "gan", "quy hoach", "hay co")
 LOCATION_MARKERS = ("quan ", "huyen ", "phuong ", "duong ", "ngo ", "dia chi", "ha noi", "ho chi minh")
 SUITABILITY_MARKERS = ("phu hop", "hop voi", "nen chon", "co nen", "danh gia", "nhan xet", "loi the", "bat loi", "uu diem", "nhuoc diem", "dap ung", "thuan tien", "hap dan", "nhu the nao", "ra sao")
 BUSINESS_MARKERS = ("kinh doanh", "buon ban", "cho thue lai", "mat bang", "van phong", "dong tien", "doanh thu")

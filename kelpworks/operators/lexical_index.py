@@ -35,8 +35,12 @@ def _all(text: Column, pattern: str) -> Column:
 def ngrams(tokens: Column, longest: int = LONGEST, shortest: int = SHORTEST) -> Column:
     """Runs of tokens joined by spaces, the longest first, each size from left to right."""
     sizes = F.array(*(F.lit(n) for n in range(longest, shortest - 1, -1)))
-    windows = lambda n: F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(sizes, windows))
+
+    def windows(t: Column) -> Column:
+        of_size = lambda n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return F.flatten(F.transform(sizes, of_size))
+
+    return F.transform(F.array(tokens), windows)[0]  # the lambda binds the tokens, so that they are made once
 
 
 def terms_column(question: Column) -> Column:
@@ -45,7 +49,10 @@ def terms_column(question: Column) -> Column:
     Stopwords, and words under three characters that are no number and have no slash, are left out. The number of terms is
     tested after each word, so that it can pass the bound by the word's own forms. Null or empty questions have no terms.
     """
-    loose = normalize_loose(question)
+    return F.transform(F.array(normalize_loose(question)), lambda loose: _terms(question, loose))[0]
+
+
+def _terms(question: Column, loose: Column) -> Column:
     stop = F.array(*(F.lit(w) for w in sorted(STOPWORDS)))
     plain = F.filter(_all(loose, PLAIN), lambda w: ~F.array_contains(stop, w))
     phrases = F.slice(F.filter(ngrams(plain), lambda p: F.length(F.regexp_replace(p, "[^a-z0-9]", "")) >= COMPACT), 1, PHRASES)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kelpworks.plans import evaluation, lexical, relational, retrieval, structure, texts
+from kelpworks.plans import evaluation, lexical, relational, retrieval, service, structure, texts
 
-MODULES = (retrieval, relational, texts, evaluation, structure, lexical)
+MODULES = (retrieval, relational, texts, evaluation, structure, lexical, service)
 
 
 def queries() -> dict:
