@@ -11,9 +11,11 @@ Documents are counted, not listed: only lines and templates of fewer than `min_d
 looked at, so these lists are short however often a line recurs. A template is compared with the more particular ones
 that hold the rarest of its tokens.
 
-`copy` (off unless given) is for a pipeline whose next stage keeps one document of each group of copies: documents of
-which at least this share of characters recurs are then left whole, since they are copies rather than texts with
-boilerplate.
+`group` (none unless given) names a column with the group of copies that a document belongs to, for a pipeline whose next
+stage keeps one document of each: all documents of a group count as one, so a line that only copies share stays, while one
+that different texts share goes from copies too. A null group is the document alone.
+
+`copy` (off unless given) leaves documents of which at least this share of characters recurs whole.
 
 Defined results: a null text stays null; blank lines stay; a document is never removed, though its text can shrink to
 nothing; equal rows (same id and text) count as one document and get the same text; other columns are left alone,
@@ -47,10 +49,15 @@ def leaf_of(line: Column, depth: int) -> Column:
     return F.xxhash64(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))), F.substring_index(line, " ", depth))
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """k1, k2, place (from 0), line of every line that isn't blank. Lines are cleaned below the generator, so each once."""
+def _lines(docs: DataFrame, doc_id: str, text: str, group: str | None) -> DataFrame:
+    """k1, k2, who (counts as one), place (from 0), line of every line that isn't blank. Lines are cleaned below the generator, so each once."""
     cleaned = F.transform(F.split(text, "\n"), clean)
-    return docs.where(F.col(text).isNotNull()).select(*row_key(F.col(doc_id), F.col(text)), F.posexplode(cleaned).alias("place", "line")).where("line != ''")
+    return docs.where(F.col(text).isNotNull()).select(*row_key(F.col(doc_id), F.col(text)), _who(doc_id, text, group), F.posexplode(cleaned).alias("place", "line")).where("line != ''")
+
+
+def _who(doc_id: str, text: str, group: str | None) -> Column:
+    own = row_key(F.col(doc_id), F.col(text))[0]
+    return (own if group is None else F.coalesce(F.when(F.col(group).isNotNull(), F.xxhash64(F.lit("group"), F.col(group))), own)).alias("who")
 
 
 def _places(df: DataFrame, tokens: str, *more: str) -> DataFrame:
@@ -63,12 +70,13 @@ def _enough(holders: DataFrame, by: list[str], min_docs: int) -> DataFrame:
     return holders.select(*by, "k1").distinct().groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(*by)
 
 
-def recurring(docs: DataFrame, doc_id: str, text: str, min_docs: int, depth: int, similar: float) -> DataFrame:
+def recurring(docs: DataFrame, doc_id: str, text: str, min_docs: int, depth: int, similar: float, group: str | None = None) -> DataFrame:
     """k1, k2, place of every line whose template recurs."""
-    keyed = _lines(docs, doc_id, text).withColumns({"l1": F.xxhash64("line"), "l2": F.hash("line")})
-    lines = stored(keyed.select("k1", "k2", "place", leaf_of(F.col("line"), depth).alias("leaf"), *LINE), "lines")
-    leaves = stored(_enough(lines, ["leaf"], min_docs), "leaves")
-    held = stored(lines.join(leaves, "leaf").select("leaf", *LINE, "k1").distinct(), "held-lines")
+    keyed = _lines(docs, doc_id, text, group).withColumns({"l1": F.xxhash64("line"), "l2": F.hash("line")})
+    lines = stored(keyed.select("k1", "k2", *([] if group is None else ["who"]), "place", leaf_of(F.col("line"), depth).alias("leaf"), *LINE), "lines")
+    counted_lines = lines if group is None else lines.withColumn("k1", F.col("who"))
+    leaves = stored(_enough(counted_lines, ["leaf"], min_docs), "leaves")
+    held = stored(counted_lines.join(leaves, "leaf").select("leaf", *LINE, "k1").distinct(), "held-lines")
     counted = stored(held.groupBy("leaf", *LINE).agg(F.count("*").alias("docs")), "shared-lines")
 
     # the tokens of each different line; rest: hashes of those after the leading ones, 0 for a wildcard
@@ -118,10 +126,10 @@ def recurring(docs: DataFrame, doc_id: str, text: str, min_docs: int, depth: int
     return only_or_without(lines.select("k1", "k2", "place", *LINE), dropped, "left_semi", LINE).select("k1", "k2", "place")
 
 
-def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, copy: float | None = None, report: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, copy: float | None = None, report: bool = False, group: str | None = None) -> DataFrame:
     """docs without their recurring lines; with `report`, also `dropped` (their places) and `copied` (left whole)."""
     keys = ["k1", "k2"]
-    drops = recurring(docs, doc_id, text, min_docs, depth, similar).groupBy(*keys).agg(F.array_sort(F.collect_set("place")).alias("places"))
+    drops = recurring(docs, doc_id, text, min_docs, depth, similar, group).groupBy(*keys).agg(F.array_sort(F.collect_set("place")).alias("places"))
     own = docs.select(*row_key(F.col(doc_id), F.col(text)), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
     both = own.join(stored(drops, "drops"), keys, "left").withColumn("text", F.col("row").getField(text))
     both = both.withColumn("lines", F.when(F.col("places").isNotNull(), F.split("text", "\n")))

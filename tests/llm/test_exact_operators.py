@@ -172,3 +172,13 @@ def test_threshold_search_stops_early():
     assert took < 1000 and best.ids[0].tolist() == sorted(range(4000), key=lambda i: (-int(x[i] @ [1, 2, 1, 3]), i))[:5]
 
 
+
+
+def test_documents_of_a_group_count_as_one(spark):
+    """A line counts by groups: 12 documents of one group are one; a null group is the document alone."""
+    rows = [(i, "shared by copies only\nown words here", "g") for i in range(12)] + [(20 + i, f"in many texts\nelse {'abcdefghijkl'[i]} b c d", None) for i in range(10)] + [(40, "in many texts\nzz yy", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, of string")
+    left = {r.doc_id: r.text for r in line_dedup.drop_lines(df, group="of").collect()}
+    assert left[0] == rows[0][1] and all("in many" not in left[20 + i] for i in range(10)) and left[40] == "zz yy"
+    alone = {r.doc_id: r.text for r in line_dedup.drop_lines(df).collect()}
+    assert alone[0] == ""

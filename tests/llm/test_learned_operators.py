@@ -356,6 +356,21 @@ def test_pipeline_stages(spark, sf_dir):
     assert out.where(F.length("text") != F.col("n_chars")).isEmpty()
 
 
+def test_pipeline_cleans_boilerplate_and_keeps_one_copy(spark, sf_dir):
+    """Texts of common lines are cleaned though most of each recurs; near copies stay whole until one of them is kept."""
+    common = [f"common boilerplate line number {c} of every page here" for c in ("one", "two", "three", "four", "five", "six")]
+    texts = ["\n".join([*common, " ".join(f"own{w}x{i:02}" for w in "abcdefgh")]) for i in range(40)]
+    body = [" ".join(f"copied{w}{n}" for w in "abcdefghijkl") for n in "pqrstuvwxyz"]
+    texts += ["\n".join([*body, f"ending{c}"]) for c in "abcdefghijklmno"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    cleaned = stages["line dedup"](spark, docs, sf_dir)
+    left = {r.doc_id: r.text for r in cleaned.collect()}
+    assert all("common" not in left[i] and "own" in left[i] for i in range(40))
+    assert all(left[i] == texts[i] for i in range(40, 55))
+    assert {r.doc_id for r in stages["near dedup"](spark, cleaned, sf_dir).collect()} == {*range(41)}
+
+
 def test_pipeline_of_odd_rows(spark, sf_dir):
     odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "some words here", "en", None, 15), (4, "some words here", "en", "s", 15), (4, "some words here", "en", "s", 15)], "doc_id long, text string, lang string, source string, n_chars long")
     for df in (odd, odd.limit(0)):
