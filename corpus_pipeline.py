@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from kelpworks.llm.decontaminate import drop_contaminated
 from kelpworks.llm.line_dedup import drop_lines
 from kelpworks.llm.mixing import domain_of, mix
-from kelpworks.llm.near_dedup import drop_near
+from kelpworks.llm.near_dedup import drop_near, near_groups
 from kelpworks.llm.quality import keep_good
-from kelpworks.llm.shared import stored, table
+from kelpworks.llm.shared import BROADCAST_KEYS, stored, table
 
-#: Documents of which this share of characters recurs are copies, which the near-duplicate stage decides on.
-COPY = 0.8
+#: What makes near copies: words of a shingle and similarity in percent.
+SIZE, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +22,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs go; n_chars follows the text. Copies (COPY) stay whole: the next stage keeps one of each group."""
+    """Lines whose template recurs go; n_chars follows the text. The documents of a verified group of near copies count as one
+    here, since the next stage keeps one of them: what only copies share is no boilerplate."""
     names = docs.columns
-    return drop_lines(docs, copy=COPY).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    groups = stored(near_groups(docs, size=SIZE, percent=PERCENT).where("id != component").select(F.col("id").alias("__id"), F.col("component").alias("__of")).dropDuplicates(["__id"]), "copies")
+    # the first of a group has its own id as the group's name
+    heads = groups.select(F.col("__of").alias("__id"), "__of").distinct()
+    of = stored(groups.unionByName(heads), "copies-of")
+    of = F.broadcast(of) if of.count() <= BROADCAST_KEYS else of
+    marked = docs.join(of, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    return drop_lines(marked, group="__of").withColumn("n_chars", F.length("text").cast("long")).select(*names)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, similarity 0.8) stays: the one with the smallest id."""
-    return drop_near(docs, size=5, percent=80)
+    return drop_near(docs, size=SIZE, percent=PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
