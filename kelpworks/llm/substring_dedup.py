@@ -46,6 +46,8 @@ LONG = (24, 27, True)
 SHORT = (7, 6, False)
 #: Size of the k-mers that narrow a SHORT seed, of how many one is chosen, and how many words from the seed they may start.
 NEAR, NEAR_EVERY, NEAR_WORDS = 5, 4, 50
+#: Share of matches from which level words need no other alignment, cells of an alignment's table, and words of a step beyond the ends.
+LEVEL, CELLS, EDGE = 0.5, 65_536, 24
 #: Words of a block, and of the margin around a chain that is looked at.
 BLOCK, MARGIN = 64, 96
 POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -179,37 +181,95 @@ def chains_of(i: np.ndarray, j: np.ndarray, k: np.ndarray, gap: float = GAP) ->
     return chains
 
 
+def matched_in(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a longest common subsequence of two short stretches, by dynamic programming row by row."""
+    best = np.zeros((len(u) + 1, len(v) + 1), np.int16)
+    for x, word in enumerate(u):
+        best[x + 1, 1:] = np.maximum.accumulate(np.maximum(best[x, 1:], best[x, :-1] + (v == word)))
+    i, j, out = len(u), len(v), []
+    while i and j:
+        if u[i - 1] == v[j - 1] and best[i, j] == best[i - 1, j - 1] + 1:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif best[i - 1, j] >= best[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    places = np.array(out[::-1], np.int64).reshape(-1, 2)
+    return places[:, 0], places[:, 1]
+
+
 def aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Columns of the alignment along a chain: positions in a and b, and whether the words match (0 matches nothing)."""
+    """Columns of the alignment along a chain: positions in a and b, and whether the words match (0 matches nothing).
+
+    Between seeds, words that lie level are compared in place; where one side has more words, or few of them match, the best
+    common subsequence decides, so that any number of inserted and deleted words is followed. Beyond the ends it does too, in
+    steps of EDGE words, as long as most of a step matches.
+    """
     parts: list[tuple[np.ndarray, np.ndarray, bool]] = []
 
     def beside(x: int, y: int, n: int) -> None:
         if n > 0:
             parts.append((np.arange(x, x + n), np.arange(y, y + n), True))
 
-    begin = int(min(i[0], j[0]))
-    beside(int(i[0]) - begin, int(j[0]) - begin, begin)
-    ia, jb = int(i[0]), int(j[0])
+    def surplus(x: int, y: int, n: int, in_a: bool) -> None:
+        if n > 0:
+            along, still = np.arange(n), np.zeros(n, np.int64)
+            parts.append((x + (along if in_a else still), y + (still if in_a else along), False))
+
+    def between(x: int, y: int, until_x: int, until_y: int) -> None:
+        """Columns of two stretches, none of which is a seed."""
+        n, m = until_x - x, until_y - y
+        if n == m and (n < 3 or (a[x:until_x] == b[y:until_y]).mean() >= LEVEL):
+            return beside(x, y, n)
+        if n * m > CELLS:  # too long for one table: the surplus stands after what matches from the left
+            head = min(n, m)
+            same = a[x : x + head] == b[y : y + head]
+            head = head if same.all() else int(same.argmin())
+            beside(x, y, head)
+            surplus(x + head, y + head, abs(n - m), n > m)
+            return beside(until_x - (min(n, m) - head), until_y - (min(n, m) - head), min(n, m) - head)
+        at, to = matched_in(a[x:until_x], b[y:until_y])
+        for p, q in [*zip((at + x).tolist(), (to + y).tolist(), strict=True), (until_x, until_y)]:
+            level = min(p - x, q - y)
+            beside(x, y, level)
+            surplus(x + level, y + level, max(p - x, q - y) - level, p - x > q - y)
+            if p < until_x or q < until_y:
+                beside(p, q, 1)
+            x, y = p + 1, q + 1
+
+    def edge(u: np.ndarray, v: np.ndarray) -> tuple[int, int]:
+        """How many words of both sides to follow from an end: up to the last match of a step that matches for the most part."""
+        n = m = 0
+        while len(own := u[n : n + EDGE]) and len(other := v[m : m + EDGE]):
+            level = min(len(own), len(other))
+            if (own[:level] == other[:level]).mean() >= LEVEL:
+                step = level, level
+            else:
+                at, to = matched_in(own, other)
+                if len(at) < LEVEL * level:
+                    break
+                step = int(at[-1]) + 1, int(to[-1]) + 1
+            n, m = n + step[0], m + step[1]
+        return n, m
+
+    first, last = (int(i[0]), int(j[0])), (int(i[-1] + k[-1]), int(j[-1] + k[-1]))
+    n, m = edge(a[: first[0]][::-1], b[: first[1]][::-1])
+    more = min(first[0] - n, first[1] - m)
+    beside(first[0] - n - more, first[1] - m - more, more)
+    between(first[0] - n, first[1] - m, *first)
+    ia, jb = first
     for x, y, size in zip(i.tolist(), j.tolist(), k.tolist(), strict=True):
         skip = max(0, ia - x, jb - y)  # what is aligned already
         if skip >= size:
             continue
         x, y, size = x + skip, y + skip, size - skip
-        n = min(x - ia, y - jb)
-        u, v = a[ia : ia + n], b[jb : jb + n]
-        head = n if (same := u == v).all() else int(same.argmin())
-        if x - ia != y - jb:  # the surplus of one side stands after the words that match from the left
-            beside(ia, jb, head)
-            more = abs((x - ia) - (y - jb))
-            in_a = x - ia > y - jb
-            at = np.arange(more) if in_a else np.zeros(more, np.int64)
-            parts.append((ia + head + at, jb + head + (np.zeros(more, np.int64) if in_a else np.arange(more)), False))
-            beside(x - (n - head), y - (n - head), n - head)
-        else:
-            beside(ia, jb, n)
+        between(ia, jb, x, y)
         beside(x, y, size)
         ia, jb = x + size, y + size
-    beside(ia, jb, min(len(a) - ia, len(b) - jb))
+    n, m = edge(a[last[0] :], b[last[1] :])
+    between(ia, jb, ia + n, jb + m)
+    beside(ia + n, jb + m, min(len(a) - ia - n, len(b) - jb - m))
     p, q = (np.concatenate([part[c] for part in parts]) for c in (0, 1))
     both = np.concatenate([np.full(len(part[0]), part[2]) for part in parts])
     return p, q, both & (a[np.minimum(p, len(a) - 1)] == b[np.minimum(q, len(b) - 1)]) & (a[np.minimum(p, len(a) - 1)] != 0)
@@ -220,23 +280,30 @@ def periodic(words: np.ndarray, similar: float) -> bool:
     return any((words[p:] == words[:-p]).mean() >= similar for p in range(1, len(words) // 2 + 1))
 
 
-def passages_of(same: np.ndarray, least: int, similar: float) -> list[tuple[int, int]]:
-    """Disjoint stretches of at least so many columns, with that share of matches; each the best of what is left."""
+def passages_of(left: np.ndarray, right: np.ndarray, same: np.ndarray, least: int, similar: float) -> list[tuple[int, int]]:
+    """Disjoint stretches of columns with at least so many words on both sides and that share of matches, which begin and end
+    with two matches (one may be chance); each the best of what is left, by matches against misses. A stretch that is best
+    alone but too short does not hide a longer one around it."""
     gain = np.where(same, 1.0, -similar / (1 - similar))
     found, todo = [], [(0, len(same))]
     while todo:
         low, high = todo.pop()
         if high - low < least:
             continue
+        l, r, own = left[low:high], right[low:high], same[low:high]
+        opens, closes = own & np.append(own[1:], False), own & np.insert(own[:-1], 0, False)
         sums = np.concatenate([np.zeros(1), np.cumsum(gain[low:high])])
-        lowest = np.minimum.accumulate(sums)
-        end = int((sums - lowest).argmax())
-        start = int(np.flatnonzero(sums[: end + 1] == lowest[end])[-1]) if end else 0
-        if end <= start:
+        # the last column at which a stretch may begin that ends with each column, so that both sides have enough words
+        until = np.minimum(np.searchsorted(l, l + 1 - least, "right"), np.searchsorted(r, r + 1 - least, "right")) - 1
+        begins = np.where(opens, sums[:-1], np.inf)
+        lowest = np.minimum.accumulate(begins)
+        value = np.where(closes & (until >= 0), sums[1:] - lowest[np.maximum(until, 0)], -np.inf)
+        end = int(value.argmax())
+        if value[end] < -1e-9:
             continue
-        if end - start >= least:
-            found.append((low + start, low + end))
-        todo += [(low, low + start), (low + end, high)]
+        start = int(np.flatnonzero(begins[: until[end] + 1] == lowest[until[end]])[-1])
+        found.append((low + start, low + end + 1))
+        todo += [(low, low + start), (low + end + 1, high)]
     return found
 
 
@@ -313,7 +380,7 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
                     sides.append((begin, np.concatenate([w for _, w in own]), np.asarray(c) - begin))
                 (p, a, i), (q, b, j) = sides
                 left, right, same = aligned(a, b, i, j, np.asarray(row.k))
-                for x, y in passages_of(same, min_words, similar):
+                for x, y in passages_of(left, right, same, min_words, similar):
                     s, e, t, u = (int(c) for c in (left[x], left[y - 1] + 1, right[x], right[y - 1] + 1))
                     if min(e - s, u - t) >= min_words and (row.id != row.other or (q + u <= p + s and not periodic(a[s:e], similar))):
                         out.append((row.id, row.other, p + s, p + e, q + t, q + u, int(same[x:y].sum())))

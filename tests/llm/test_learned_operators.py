@@ -164,6 +164,38 @@ def test_repeats_within_a_document_and_rows_of_one_id(spark):
     assert one[0] == one[1] and {r[:2] for r in one[0] if r[0] != r[1]} == {(2, 1)}
 
 
+@pytest.mark.parametrize(("words", "kind", "share", "least"), [(60, "change", 0.10, 54), (60, "change", 0.15, 50), (100, "change", 0.15, 54), (80, "each tenth goes", 0, 54), (80, "change, insert, delete", 0.10, 54)])
+def test_passages_with_random_changes_are_found(spark, words, kind, share, least):
+    """60 planted pairs, 90 random words on either side; a few draws have more changes than a passage may have."""
+    r, rows, pairs = random.Random(f"{words}{kind}{share}"), [], set()
+    for n in range(60):
+        pick = lambda n=n: f"n{n}w{r.randrange(3000)}"
+        passage, other = [pick() for _ in range(words)], []
+        for at, w in enumerate(passage, 1):
+            what = r.choice(kind.split(", ")) if r.random() < share else "delete" if kind == "each tenth goes" and at % 10 == 0 else "keep"
+            other += {"keep": [w], "change": [pick()], "insert": [pick(), w], "delete": []}[what]
+        around = lambda x, pick=pick: " ".join([*(pick() for _ in range(90)), *x, *(pick() for _ in range(90))])
+        rows += [(2 * n, around(passage)), (2 * n + 1, around(other))]
+        pairs.add((2 * n + 1, 2 * n))
+    found = {(x.doc_id, x.other_id) for x in substring_dedup.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= pairs and len(found) >= least
+
+
+def test_stretches_are_the_best_of_all(monkeypatch):
+    """Against every pair of ends: the best stretch has enough words on both sides, begins and ends with two matches."""
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(r.integers(1, 40))
+        same, step = r.random(n) < r.choice([0.5, 0.8, 0.95]), r.integers(0, 3, n)
+        left, right = np.cumsum(step != 1), np.cumsum(step != 2)
+        gain = np.where(same, 1.0, -4.0)
+        fit = [(gain[x : y + 1].sum(), x, y + 1) for x in range(n) for y in range(x, n) if same[x : x + 2].all() and same[y - 1 : y + 1].all() and min(left[y] - left[x], right[y] - right[x]) >= 7]
+        best = max((g for g, _, _ in fit if g >= 0), default=None)
+        found = substring_dedup.passages_of(left, right, same, 8, 0.8)
+        assert bool(found) == (best is not None) and (not found or np.isclose(gain[slice(*found[0])].sum(), best))
+        assert all(same[x] and same[y - 1] and same[x:y].mean() >= 0.8 - 1e-9 for x, y in found)
+
+
 def test_best_chain_is_the_best_of_all():
     rng = random.Random(8)
     for _ in range(30):
