@@ -253,7 +253,7 @@ def aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.nd
             n, m = n + step[0], m + step[1]
         return n, m
 
-    first, last = (int(i[0]), int(j[0])), (int(i[-1] + k[-1]), int(j[-1] + k[-1]))
+    first = int(i[0]), int(j[0])
     n, m = edge(a[: first[0]][::-1], b[: first[1]][::-1])
     more = min(first[0] - n, first[1] - m)
     beside(first[0] - n - more, first[1] - m - more, more)
@@ -267,7 +267,7 @@ def aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.nd
         between(ia, jb, x, y)
         beside(x, y, size)
         ia, jb = x + size, y + size
-    n, m = edge(a[last[0] :], b[last[1] :])
+    n, m = edge(a[ia:], b[jb:])
     between(ia, jb, ia + n, jb + m)
     beside(ia + n, jb + m, min(len(a) - ia - n, len(b) - jb - m))
     p, q = (np.concatenate([part[c] for part in parts]) for c in (0, 1))

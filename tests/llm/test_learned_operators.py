@@ -181,6 +181,20 @@ def test_passages_with_random_changes_are_found(spark, words, kind, share, least
     assert found <= pairs and len(found) >= least
 
 
+def test_columns_go_once_through_both_sides():
+    """Whatever the chain, a seed that ends before the one ahead of it included: each word has its column, in order."""
+    r = np.random.default_rng(7)
+    for _ in range(200):
+        a, b = r.integers(1, 6, int(r.integers(30, 80))), r.integers(1, 6, int(r.integers(30, 80)))
+        i, j = np.sort(r.choice(20, 3, False)), np.sort(r.choice(20, 3, False))
+        k = r.integers(1, 9, 3)
+        for x, y, n in zip(i, j, k, strict=True):
+            b[y : y + n] = a[x : x + n]
+        left, right, same = substring_dedup.aligned(a, b, i, j, k)
+        assert (np.diff(left) >= 0).all() and (np.diff(right) >= 0).all() and (np.diff(left) + np.diff(right) > 0).all()
+        assert left.min() >= 0 and left.max() < len(a) and right.max() < len(b) and (a[left[same]] == b[right[same]]).all()
+
+
 def test_stretches_are_the_best_of_all(monkeypatch):
     """Against every pair of ends: the best stretch has enough words on both sides, begins and ends with two matches."""
     r = np.random.default_rng(5)
