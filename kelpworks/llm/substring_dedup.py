@@ -182,7 +182,10 @@ def chains_of(i: np.ndarray, j: np.ndarray, k: np.ndarray, gap: float = GAP) ->
 
 
 def matched_in(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a longest common subsequence of two short stretches, by dynamic programming row by row."""
+    """Places of a longest common subsequence of two short stretches, by dynamic programming row by row over shared words."""
+    shared = set(u.tolist()) & set(v.tolist())
+    own, other = (np.array([n for n, w in enumerate(x.tolist()) if w in shared], np.int64) for x in (u, v))
+    u, v = u[own], v[other]
     best = np.zeros((len(u) + 1, len(v) + 1), np.int16)
     for x, word in enumerate(u):
         best[x + 1, 1:] = np.maximum.accumulate(np.maximum(best[x, 1:], best[x, :-1] + (v == word)))
@@ -196,7 +199,7 @@ def matched_in(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         else:
             j -= 1
     places = np.array(out[::-1], np.int64).reshape(-1, 2)
-    return places[:, 0], places[:, 1]
+    return own[places[:, 0]], other[places[:, 1]]
 
 
 def aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,6 +248,8 @@ def aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.nd
             level = min(len(own), len(other))
             if (own[:level] == other[:level]).mean() >= LEVEL:
                 step = level, level
+            elif len(set(own.tolist()) & set(other.tolist())) < LEVEL * min(level, len(set(own.tolist())), len(set(other.tolist()))):
+                break  # too few words in common, whatever their order
             else:
                 at, to = matched_in(own, other)
                 if len(at) < LEVEL * level:
@@ -288,7 +293,7 @@ def passages_of(left: np.ndarray, right: np.ndarray, same: np.ndarray, least: in
     found, todo = [], [(0, len(same))]
     while todo:
         low, high = todo.pop()
-        if high - low < least:
+        if np.count_nonzero(same[low:high]) < similar * least:
             continue
         l, r, own = left[low:high], right[low:high], same[low:high]
         opens, closes = own & np.append(own[1:], False), own & np.insert(own[:-1], 0, False)
