@@ -209,16 +209,18 @@ def aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.nd
     common subsequence decides, so that any number of inserted and deleted words is followed. Beyond the ends it does too, in
     steps of EDGE words, as long as most of a step matches.
     """
-    parts: list[tuple[np.ndarray, np.ndarray, bool]] = []
+    parts: list[list[int]] = []  # where a run of columns begins in a and b, its length, and whether each side goes along
 
     def beside(x: int, y: int, n: int) -> None:
         if n > 0:
-            parts.append((np.arange(x, x + n), np.arange(y, y + n), True))
+            if parts and (last := parts[-1])[3] and last[4] and last[0] + last[2] == x and last[1] + last[2] == y:
+                last[2] += n
+            else:
+                parts.append([x, y, n, 1, 1])
 
     def surplus(x: int, y: int, n: int, in_a: bool) -> None:
         if n > 0:
-            along, still = np.arange(n), np.zeros(n, np.int64)
-            parts.append((x + (along if in_a else still), y + (still if in_a else along), False))
+            parts.append([x, y, n, int(in_a), int(not in_a)])
 
     def between(x: int, y: int, until_x: int, until_y: int) -> None:
         """Columns of two stretches, none of which is a seed."""
@@ -275,9 +277,12 @@ def aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.nd
     n, m = edge(a[ia:], b[jb:])
     between(ia, jb, ia + n, jb + m)
     beside(ia + n, jb + m, min(len(a) - ia - n, len(b) - jb - m))
-    p, q = (np.concatenate([part[c] for part in parts]) for c in (0, 1))
-    both = np.concatenate([np.full(len(part[0]), part[2]) for part in parts])
-    return p, q, both & (a[np.minimum(p, len(a) - 1)] == b[np.minimum(q, len(b) - 1)]) & (a[np.minimum(p, len(a) - 1)] != 0)
+    x, y, size, in_a, in_b = np.array(parts).T
+    along = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    p, q = (np.repeat(start, size) + along * np.repeat(goes, size) for start, goes in ((x, in_a), (y, in_b)))
+    both = np.repeat((in_a & in_b).astype(bool), size)
+    u = a[np.minimum(p, len(a) - 1)]
+    return p, q, both & (u == b[np.minimum(q, len(b) - 1)]) & (u != 0)
 
 
 def periodic(words: np.ndarray, similar: float) -> bool:
