@@ -12,6 +12,7 @@ from kelpworks.operators.history import with_history
 from kelpworks.operators.scopes import scoped
 from kelpworks.plans.tables import table
 from kelpworks.sources.scratch import fresh_path
+from kelpworks.sources.store import ChunkStore
 
 #: Characters that the judge of judged_answers takes, and rows of each question of scoped_rows.
 MOST, K = 900, 5
@@ -88,5 +89,29 @@ k AS (SELECT m.s_suppkey, scope, c_custkey, CAST(row_number() OVER (PARTITION BY
 SELECT s_suppkey, scope, rank, c_custkey FROM k WHERE rank <= {K}"""
 )
 
-QUERIES = {"judged_answers": judged_answers, "history_lookup": history_lookup, "scoped_rows": scoped_rows}
-SQL = {"judged_answers": JUDGED, "history_lookup": LOOKUP, "scoped_rows": SCOPED}
+def store_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rebuilt into a collection in pages, toxic ones deleted, low ones replaced by a
+    note, and what a second collection of the good ones lacks copied to it; that collection is read."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    about = F.create_map(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("lang"), F.coalesce("lang", F.lit("")), F.lit("source"), F.coalesce("source", F.lit("")))
+    chunk = lambda df, text: df.select(F.col("doc_id").cast("string").alias("chunk_id"), text.alias("content"), about.alias("meta"), F.lit(None).cast("array<float>").alias("embedding"))
+    whole = F.coalesce("text", F.lit(""))
+    store = ChunkStore(spark, fresh_path(spark, "store"))
+    store.rebuild(docs, "all", "doc_id", "first", lambda df: chunk(df, whole), pages=4)
+    toxic = labels.where("toxic = 1").select("doc_id")
+    store.delete("all", "doc", toxic)
+    low = labels.where("quality = 0").join(toxic, "doc_id", "left_anti").select("doc_id")
+    store.upsert(chunk(docs.join(low, "doc_id", "left_semi"), F.lit("low")), "all", "doc")
+    store.append(chunk(docs.join(labels.where("quality = 1"), "doc_id", "left_semi"), F.lit("label")), "some")
+    store.copy_missing("all", "some", lambda df: df.withColumn("embedding", F.array(F.length("content").cast("float"))))
+    return store.read("some").select("chunk_id", F.col("meta")["lang"].alias("lang"), F.col("meta")["source"].alias("source"), F.length("content").cast("long").alias("chars"), F.element_at("embedding", 1).cast("long").alias("vector"))
+
+
+_LABELLED = "EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id AND {})"
+ROUNDS = f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, length(coalesce(text, '')) AS own,
+  {_LABELLED.format('quality = 1')} AS good, {_LABELLED.format('quality = 0')} AS low, {_LABELLED.format('toxic = 1')} AS toxic FROM documents), e AS (
+SELECT *, CASE WHEN good THEN 5 WHEN low THEN 3 ELSE own END AS chars FROM d WHERE good OR NOT toxic)
+SELECT chunk_id, lang, source, chars, CASE WHEN NOT good THEN CAST(CAST(chars AS FLOAT) AS BIGINT) END AS vector FROM e"""
+
+QUERIES = {"store_rounds": store_rounds, "judged_answers": judged_answers, "history_lookup": history_lookup, "scoped_rows": scoped_rows}
+SQL = {"store_rounds": ROUNDS, "judged_answers": JUDGED, "history_lookup": LOOKUP, "scoped_rows": SCOPED}
