@@ -1,7 +1,7 @@
 """URL filter: rules where they fit, else trust and distrust that spread over the link graph of hosts.
 
-Hosts are linked by the pages' absolute links, by their relative ones (a host to itself) and to the parent domain of a
-host (one link each way, down to two labels). Trust is a personalised PageRank from hosts in proportion to their pages
+Hosts are linked by the pages' absolute links and by their relative ones (a host to itself), and by nothing else: hosts
+that share a domain are strangers unless a page links them. Trust is a personalised PageRank from hosts in proportion to their pages
 that a rule allows, along the links; distrust one from those that a rule blocks, against the links. A host's pages
 without a rule are blocked where its distrust is above its trust times `ratio`.
 
@@ -50,20 +50,13 @@ def ruled(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 
 def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """a, b, n: links between hosts, those within a host and to parent domains included."""
+    """a, b, n: links between hosts that pages contain, those within a host included."""
     host, _ = parts(F.col(url))
     whole = F.coalesce(F.col(html), F.lit(""))
     out = pages.select(host.alias("a"), F.transform(F.regexp_extract_all(whole, F.lit(LINK), F.lit(1)), lambda h: F.translate(h, UPPER, LOWER)).alias("to"), F.regexp_count(whole, F.lit(INNER)).alias("own")).where("a != ''")
     outer = out.select("a", F.explode("to").alias("b"), F.lit(1).cast("long").alias("n"))
     inner = out.select("a", F.col("a").alias("b"), F.col("own").cast("long").alias("n"))
-    linked = outer.unionByName(inner).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    linked = stored(linked, "host-links")
-    hosts = linked.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    steps = hosts.select(F.split("h", r"\.").alias("l")).where("size(l) > 1")
-    chain = steps.select(F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.array_join(F.slice("l", i, F.size("l")), ".")).alias("up"))
-    pairs = chain.select(F.explode(F.arrays_zip(F.col("up").alias("x"), F.slice("up", F.lit(2), F.size("up")).alias("y"))).alias("p")).select(F.col("p.x").alias("a"), F.col("p.y").alias("b")).where("b is not null").distinct()
-    one = F.lit(1).cast("long").alias("n")
-    return linked.unionByName(pairs.select("a", "b", one)).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), one)).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return outer.unionByName(inner).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def spread(links: DataFrame, seeds: DataFrame, damping: float = 0.85, close: float = 1e-6, most: int | None = None, kept: int = 4) -> DataFrame:
