@@ -19,6 +19,17 @@ from kelpworks.sources.commits import CommitLog
 
 SCHEMA = "chunk_id string, content string, meta map<string,string>, embedding array<float>"
 
+#: Keys and bytes of keys up to which they are sent to all executors, in place of moving the collection's rows.
+SMALL_KEYS, SMALL_BYTES = 500_000, 16 << 20
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """One string column, distinct, to be broadcast if it was found small."""
+    name = keys.columns[0]
+    keys = keys.distinct()
+    n, held = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()
+    return F.broadcast(keys) if n <= SMALL_KEYS and held <= SMALL_BYTES else keys
+
 
 class Conflict(RuntimeError):
     """Others committed each time first."""
@@ -82,8 +93,7 @@ class ChunkStore:
     def append_missing(self, df: DataFrame, collection: str) -> None:
         """Rows of df whose id the collection lacks, also where several writers ask for the same one at once. Rows that
         share an id within df all count as one writer's; rows without an id are always added."""
-        own = lambda rows: rows.select(self.chunk_id)
-        self._change(collection, lambda rows: df.join(own(rows), self.chunk_id, "left_anti"), whole=False)
+        self._change(collection, lambda rows: df.join(sized(rows.select(self.chunk_id)), self.chunk_id, "left_anti"), whole=False)
 
     def count(self, collection: str) -> int:
         """S11."""
@@ -95,7 +105,7 @@ class ChunkStore:
 
     def delete(self, collection: str, key: str, keys: DataFrame) -> None:
         """An anti-join by a metadata key (keys: one column); rows without the key stay."""
-        gone = keys.select(F.col(keys.columns[0]).cast("string").alias("__k")).distinct()
+        gone = sized(keys.select(F.col(keys.columns[0]).cast("string").alias("__k")))
         self._change(collection, lambda rows: rows.withColumn("__k", F.col("meta")[key]).join(gone, "__k", "left_anti"), whole=True)
 
     def clear(self, collection: str) -> None:
@@ -104,7 +114,7 @@ class ChunkStore:
 
     def upsert(self, df: DataFrame, collection: str, key: str) -> None:
         """What df has replaces all rows of its keys, in one commit."""
-        keys = df.select(F.col("meta")[key].alias("__k")).where("__k is not null").distinct()
+        keys = sized(df.select(F.col("meta")[key].alias("__k")).where("__k is not null"))
         kept = lambda rows: rows.withColumn("__k", F.col("meta")[key]).join(keys, "__k", "left_anti").select(*self.names)
         self._change(collection, lambda rows: kept(rows).unionByName(df.select(*self.names)), whole=True)
 
@@ -114,7 +124,7 @@ class ChunkStore:
         if all(modes) and {r["m"] for r in modes[0]} != {r["m"] for r in modes[1]}:
             raise ValueError("collections were chunked in different modes")
         rows = self.read(source).drop("collection")
-        self._change(target, lambda own: embed(rows.join(own.select(self.chunk_id), self.chunk_id, "left_anti").drop("embedding")), whole=False)
+        self._change(target, lambda own: embed(rows.join(sized(own.select(self.chunk_id)), self.chunk_id, "left_anti").drop("embedding")), whole=False)
 
     def rebuild(self, rows: DataFrame, collection: str, key: str, name: str, make: Callable[[DataFrame], DataFrame] = lambda df: df, pages: int = 50) -> None:
         """The collection anew from rows, in pages along an integer key; make turns a page into chunks.

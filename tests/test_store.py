@@ -47,9 +47,6 @@ def test_a_writer_that_is_always_late_says_so(spark, tmp_path):
         columns = ["k"]
 
         def select(self, *_):
-            return self
-
-        def distinct(self):
             return spark.createDataFrame([("1",)], "__k string")
 
     late._of = lambda c, f: (other.append(chunks(spark, [len(f) + 1]), c), other._of(c, f))[1]
@@ -58,6 +55,19 @@ def test_a_writer_that_is_always_late_says_so(spark, tmp_path):
     assert ids(other, "c") == [1, 2]
 
 
+def test_few_keys_are_sent_and_many_are_not(spark, monkeypatch):
+    from kelpworks.sources import store as module
+
+    rows, keys = chunks(spark, range(9)), spark.createDataFrame([("1",), ("1",), (None,), ("300",)], "chunk_id string")
+    hinted = lambda: "broadcast" in rows.join(module.sized(keys), "chunk_id", "left_anti")._jdf.queryExecution().optimizedPlan().toString()
+    assert hinted() and module.sized(keys.limit(0)).count() == 0
+    for name, most in (("SMALL_KEYS", 2), ("SMALL_BYTES", 3)):
+        with monkeypatch.context() as m:
+            m.setattr(module, name, most)
+            assert not hinted()
+            assert rows.join(module.sized(keys), "chunk_id", "left_anti").count() == 8
+
+
 def test_an_interrupted_rebuild_goes_on_and_ends_alike(spark, tmp_path):
     store = ChunkStore(spark, str(tmp_path / "store"))
     keys = [None, *[7] * 30, *range(60), -4, 10**12]
