@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpworks.functions import vocabulary as v
-from kelpworks.functions.text import contains_any, format_distance, normalize_text, number_forms, year_in
+from kelpworks.functions.text import contains_any, evaluated, format_distance, normalize_text, number_forms, year_in
 from kelpworks.operators.search import folded
 
 #: Lines of an expected output that instruct rather than state, and words that mark a fact.
@@ -36,20 +36,24 @@ def stated_facts(expected: Column) -> Column:
     """
 
     def fact(line: Column) -> Column:
-        flat, cut = normalize_text(line), F.locate(":", line)
-        head, tail = normalize_text(F.substring(line, 1, cut - 1)), F.trim(F.substring(line, cut + 1, 10_000))
+        cut = F.locate(":", line)
+        parts = {"line": line, "flat": normalize_text(line), "cut": cut, "head": normalize_text(F.substring(line, 1, cut - 1)), "tail": F.trim(F.substring(line, cut + 1, 10_000))}
+        return evaluated(F.struct(*(c.alias(n) for n, c in parts.items())), lambda p: decided(*(p[n] for n in parts)))
+
+    def decided(line: Column, flat: Column, cut: Column, head: Column, tail: Column) -> Column:
         title = F.coalesce(*(F.when(contains_any(head, words), F.lit(f"{name}: ")) for words, name in TITLES), F.lit(""))
         count = F.coalesce(*(F.when(F.startswith(flat, F.lit(p)), F.lit(len(p.split()))) for p in sorted(DIRECTIVES, key=len, reverse=True)), F.lit(0))
         rest = F.regexp_replace(F.array_join(F.slice(F.split(line, r"\s+"), count + 1, 10_000), " "), r"(?i)^(?:(?:là|la|về|ve|day|đây|việc|viec|rằng|rang)\s+)+", "")
         plain = F.when(line.rlike(r"\d|\b[A-Z_]{3,}\b") | contains_any(flat, FACTS), line)
         directive = F.when((cut > 0) & _starts(head, DIRECTIVES), F.when((tail != "") & ~_guides(normalize_text(tail)), F.concat(title, tail)))
-        return F.when(_guides(flat), F.lit(None)).when((cut > 0) & _starts(head, DIRECTIVES), directive).when(_starts(flat, DIRECTIVES), F.when((rest != "") & ~_guides(normalize_text(rest)), rest)).otherwise(plain)
+        return F.when(_guides(flat), F.lit(None)).when((cut > 0) & _starts(head, DIRECTIVES), directive).when(_starts(flat, DIRECTIVES), evaluated(rest, lambda r: F.when((r != "") & ~_guides(normalize_text(r)), r))).otherwise(plain)
 
     lines = F.transform(F.split(F.coalesce(expected, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"^[-*•]+\s*", ""), r"^\d+[.)]\s*", "")))
-    facts = F.filter(F.transform(F.filter(lines, lambda x: x != ""), fact), lambda x: F.coalesce(normalize_text(x), F.lit("")) != "")
-    keyed = F.transform(facts, lambda x: F.struct(normalize_text(x).alias("k"), x.alias("x")))
-    once = F.transform(F.filter(keyed, lambda x, i: F.array_position(F.transform(keyed, lambda y: y["k"]), x["k"]) == i + 1), lambda x: x["x"])
-    return F.when(F.size(once) > 0, F.array_join(once, "\n")).otherwise(expected)
+    facts = F.filter(F.transform(F.filter(lines, lambda x: x != ""), fact), lambda x: x.isNotNull())
+    keyed = F.filter(F.transform(facts, lambda x: F.struct(normalize_text(x).alias("k"), x.alias("x"))), lambda x: x["k"] != "")
+    firsts = lambda pairs, keys: F.transform(F.filter(pairs, lambda x, i: F.array_position(keys, x["k"]) == i + 1), lambda x: x["x"])
+    once = evaluated(keyed, lambda pairs: evaluated(F.transform(pairs, lambda x: x["k"]), lambda keys: firsts(pairs, keys)))
+    return evaluated(once, lambda x: F.when(F.size(x) > 0, F.array_join(x, "\n")).otherwise(expected))
 
 
 def zipped(left: DataFrame, right: DataFrame, ordinal: str) -> DataFrame:
@@ -123,17 +127,22 @@ def plan_year(messages: DataFrame, session: str = "conv_id", turn: str = "turn",
 
 def highlights(question: Column, listed: Column, broad: bool = False) -> Column:
     """Of the highlights between bars those that a word of the question names, or that speak of its purpose."""
-    flat = normalize_text(question)
-    terms = F.slice(F.array_distinct(F.filter(F.split(flat, " "), lambda w: F.length(w) >= 3)), 1, 18)
     items = F.filter(F.transform(F.split(F.coalesce(listed, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    forms = F.transform(items, lambda x: F.struct(x.alias("x"), normalize_text(x).alias("flat")))
+    return evaluated(normalize_text(question), lambda flat: evaluated(forms, lambda seen: _chosen(flat, seen, broad)))
+
+
+def _chosen(flat: Column, items: Column, broad: bool) -> Column:
+    """highlights by the question's normal form and each item with its own."""
+    terms = F.slice(F.array_distinct(F.filter(F.split(flat, " "), lambda w: F.length(w) >= 3)), 1, 18)
     asks = lambda words: contains_any(flat, words)
-    speaks = lambda words: F.filter(items, lambda x: contains_any(normalize_text(x), words))
+    speaks = lambda words: F.filter(items, lambda x: contains_any(x["flat"], words))
+    some = lambda c: evaluated(c, lambda x: F.when(F.size(x) > 0, x))
     fit = asks(v.SUITABILITY_MARKERS)
-    named = F.filter(items, lambda x: F.exists(terms, lambda t: F.contains(normalize_text(x), t)) | (fit & contains_any(normalize_text(x), v.SUITABILITY_MARKERS)))
+    named = evaluated(F.struct(terms.alias("terms"), fit.alias("fit")), lambda q: F.filter(items, lambda x: F.exists(q["terms"], lambda t: F.contains(x["flat"], t)) | (q["fit"] & contains_any(x["flat"], v.SUITABILITY_MARKERS))))
     purpose = F.when(fit & asks(v.STUDY_WORK_MARKERS), speaks(v.STUDY_WORK_MARKERS)).when(fit & (asks(v.BUSINESS_MARKERS) | asks(v.INVESTMENT_MARKERS)), speaks((*v.BUSINESS_MARKERS, *v.INVESTMENT_MARKERS)))
     choices = [named, purpose, *([speaks(("khong", *v.BUSINESS_MARKERS))] if broad else []), F.slice(items, 1, 4 if broad else 2)]
-    chosen = F.coalesce(*(F.when(F.size(c) > 0, c) for c in choices))
-    return F.array_join(F.slice(chosen, 1, 6 if broad else 4), "; ")
+    return F.array_join(F.transform(F.slice(F.coalesce(*map(some, choices)), 1, 6 if broad else 4), lambda x: x["x"]), "; ")
 
 
 def listing_text(row: dict[str, Column], amenities: Column, utilities: Column) -> Column:
