@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpworks.functions import vocabulary as v
-from kelpworks.functions.text import compact, contains_any, hits, normalize_planning, normalize_text, said
+from kelpworks.functions.text import compact, contains_any, evaluated, hits, normalize_planning, normalize_text, said
 from kelpworks.operators.listing import utility_groups
 from kelpworks.operators.search import folded
 
@@ -84,12 +84,19 @@ def query_intents(question: Column) -> Column:
 
 def floor_filter(question: Column) -> Column:
     """Tang a den b as a range, khoang tang a as one either side, tang a as it is."""
-    q = normalize_text(F.regexp_replace(question, r"(\d)\s*-\s*(\d)", "$1 den $2"))
+    return evaluated(normalize_text(F.regexp_replace(question, r"(\d)\s*-\s*(\d)", "$1 den $2")), _floors)
+
+
+def _floors(q: Column) -> Column:
     number = lambda p, i=1: F.nullif(F.regexp_extract(q, p, i), F.lit("")).cast("int")
     span, near, exact = r"\btang\s+(\d{1,2})\s+(?:den|toi)\s+(?:tang\s+)?(\d{1,2})\b", r"\b(?:khoang|tam|gan)\s+tang\s+(\d{1,2})\b", r"\btang\s+(\d{1,2})\b"
-    a, b, c = number(span), number(span, 2), number(near)
-    low, high = F.coalesce(F.least(a, b), c - 1), F.coalesce(F.greatest(a, b), c + 1)
-    return F.struct(low.alias("floor_min"), high.alias("floor_max"), F.when(low.isNull(), number(exact)).alias("floor"))
+
+    def bounds(a: Column, b: Column, c: Column) -> Column:
+        low, high = F.coalesce(F.least(a, b), c - 1), F.coalesce(F.greatest(a, b), c + 1)
+        return F.struct(low.alias("floor_min"), high.alias("floor_max"), F.when(low.isNull(), number(exact)).alias("floor"))
+
+    named = F.struct(number(span).alias("a"), number(span, 2).alias("b"), number(near).alias("c"))
+    return evaluated(named, lambda n: bounds(n["a"], n["b"], n["c"]))
 
 
 def sane_filters(rows: DataFrame) -> DataFrame:

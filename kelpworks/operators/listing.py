@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpworks.functions.text import contains_any, fold, format_distance, normalize_text, travel_minutes
+from kelpworks.functions.text import contains_any, evaluated, fold, format_distance, normalize_text, travel_minutes
 from kelpworks.operators.search import folded
 
 #: Groups of nearby places and the words that name them.
@@ -97,11 +97,15 @@ def numeric_text(c: Column) -> Column:
     return F.regexp_replace(F.lower(fold(c)), r"(\d),(\d)", "$1.$2")
 
 
+def _extracted(c: Column, pattern: str) -> Column:
+    """The pattern's first group where it is found, else null."""
+    return evaluated(F.regexp_extract(c, pattern, 1), lambda x: F.when(x != "", x))
+
+
 def price_vnd(c: Column) -> Column:
     """H8: the first price in billions or millions, in VND."""
-    text = numeric_text(c)
-    found = lambda unit: F.regexp_extract(text, rf"(\d+(?:\.\d+)?)\s*(?:{unit})\b", 1)
-    return F.coalesce(F.nullif(found("ty|ti"), F.lit("")).cast("double") * 1e9, F.nullif(found("trieu|tr"), F.lit("")).cast("double") * 1e6)
+    found = lambda text, unit: _extracted(text, rf"(\d+(?:\.\d+)?)\s*(?:{unit})\b").cast("double")
+    return evaluated(numeric_text(c), lambda text: F.coalesce(found(text, "ty|ti") * 1e9, found(text, "trieu|tr") * 1e6))
 
 
 def area_m2(c: Column) -> Column:
@@ -110,7 +114,7 @@ def area_m2(c: Column) -> Column:
 
 def rooms(c: Column, names: str) -> Column:
     """H8: bedrooms with names 'phong ngu|pn', bathrooms with 'phong tam|wc|vs|toilet'."""
-    return F.nullif(F.regexp_extract(numeric_text(c), rf"(\d+)\s*(?:{names})\b", 1), F.lit("")).cast("int")
+    return _extracted(numeric_text(c), rf"(\d+)\s*(?:{names})\b").cast("int")
 
 
 def direction(c: Column) -> Column:
@@ -119,8 +123,8 @@ def direction(c: Column) -> Column:
 
 def utility_groups(c: Column) -> Column:
     """The groups that a text names, in order of their names."""
-    text = normalize_text(c)
-    return F.filter(F.array(*(F.when(contains_any(text, words), F.lit(g)) for g, words in sorted(UTILITY_GROUPS.items()))), lambda g: g.isNotNull())
+    named = lambda text: F.array(*(F.when(contains_any(text, words), F.lit(g)) for g, words in sorted(UTILITY_GROUPS.items())))
+    return F.filter(evaluated(normalize_text(c), named), lambda g: g.isNotNull())
 
 
 def nearby_choice(asked: Column, lines: Column, most: int = 6) -> tuple[Column, Column]:
