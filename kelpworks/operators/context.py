@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpworks.functions.text import contains_any, normalize_text
+from kelpworks.functions.text import contains_any, evaluated, normalize_text
 
 
 def first_by(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
@@ -91,14 +91,16 @@ def _values(order: str, c: str) -> Column:
 
 def overlap_score(answer: Column, title: Column, places: list[Column], numbers: Column) -> Column:
     """2 a title word (of the first 20, 3 letters or more), 4 a place, 2 a number that the answer names."""
-    text = F.concat(F.lit(" "), normalize_text(answer), F.lit(" "))
-    named = lambda w: F.contains(text, F.concat(F.lit(" "), w, F.lit(" ")))
     words = F.slice(F.filter(F.split(normalize_text(title), " "), lambda w: F.length(w) >= 3), 1, 20)
-    score = 2 * F.size(F.filter(words, named)) + 2 * F.size(F.filter(numbers, named))
-    for place in places:
-        flat = normalize_text(place)
-        score = score + F.when((flat != "") & named(flat), 4).otherwise(0)
-    return score
+
+    def scored(text: Column) -> Column:
+        named = lambda w: F.contains(text, F.concat(F.lit(" "), w, F.lit(" ")))
+        score = 2 * F.size(F.filter(words, named)) + 2 * F.size(F.filter(numbers, named))
+        for place in places:
+            score = score + evaluated(normalize_text(place), lambda flat: F.when((flat != "") & named(flat), 4).otherwise(0))
+        return score
+
+    return evaluated(F.concat(F.lit(" "), normalize_text(answer), F.lit(" ")), scored)
 
 
 def reranked(rows: DataFrame, per: str, planning: str, score: str, index: str) -> DataFrame:

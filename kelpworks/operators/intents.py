@@ -147,34 +147,48 @@ def _stripped(c: Column) -> Column:
 
 def _rewritten_lines(answer: Column, wanted: Column, line_of) -> Column:
     """Where wanted, the answer with line_of for each line (null drops it), unless nothing changes or nothing is left."""
-    lines = F.split(answer, "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
-    new = F.filter(F.transform(lines, line_of), lambda x: x.isNotNull())
-    text = _stripped(F.regexp_replace(F.array_join(new, "\n"), r"\n{3,}", "\n\n"))
-    return F.when(wanted & (new != lines) & (text != ""), text).otherwise(answer)
+
+    def joined(a: Column, lines: Column, new: Column) -> Column:
+        text = _stripped(F.regexp_replace(F.array_join(new, "\n"), r"\n{3,}", "\n\n"))
+        return evaluated(text, lambda t: F.when((new != lines) & (t != ""), t).otherwise(a))
+
+    def changed(a: Column) -> Column:
+        lines = F.split(a, "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+        left = lambda x: F.filter(F.transform(x, line_of), lambda y: y.isNotNull())
+        return evaluated(lines, lambda x: evaluated(left(x), lambda new: joined(a, x, new)))
+
+    return evaluated(answer, lambda a: F.when(wanted, changed(a)).otherwise(a))
 
 
 def _without_price(line: Column) -> Column:
     """A line that names a price: null, or what it says besides if that is a fact of another kind."""
-    flat = normalize_text(line)
     left = reduce(lambda c, p: F.regexp_replace(c, p, ""), v.PRICE_PARTS, line)
     left = F.regexp_replace(F.regexp_replace(left, r"(?U)\s{2,}", " "), r"^[ ,;-]+|[ ,;-]+$", "")
-    return F.when(~said(flat, v.PRICE_LINES), line).when(contains_any(flat, v.PRICE_KEEPS) & (left != ""), left)
+    kept = evaluated(left, lambda x: F.when(x != "", x))
+    return evaluated(normalize_text(line), lambda flat: F.when(~said(flat, v.PRICE_LINES), line).when(contains_any(flat, v.PRICE_KEEPS), kept))
 
 
 def postprocessed(question: Column, answer: Column) -> Column:
     """Listing marks as links; headers and closing phrases go, and so do lines on prices, contacts, other kinds of places
     or surroundings where the question is about something else. An answer is never emptied by its lines; null stays null.
     Price words count whole (B12). Lines are read as they are: repair_mojibake comes first where it is needed."""
-    q = normalize_text(question)
     out = F.regexp_replace(_stripped(answer), v.LISTING_MARK, r"[Xem chi tiết](/posts/$1) ")
     out = reduce(lambda c, p: F.regexp_replace(c, p, ""), v.ANSWER_HEADERS, out)
     out = reduce(lambda c, t: _stripped(F.regexp_replace(c, rf"(?iU)\s*{t}[^.!?]*[.!?]?\s*$", "")), v.ANSWER_TAILS, out)
-    intents = query_intents(question)
-    out = _rewritten_lines(out, intents["suitability_query"] & ~intents["needs_price"], _without_price)
+    flags = lambda q, intents: F.struct(
+        (intents["suitability_query"] & ~intents["needs_price"]).alias("unpriced"), contains_any(q, v.CONTACTS).alias("contacts"), contains_any(q, v.SPACIOUS).alias("spacious")
+    )
+    asked = F.when(contains_any(normalize_text(question), v.NEARBY), utility_groups(question)).otherwise(F.array().cast("array<string>"))
+    said_of = evaluated(normalize_text(question), lambda q: evaluated(_intents(q), lambda i: flags(q, i)))
+    return evaluated(F.struct(said_of.alias("flags"), asked.alias("asked")), lambda w: _postprocessed(out, w["flags"], w["asked"]))
+
+
+def _postprocessed(out: Column, wants: Column, asked: Column) -> Column:
+    """postprocessed behind its patterns, by what the question wants and the groups of places that it asks for."""
+    out = _rewritten_lines(out, wants["unpriced"], _without_price)
     contact = lambda x: contains_any(normalize_text(x), v.CONTACTS) | x.rlike(r"\b0\d{8,10}\b")
-    out = _rewritten_lines(out, ~contains_any(q, v.CONTACTS), lambda x: F.when(~contact(x), x))
-    asked = F.when(contains_any(q, v.NEARBY), utility_groups(question)).otherwise(F.array().cast("array<string>"))
-    other = lambda x: (F.size(utility_groups(x)) > 0) & ~F.arrays_overlap(utility_groups(x), asked)
+    out = _rewritten_lines(out, ~wants["contacts"], lambda x: F.when(~contact(x), x))
+    other = lambda x: evaluated(utility_groups(x), lambda g: (F.size(g) > 0) & ~F.arrays_overlap(g, asked))
     out = _rewritten_lines(out, F.size(asked) > 0, lambda x: F.when(~other(x), x))
-    extra = lambda x: contains_any(normalize_text(x), v.SPACIOUS_EXTRAS) & ~contains_any(normalize_text(x), v.SPACIOUS_KEEPS)
-    return _rewritten_lines(out, contains_any(q, v.SPACIOUS), lambda x: F.when(~extra(x), x))
+    extra = lambda x: evaluated(normalize_text(x), lambda flat: contains_any(flat, v.SPACIOUS_EXTRAS) & ~contains_any(flat, v.SPACIOUS_KEEPS))
+    return _rewritten_lines(out, wants["spacious"], lambda x: F.when(~extra(x), x))
