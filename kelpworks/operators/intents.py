@@ -15,11 +15,15 @@ from kelpworks.operators.search import folded
 
 def district_of(c: Column) -> Column:
     """The first district whose alias stands as a phrase, else whose compact name is contained, else whose ward is named; null if none."""
-    text, tight = F.concat(F.lit(" "), normalize_text(c), F.lit(" ")), compact(c)
-    phrase = [F.when(F.contains(text, F.lit(f" {folded(d)} ")), F.lit(d)) for d in v.DISTRICTS]
-    inside = [F.when(F.contains(tight, F.lit(folded(d).replace(" ", ""))), F.lit(d)) for d in v.DISTRICTS]
-    ward = [F.when(F.contains(text, F.lit(f" {w} ")), F.lit(d)) for w, d in v.WARDS.items()]
-    return F.coalesce(*phrase, *inside, *ward)
+
+    def named(text: Column, tight: Column) -> Column:
+        phrase = [F.when(F.contains(text, F.lit(f" {folded(d)} ")), F.lit(d)) for d in v.DISTRICTS]
+        inside = [F.when(F.contains(tight, F.lit(folded(d).replace(" ", ""))), F.lit(d)) for d in v.DISTRICTS]
+        ward = [F.when(F.contains(text, F.lit(f" {w} ")), F.lit(d)) for w, d in v.WARDS.items()]
+        return F.coalesce(*phrase, *inside, *ward)
+
+    forms = F.struct(F.concat(F.lit(" "), normalize_text(c), F.lit(" ")).alias("text"), compact(c).alias("tight"))
+    return evaluated(forms, lambda f: named(f["text"], f["tight"]))
 
 
 def matches_district(document: Column, haystack: Column, district: str) -> Column:
@@ -36,9 +40,12 @@ def matches_year(year: Column, haystack: Column, wanted: int) -> Column:
 
 def planning_intent(question: Column) -> Column:
     """L1: a keyword; or, beside a place or a year, a land, structure or reason term; projects need both place and year."""
-    q = normalize_text(question)
     year = F.regexp_like(F.coalesce(question, F.lit("")), F.lit(r"\b20\d{2}\b"))
-    place = district_of(question).isNotNull() | q.rlike(r"\b(phuong|xa|thi tran)\b")
+    forms = F.struct(normalize_text(question).alias("q"), year.alias("year"), district_of(question).isNotNull().alias("district"))
+    return evaluated(forms, lambda f: _planned(f["q"], f["year"], f["district"] | f["q"].rlike(r"\b(phuong|xa|thi tran)\b")))
+
+
+def _planned(q: Column, year: Column, place: Column) -> Column:
     land = [m for m in v.LAND_ADMIN_TERMS if m not in v.PROJECT_TERMS]
     topical = contains_any(q, (*land, *v.REASON_TERMS, *v.STRUCTURAL_TERMS))
     return contains_any(q, v.PLANNING_KEYWORDS) | (topical & (place | year)) | (contains_any(q, v.PROJECT_TERMS) & place & year)
@@ -46,7 +53,11 @@ def planning_intent(question: Column) -> Column:
 
 def query_profile(question: Column, intent: Column | None = None) -> Column:
     """L2: eight flags, all false for a question that isn't about planning (L1, unless intent says so)."""
-    q = normalize_planning(question)
+    about = planning_intent(question) if intent is None else intent
+    return evaluated(F.struct(normalize_planning(question).alias("q"), about.alias("about")), lambda f: _profiled(f["q"], f["about"]))
+
+
+def _profiled(q: Column, about: Column) -> Column:
     says = lambda markers: contains_any(q, markers)
     structure = says(v.PROJECT_SUBJECTS) & says(v.PROJECT_STATES)
     focus = says(v.FOCUS_MARKERS) & q.rlike(r"(?:phuong|xa)\s+[a-z0-9]{2,}")
@@ -62,13 +73,15 @@ def query_profile(question: Column, intent: Column | None = None) -> Column:
         "fact": says(v.FACT_MARKERS) | explanatory, "explanatory": explanatory, "project_structure": structure, "focus_area_reason": focus, "sector_land_demand": demand,
         "drainage_transport": network, "carry_forward": structure & ~why & carried, "project_delay_reason": structure & why & says(v.DELAY_MARKERS),
     }
-    about = planning_intent(question) if intent is None else intent
     return F.struct(*((f & about).alias(k) for k, f in flags.items()))
 
 
 def query_intents(question: Column) -> Column:
     """Sixteen flags; short words (gia, ty, re) count whole."""
-    q = normalize_text(question)
+    return evaluated(normalize_text(question), _intents)
+
+
+def _intents(q: Column) -> Column:
     any_ = lambda *m: contains_any(q, m)
     direction = q.rlike(r"\bhuong\b")
     flags = {
@@ -137,8 +150,9 @@ def mentioned_post(c: Column) -> Column:
 def language_of(c: Column) -> Column:
     """L12 without a classifier: vi by its letters or by two of its common words (one in a text of six), else en."""
     words = F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
-    markers = F.size(F.filter(words, lambda w: w.isin(*v.VIETNAMESE)))
-    return F.when(F.lower(c).rlike("[ăâđêôơưáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]"), "vi").when(markers >= F.when(F.size(words) <= 6, 1).otherwise(2), "vi").otherwise("en")
+    count = F.struct(F.size(words).alias("words"), F.size(F.filter(words, lambda w: w.isin(*v.VIETNAMESE))).alias("markers"))
+    common = evaluated(count, lambda n: n["markers"] >= F.when(n["words"] <= 6, 1).otherwise(2))
+    return F.when(F.lower(c).rlike("[ăâđêôơưáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]"), "vi").when(common, "vi").otherwise("en")
 
 
 def _stripped(c: Column) -> Column:
