@@ -92,10 +92,12 @@ def within_budget(rows: DataFrame, per: str, order: str, content: str, docs: int
     return sofar.where((F.col("__n") < docs) & (F.col("__c") < characters)).drop("__n", "__c")
 
 
-def target_score(raw: Column, values: list, keys: dict[str, tuple[str, ...]] | None = None) -> Column:
+def target_score(raw: Column, values: list, keys: dict[str, tuple[str, ...]] | None = None, accents: bool = False) -> Column:
     """What a document's text says of the target's values (5 a fraction, 2 a number from 100 on, 1.1 less; 2.4 a
-    text of up to three words, 3.4 a longer one) and 0.55 for each marker of its keys."""
-    low, flat = F.lower(F.coalesce(raw, F.lit(""))), normalize_text(raw)
+    text of up to three words, 3.4 a longer one) and 0.55 for each marker of its keys. With accents, texts and markers are
+    looked for in the text as it is written, else in its normal form too."""
+    low = F.lower(F.coalesce(raw, F.lit("")))
+    flat = low if accents else normalize_text(raw)
     score = F.lit(0.0)
     for value in values:
         if value is None or isinstance(value, bool) or value == 0:

@@ -191,3 +191,9 @@ def test_post_types_and_token_usage(spark):
     ]
     df = spark.createDataFrame([(i, m) for i, (m, _) in enumerate(messages)], "i int, m string")
     assert [tuple(r.u) for r in df.select("i", evaluation.token_usage(F.col("m")).alias("u")).orderBy("i").collect()] == [x[1] for x in messages]
+
+
+def test_target_score_takes_accents_as_they_are_written(spark):
+    score = lambda text, **more: cases.target_score(F.lit(text), ["Licence"], {"k": ("apache",)}, **more)
+    row = spark.range(1).select(score("Épapachê, licènce").alias("folded"), score("Épapachê, licènce", accents=True).alias("written"), score("APACHE licence", accents=True).alias("both")).first()
+    assert tuple(round(x, 6) for x in row) == (2.95, 0.0, 2.95)
