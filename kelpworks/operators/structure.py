@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpworks.functions.text import clean_text, hierarchy_level, is_heading, is_new_item, is_project_line, is_table_line, normalize_match
+from kelpworks.functions.text import clean_text, edged, hierarchy_level, is_heading, is_new_item, is_project_line, is_table_line, normalize_match
 
 #: Levels, a number with its unit, how a continuation begins, and what announces one.
 LEVELS = (1, 2, 3, 4, 5)
-UNIT = r"\b\d+(?:[.,]\d+)?\s*(?:ha|m2|%|ty)\b"
-LEAD = r"^(?:[-+*]|\d+[.)]?|(?:tong|trong do|cu the|gom|la|dat|du an|cong trinh|ha)\b)"
+UNIT = edged(r"\b\d+(?:[.,]\d+)?\s*(?:ha|m2|%|ty)\b")
+LEAD = edged(r"^(?:[-+*]|\d+[.)]?|(?:tong|trong do|cu the|gom|la|dat|du an|cong trinh|ha)\b)")
 SIGNAL = r"(?::|la|gom|cu the|trong do)$"
 #: Characters and lines of a short block.
 SHORT_CHARS, SHORT_LINES = 260, 4

@@ -135,3 +135,13 @@ def test_neither_query_runs_python(spark, sf_dir):
         assert "Python" not in plan and "Arrow" not in plan
     with pytest.raises(AnalysisException):
         structure.heading_paths(spark.range(1), ["doc"], "n").count()
+
+
+def test_edges_of_words_are_ascii(spark):
+    from kelpworks.functions.text import is_heading, is_weak_chunk
+    from kelpworks.operators.structure import heading_level, starts_continuation
+
+    line = F.col("line")
+    rows = spark.createDataFrame([("Dieüßver",), ("Dieuver",), ("Chuong IIß",), ("laß",), ("5 haß",)], "line string")
+    found = rows.select(is_heading(line).alias("h"), heading_level(line).alias("l"), starts_continuation(line).alias("c"), is_weak_chunk(line).alias("w")).collect()
+    assert [tuple(r) for r in found] == [(True, 3, False, True), (False, None, False, True), (True, 1, False, True), (False, None, True, True), (True, None, True, False)]
