@@ -21,6 +21,10 @@ PLANNING = (
 )
 
 
+#: Parts of the rows: each task ranks the rows of a part for every scope, and a table of few columns is few files.
+PARTS = 128
+
+
 def with_dossier(questions: DataFrame) -> DataFrame:
     """Questions with the code of the dossier that their district and year name."""
     return questions.withColumn("dossier_code", F.when(F.col("plan_year").isNotNull() & (F.trim("district") != ""), district_code(F.col("district"), F.col("plan_year").cast("string"))))
@@ -41,7 +45,7 @@ def scoped(rows: DataFrame, questions: DataFrame, question_id: str, row_id: str,
     Questions without a row in any scope have no result; equal questions have one each if their ids differ; scopes with the
     same rows for a question are one scope, the first.
     """
-    keyed = _keys(rows, scopes, [F.col(row_id), F.struct(*order).alias("__order")])
+    keyed = _keys(rows.repartition(PARTS, row_id), scopes, [F.col(row_id), F.struct(*order).alias("__order")])
     counts = keyed.groupBy("place", "key").agg(F.count("*").alias("rows"))
     asked = _keys(questions, scopes, [F.col(question_id)]).join(counts, ["place", "key"])
     best = F.min(F.struct(F.when(F.col("rows") >= least, F.lit(0)).otherwise(-F.col("rows")).alias("worse"), F.col("place").alias("place"), F.col("key").alias("key")))
