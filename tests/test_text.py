@@ -130,3 +130,16 @@ def test_floor_filters_are_put_in_order(spark):
 )
 def test_planning_function(spark, of, value, wanted):
     assert one(spark, value, of) == wanted
+
+
+def test_texts_are_taken_from_a_batch_by_slices(monkeypatch):
+    import pyarrow as pa
+    from kelpworks.functions.text import by_slices
+    from kelpworks.operators import chunking
+
+    monkeypatch.setattr(chunking, "SLICE", 5)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["abc", None, "defg", "h"])], ["doc_id", "text"])
+    assert list(chunking.text_slices(batch)) == [[(1, "abc"), (2, None), (3, "defg")], [(4, "h")]]
+    texts = pa.array(["a", None] * 100)
+    assert by_slices(texts, str.upper).to_pylist() == ["A", None] * 100
+    assert by_slices(texts.slice(0, 0), str.upper).to_pylist() == []
