@@ -143,3 +143,15 @@ def test_texts_are_taken_from_a_batch_by_slices(monkeypatch):
     texts = pa.array(["a", None] * 100)
     assert by_slices(texts, str.upper).to_pylist() == ["A", None] * 100
     assert by_slices(texts.slice(0, 0), str.upper).to_pylist() == []
+
+
+def test_folding_goes_over_letters_without_marks_once(monkeypatch):
+    from types import SimpleNamespace
+    import unicodedata
+    from kelpworks.operators import search
+
+    asked = []
+    looked = lambda c: asked.append(c) or unicodedata.category(c)
+    monkeypatch.setattr(search, "unicodedata", SimpleNamespace(normalize=unicodedata.normalize, category=looked))
+    assert search.folded(" Đường Nguyễn\x1c\tVăn  ỪB 中Ⅷ́ ") == "duong nguyen van ub 中ⅷ" and search.folded("Plain  A") == "plain a" and search.folded(None) == ""
+    assert not [c for c in asked if c.isascii()]
