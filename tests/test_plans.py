@@ -1,5 +1,6 @@
 """Plans: what reaches the scan, what stays one stage, what is broadcast."""
 
+from pyspark.sql import functions as F
 from kelpworks.plans import registry
 
 
@@ -33,3 +34,15 @@ def test_bounded_ranks_drop_rows_before_the_shuffle(spark, sf_dir):
         text = plan(registry.queries()[name](spark, sf_dir))
         assert "WindowGroupLimit" in text, name
     assert "Window" not in plan(registry.queries()["keep_if_any"](spark, sf_dir))
+
+
+def test_own_products_are_taken_before_pairs_and_scoped_rows_are_dealt(spark, sf_dir):
+    from kelpworks.operators.search import best_matches
+    from kelpworks.plans.service import scoped_rows
+    from kelpworks.plans.tables import table
+
+    rows = table(spark, sf_dir, "embeddings")
+    plan = best_matches(rows, F.col("vec_id") % 100 == 0)._jdf.queryExecution().analyzed().toString()
+    pairs = [line for line in plan.split("\n") if "round(" in line]
+    assert pairs and all(line.count("aggregate(zip_with") == 1 for line in pairs)
+    assert "RepartitionByExpression [c_custkey" in scoped_rows(spark, sf_dir)._jdf.queryExecution().analyzed().toString()
