@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +55,7 @@ INVERSE = np.uint64(pow(int(POWER), -1, 2**64))
 
 def hashes_of(text: bytes | None) -> np.ndarray:
     words = text.translate(FOLD).split() if text else []
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def _powers(n: int, kept: list = [np.cumprod(np.full(4096, POWER)), np.cumprod(np.full(4096, INVERSE))]) -> list[np.ndarray]:  # noqa: B006
@@ -105,13 +104,12 @@ def seeds_of(h: np.ndarray, k: int, w: int, minimal: bool, apart: int = MIN_WORD
     again = np.flatnonzero(values[1:] == values[:-1]) + 1
     kept = np.ones(len(at), bool)
     last = {}
-    for i in again.tolist():
-        v = int(values[i])
-        before = last.setdefault(v, int(at[i - 1]))
-        if at[i] - before < apart:
+    for i, v, here, there in zip(again.tolist(), values[again].tolist(), at[again].tolist(), at[again - 1].tolist(), strict=True):
+        before = last.setdefault(v, there)
+        if here - before < apart:
             kept[i] = False
         else:
-            was[i], last[v] = before, int(at[i])
+            was[i], last[v] = before, here
     return values[kept], at[kept], was[kept]
 
 
@@ -182,24 +180,34 @@ def chains_of(i: np.ndarray, j: np.ndarray, k: np.ndarray, gap: float = GAP) ->
 
 
 def matched_in(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a longest common subsequence of two short stretches, by dynamic programming row by row over shared words."""
-    shared = set(u.tolist()) & set(v.tolist())
-    own, other = (np.array([n for n, w in enumerate(x.tolist()) if w in shared], np.int64) for x in (u, v))
-    u, v = u[own], v[other]
-    best = np.zeros((len(u) + 1, len(v) + 1), np.int16)
-    for x, word in enumerate(u):
-        best[x + 1, 1:] = np.maximum.accumulate(np.maximum(best[x, 1:], best[x, :-1] + (v == word)))
-    i, j, out = len(u), len(v), []
+    """Places of a longest common subsequence of two short stretches, by dynamic programming over shared words.
+
+    A row of the table is one number: its bit j is 0 where the length grows at the jth word of v.
+    """
+    u, v = u.tolist(), v.tolist()
+    shared = set(u) & set(v)
+    own, other = ([n for n, w in enumerate(x) if w in shared] for x in (u, v))
+    u, v = [u[n] for n in own], [v[n] for n in other]
+    places = dict.fromkeys(shared, 0)
+    for n, w in enumerate(v):
+        places[w] |= 1 << n
+    full = (1 << len(v)) - 1
+    rows = [full]
+    for w in u:
+        row = rows[-1]
+        same = row & places[w]
+        rows.append(((row + same) | (row - same)) & full)
+    i, j, at, to = len(u), len(v), [], []
     while i and j:
-        if u[i - 1] == v[j - 1] and best[i, j] == best[i - 1, j - 1] + 1:
+        if u[i - 1] == v[j - 1]:
             i, j = i - 1, j - 1
-            out.append((i, j))
-        elif best[i - 1, j] >= best[i, j - 1]:
-            i -= 1
+            at.append(own[i])
+            to.append(other[j])
+        elif (rows[i - 1] & (low := (1 << j) - 1)).bit_count() == (rows[i] & low).bit_count():
+            i -= 1  # as long without the word of u
         else:
             j -= 1
-    places = np.array(out[::-1], np.int64).reshape(-1, 2)
-    return own[places[:, 0]], other[places[:, 1]]
+    return np.array(at[::-1], np.int64), np.array(to[::-1], np.int64)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +233,7 @@ def aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.nd
     def between(x: int, y: int, until_x: int, until_y: int) -> None:
         """Columns of two stretches, none of which is a seed."""
         n, m = until_x - x, until_y - y
-        if n == m and (n < 3 or (a[x:until_x] == b[y:until_y]).mean() >= LEVEL):
+        if n == m and (n < 3 or np.count_nonzero(a[x:until_x] == b[y:until_y]) >= LEVEL * n):
             return beside(x, y, n)
         if n * m > CELLS:  # too long for one table: the surplus stands after what matches from the left
             head = min(n, m)
@@ -248,9 +256,9 @@ def aligned(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, k: np.nd
         n = m = 0
         while len(own := u[n : n + EDGE]) and len(other := v[m : m + EDGE]):
             level = min(len(own), len(other))
-            if (own[:level] == other[:level]).mean() >= LEVEL:
+            if np.count_nonzero(own[:level] == other[:level]) >= LEVEL * level:
                 step = level, level
-            elif len(set(own.tolist()) & set(other.tolist())) < LEVEL * min(level, len(set(own.tolist())), len(set(other.tolist()))):
+            elif len((x := set(own.tolist())) & (y := set(other.tolist()))) < LEVEL * min(level, len(x), len(y)):
                 break  # too few words in common, whatever their order
             else:
                 at, to = matched_in(own, other)
@@ -301,7 +309,10 @@ def passages_of(left: np.ndarray, right: np.ndarray, same: np.ndarray, least: in
         if np.count_nonzero(same[low:high]) < similar * least:
             continue
         l, r, own = left[low:high], right[low:high], same[low:high]
-        opens, closes = own & np.append(own[1:], False), own & np.insert(own[:-1], 0, False)
+        opens, closes = own.copy(), own.copy()
+        opens[:-1] &= own[1:]
+        closes[1:] &= own[:-1]
+        opens[-1] = closes[0] = False
         sums = np.concatenate([np.zeros(1), np.cumsum(gain[low:high])])
         # the last column at which a stretch may begin that ends with each column, so that both sides have enough words
         until = np.minimum(np.searchsorted(l, l + 1 - least, "right"), np.searchsorted(r, r + 1 - least, "right")) - 1
@@ -320,8 +331,8 @@ def passages_of(left: np.ndarray, right: np.ndarray, same: np.ndarray, least: in
 def _rows(docs: DataFrame, of, schema: str) -> DataFrame:
     """Rows that `of` makes from an id and a text, as columns; docs: id, text."""
     names = [x.split()[0] for x in schema.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
-    kinds = [types.get(x.split()[1], pa.list_(pa.int32())) for x in schema.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = [types[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -336,12 +347,20 @@ def _rows(docs: DataFrame, of, schema: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _structs(lists: pa.ListArray, *names: str) -> tuple[list[int], list[np.ndarray]]:
+    """Where each list of structs begins and ends, and fields of all of them."""
+    return lists.offsets.to_pylist(), [lists.values.field(c).to_numpy().astype(np.int64) for c in names]
+
+
 def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similar: float = SIMILAR) -> DataFrame:
     """doc_id, other_id (the smaller one), start, end, other_start, other_end, matched, copy (true: the texts are equal)."""
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     named = [F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.length("text").alias("n")]
-    twice = stored(base.select("id", *named).distinct().groupBy("id").agg(F.count("*").alias("texts"), F.min(F.struct("h1", "h2", "n")).alias("first")).where("texts > 1").select("id", "first"), "repeated-ids")
-    if not twice.isEmpty():
+    several = base.select("id", *named).groupBy("id", "h1", "h2", "n").agg(F.count("*").alias("rows")).groupBy("id").agg(F.count("*").alias("texts"), F.sum("rows").alias("rows"), F.min(F.struct("h1", "h2", "n")).alias("first"))
+    several = stored(several.where("rows > 1").select("id", "first", "texts"), "repeated-ids")
+    repeated = not several.isEmpty()
+    twice = several.where("texts > 1").select("id", "first")
+    if repeated and not twice.isEmpty():
         side = F.broadcast(twice) if twice.count() <= BROADCAST_KEYS else twice
         base = base.join(side, "id", "left").where(F.col("first").isNull() | (F.col("first") == F.struct(*named))).drop("first")
     copies = base.select("id", *named).groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("most"))
@@ -364,51 +383,61 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     shared = stored(placed.join(held.hint("shuffle_hash"), "seed"), "shared-seeds")
     first = stored(shared.where("id = other").groupBy("seed").agg(F.min("at").alias("there")), "first-seeds")
 
-    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for i, other, m in zip(f["id"], f["other"], f["m"], strict=True):
-                a, b, k = (np.array([x[c] for x in m], np.int64) for c in ("at", "there", "k"))
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [], [], [], [], [], []
+            ids, others = (batch.column(c).to_pylist() for c in (0, 1))
+            ends, (at, there, size) = _structs(batch.column(2), "at", "there", "k")
+            for i, other, begin, end in zip(ids, others, ends, ends[1:], strict=False):
+                a, b, k = (x[begin:end] for x in (at, there, size))
                 for n, c in enumerate(chains_of(a, b, k)):
-                    out.append((i, other, n, a[c].tolist(), b[c].tolist(), k[c].tolist()))
-            yield pd.DataFrame(out, columns=["id", "other", "chain", "i", "j", "k"])
+                    for column, x in zip(out, (i, other, n, a[c], b[c], k[c]), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 3), strict=True)], ["id", "other", "chain", "i", "j", "k"])
 
     def blocks(i: int, t: bytes) -> tuple:
         h = (hashes_of(t) >> np.uint64(32)).astype(np.uint32).view(np.int32)
         h[h == 0] = 1
         cuts = range(0, len(h), BLOCK)
-        return np.full(len(cuts), i), np.arange(len(cuts), dtype=np.int32), [h[c : c + BLOCK].tolist() for c in cuts]
+        return np.full(len(cuts), i), np.arange(len(cuts), dtype=np.int32), [h[c : c + BLOCK].tobytes() for c in cuts]
 
-    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "other_id", "start", "end", "other_start", "other_end", "matched"]
+        for batch in batches:
             out = []
-            for row in f.itertuples():
+            ids, others = (batch.column(c).to_pylist() for c in (0, 1))
+            places = [(x.offsets.to_pylist(), x.values.to_numpy().astype(np.int64)) for x in (batch.column(c) for c in (2, 3, 4))]
+            ends, (side, block) = _structs(batch.column(5), "side", "block")
+            words = batch.column(5).values.field("words").to_pylist()
+            for n, (id_, other) in enumerate(zip(ids, others, strict=True)):
+                own, k = slice(ends[n], ends[n + 1]), places[2][1][places[2][0][n] : places[2][0][n + 1]]
                 sides = []
-                for s, c in ((0, row.i), (1, row.j)):
-                    own = sorted(((x["block"], x["words"]) for x in row.got if x["side"] == s), key=lambda x: x[0])
-                    begin = own[0][0] * BLOCK
-                    sides.append((begin, np.concatenate([w for _, w in own]), np.asarray(c) - begin))
+                for s, (bounds, values) in enumerate(places[:2]):
+                    at = np.flatnonzero(side[own] == s) + own.start
+                    at = at[np.argsort(block[at])]
+                    begin = int(block[at[0]]) * BLOCK
+                    sides.append((begin, np.frombuffer(b"".join([words[x] for x in at.tolist()]), np.int32), values[bounds[n] : bounds[n + 1]] - begin))
                 (p, a, i), (q, b, j) = sides
-                left, right, same = aligned(a, b, i, j, np.asarray(row.k))
+                left, right, same = aligned(a, b, i, j, k)
                 for x, y in passages_of(left, right, same, min_words, similar):
                     s, e, t, u = (int(c) for c in (left[x], left[y - 1] + 1, right[x], right[y - 1] + 1))
-                    if min(e - s, u - t) >= min_words and (row.id != row.other or (q + u <= p + s and not periodic(a[s:e], similar))):
-                        out.append((row.id, row.other, p + s, p + e, q + t, q + u, int(same[x:y].sum())))
-            yield pd.DataFrame(out, columns=["doc_id", "other_id", "start", "end", "other_start", "other_end", "matched"])
+                    if min(e - s, u - t) >= min_words and (id_ != other or (q + u <= p + s and not periodic(a[s:e], similar))):
+                        out.append((id_, other, p + s, p + e, q + t, q + u, int(same[x:y].sum())))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64() if c < 2 else pa.int32()) for c in range(7)], names)
 
     def compared(links: DataFrame) -> DataFrame:
         """Stored passages of linked nodes; links: id, other, at, there, k."""
         matches = links.groupBy("id", "other").agg(F.collect_list(F.struct("at", "there", "k")).alias("m"))
-        chains = stored(matches.mapInPandas(chain, "id long, other long, chain int, i array<int>, j array<int>, k array<int>"), "chains")
+        chains = stored(matches.mapInArrow(chain, "id long, other long, chain int, i array<int>, j array<int>, k array<int>"), "chains")
         low = lambda c: F.greatest(F.floor((F.get(c, F.lit(0)) - MARGIN) / BLOCK), F.lit(0)).cast("int")
         high = lambda c: F.floor((F.element_at(c, -1) + F.element_at("k", -1) + MARGIN) / BLOCK).cast("int")
         wanted = lambda own, c, side: chains.select(F.col(own).alias("node"), F.explode(F.sequence(low(c), high(c))).alias("block"), "id", "other", "chain", F.lit(side).alias("side"))
         asked = wanted("id", "i", 0).unionByName(wanted("other", "j", 1))
         used = stored(chains.select(F.explode(F.array("id", "other")).alias("id")).distinct(), "chained")
-        fetched = _rows(only_or_without(nodes, used, "left_semi", ["id"]), blocks, "node long, block int, words array<int>").dropDuplicates(["node", "block"])
-        fetched = stored(fetched, "blocks")
+        fetched = _rows(only_or_without(nodes, used, "left_semi", ["id"]), blocks, "node long, block int, words binary")
+        fetched = stored(fetched.dropDuplicates(["node", "block"]) if repeated else fetched, "blocks")
         got = asked.join(fetched, ["node", "block"]).groupBy("id", "other", "chain").agg(F.collect_list(F.struct("side", "block", "words")).alias("got"))
-        rows = chains.join(got, ["id", "other", "chain"]).select("id", "other", "i", "j", "k", "got").mapInPandas(align, "doc_id long, other_id long, start int, end int, other_start int, other_end int, matched int")
+        rows = chains.join(got, ["id", "other", "chain"]).select("id", "other", "i", "j", "k", "got").mapInArrow(align, "doc_id long, other_id long, start int, end int, other_start int, other_end int, matched int")
         return stored(rows.distinct(), "passages")
 
     links = shared.where("id != other").join(first, "seed").select("seed", "id", "other", "at", "there", "k")
@@ -443,7 +472,9 @@ def find_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     again = again.where("id != other").join(there, "key").where("open or hub_open").select("id", "other", "at", "there", "k").distinct()
     found = found.unionByName(compared(again)).distinct()
     n = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    same = known.where("rep is not null and rep != id").select(F.col("id").alias("doc_id"), F.col("rep").alias("other_id"), n.alias("n")).where(F.col("n") >= min_words).distinct()
+    # words are counted where a text is a copy only: as a condition on both sides of the join it is not pushed below it
+    same = known.where("rep is not null and rep != id").select(F.col("id").alias("doc_id"), F.col("rep").alias("other_id"), F.when(F.col("rep") != F.col("id"), n).alias("n"))
+    same = same.where(F.col("n") >= min_words).distinct()
     whole = same.select("doc_id", "other_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.lit(0).alias("other_start"), F.col("n").alias("other_end"), F.col("n").alias("matched"), F.lit(True).alias("copy"))
     return found.withColumn("copy", F.lit(False)).unionByName(whole)
 

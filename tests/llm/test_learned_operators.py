@@ -93,6 +93,40 @@ def test_every_passage_over_fifty_words_is_found(spark, sf_dir):
         assert min(len(a), len(b)) >= 50 and r.other_id < r.doc_id and same >= r.matched >= 0.8 * max(len(a), len(b)) - 1
 
 
+def test_common_words_of_stretches_and_copies_counted_after_their_join(spark):
+    def plainly(u: list[int], v: list[int]) -> tuple[list[int], list[int]]:
+        best = [[0] * (len(v) + 1) for _ in range(len(u) + 1)]
+        for i, x in enumerate(u):
+            for j, y in enumerate(v):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        i, j, out = len(u), len(v), []
+        while i and j:
+            if u[i - 1] == v[j - 1]:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif best[i - 1][j] >= best[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return [x for x, _ in out[::-1]], [y for _, y in out[::-1]]
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        u, v = rng.integers(0, 12, rng.integers(0, 40)), rng.integers(0, rng.integers(1, 12), rng.integers(0, 90))
+        words = set(u.tolist()) & set(v.tolist())  # words of one side only take no part
+        own, other = ([n for n, w in enumerate(x.tolist()) if w in words] for x in (u, v))
+        at, to = plainly([int(u[n]) for n in own], [int(v[n]) for n in other])
+        assert [x.tolist() for x in substring_dedup.matched_in(u, v)] == [[own[n] for n in at], [other[n] for n in to]]
+
+    text = " ".join(f"w{n}" for n in range(60))
+    found = substring_dedup.find_passages(docs(spark, [text, text, "few words", "few words", "other"]))
+    assert [tuple(r)[2:] for r in found.collect()] == [(0, 60, 0, 60, 60, True)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :].split("\n", 1)[1]
+    assert "split(" in plan and "split(" not in below, "words are counted for every text, not for copies only"
+
+
+
 def test_passages_of_planted_texts(spark):
     rng = random.Random(3)
     p = prose(rng, 90)
