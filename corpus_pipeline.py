@@ -10,7 +10,7 @@ from kelpworks.llm.line_dedup import drop_lines
 from kelpworks.llm.mixing import domain_of, mix
 from kelpworks.llm.near_dedup import drop_near, near_groups
 from kelpworks.llm.quality import keep_good
-from kelpworks.llm.shared import BROADCAST_KEYS, stored, table
+from kelpworks.llm.shared import row_key, stored, table
 
 #: What makes near copies: words of a shingle and similarity in percent.
 SIZE, PERCENT = 5, 80
@@ -24,14 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose template recurs go; n_chars follows the text. The documents of a verified group of near copies count as one
     here, since the next stage keeps one of them: what only copies share is no boilerplate."""
-    names = docs.columns
-    groups = stored(near_groups(docs, size=SIZE, percent=PERCENT).where("id != component").select(F.col("id").alias("__id"), F.col("component").alias("__of")).dropDuplicates(["__id"]), "copies")
-    # the first of a group has its own id as the group's name
-    heads = groups.select(F.col("__of").alias("__id"), "__of").distinct()
-    of = stored(groups.unionByName(heads), "copies-of")
-    of = F.broadcast(of) if of.count() <= BROADCAST_KEYS else of
-    marked = docs.join(of, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    return drop_lines(marked, group="__of").withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    keyed = docs.select(row_key(F.col("doc_id"), F.col("text"))[0], "text")
+    groups = near_groups(keyed, "k1", size=SIZE, percent=PERCENT, native=True)
+    copies = groups.where("id != component").select(F.col("id").alias("k1"), F.col("component").alias("of")).distinct()
+    return drop_lines(docs, copies=copies).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

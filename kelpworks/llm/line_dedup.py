@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpworks.llm.shared import only_or_without, row_key, stored, table
+from kelpworks.llm.shared import lasting, only_or_without, passing, row_key, stored, table
 
 #: Documents that must share a template; leading tokens of a leaf; least share of fixed tokens.
 MIN_DOCS, DEPTH, SIMILAR = 10, 3, 0.5
@@ -70,13 +70,16 @@ def _enough(holders: DataFrame, by: list[str], min_docs: int) -> DataFrame:
     return holders.select(*by, "k1").distinct().groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(*by)
 
 
-def recurring(docs: DataFrame, doc_id: str, text: str, min_docs: int, depth: int, similar: float, group: str | None = None) -> DataFrame:
+def recurring(docs: DataFrame, doc_id: str, text: str, min_docs: int, depth: int, similar: float, group: str | None = None, copies: DataFrame | None = None) -> DataFrame:
     """k1, k2, place of every line whose template recurs."""
     keyed = _lines(docs, doc_id, text, group).withColumns({"l1": F.xxhash64("line"), "l2": F.hash("line")})
     lines = stored(keyed.select("k1", "k2", *([] if group is None else ["who"]), "place", leaf_of(F.col("line"), depth).alias("leaf"), *LINE), "lines")
     counted_lines = lines if group is None else lines.withColumn("k1", F.col("who"))
     leaves = stored(_enough(counted_lines, ["leaf"], min_docs), "leaves")
     held = stored(counted_lines.join(leaves, "leaf").select("leaf", *LINE, "k1").distinct(), "held-lines")
+    if copies is not None:
+        theirs = stored(held.join(copies, "k1", "left").select("leaf", *LINE, F.coalesce("of", "k1").alias("k1")).distinct(), "lines-of-groups")
+        held = stored(theirs.join(_enough(theirs, ["leaf"], min_docs), "leaf").select("leaf", *LINE, "k1"), "held-lines")
     counted = stored(held.groupBy("leaf", *LINE).agg(F.count("*").alias("docs")), "shared-lines")
 
     # the tokens of each different line; rest: hashes of those after the leading ones, 0 for a wildcard
@@ -126,12 +129,15 @@ def recurring(docs: DataFrame, doc_id: str, text: str, min_docs: int, depth: int
     return only_or_without(lines.select("k1", "k2", "place", *LINE), dropped, "left_semi", LINE).select("k1", "k2", "place")
 
 
-def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, copy: float | None = None, report: bool = False, group: str | None = None) -> DataFrame:
+def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR, copy: float | None = None, report: bool = False, group: str | None = None, copies: DataFrame | None = None) -> DataFrame:
     """docs without their recurring lines; with `report`, also `dropped` (their places) and `copied` (left whole)."""
     keys = ["k1", "k2"]
-    drops = recurring(docs, doc_id, text, min_docs, depth, similar, group).groupBy(*keys).agg(F.array_sort(F.collect_set("place")).alias("places"))
+    with passing(docs.sparkSession):
+        drops = recurring(docs, doc_id, text, min_docs, depth, similar, group, copies).groupBy(*keys).agg(F.array_sort(F.collect_set("place")).alias("places"))
+        drops = lasting(drops, "drops")
     own = docs.select(*row_key(F.col(doc_id), F.col(text)), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
-    both = own.join(stored(drops, "drops"), keys, "left").withColumn("text", F.col("row").getField(text))
+    # merged at every size, not broadcast where it is small: places are lists without a bound
+    both = own.join(drops.hint("merge"), keys, "left").withColumn("text", F.col("row").getField(text))
     both = both.withColumn("lines", F.when(F.col("places").isNotNull(), F.split("text", "\n")))
     lines, none = F.col("lines"), F.array().cast("array<int>")
     copied = F.lit(False)

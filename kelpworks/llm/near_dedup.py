@@ -13,6 +13,11 @@
 The chance that no band holds a pair of the threshold's similarity is (1 - 0.8^5)^30 = 7e-6, that the estimate drops
 it 2e-6. Buckets and groups are only counted, joined and reduced, never gathered.
 
+A caller that runs no Python (`native`) gets other candidates from the same sets: all begin with the smallest of its
+shingles' hashes. A set of at most FEW has those that it must share with any set that is similar enough (a prefix); of a
+larger one, the ROWS smallest from the start of each of 2^5 equal ranges of hashes on are a band. The chance that no band
+holds a pair of the threshold's similarity is at most (1 - 0.8^5)^32 = 3e-6; full sets are compared without an estimate.
+
 Defined results: a null text, one without words, has an empty set, links with nothing and is kept; a row whose id is
 null takes the id of its group, or none, and is kept in the latter case; repeated rows share one result; other columns
 are left alone.
@@ -25,16 +30,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpworks.llm.components import components
-from kelpworks.llm.shared import LOWER, UPPER, only_or_without, stored, table
+from kelpworks.llm.shared import LOWER, UPPER, lasting, only_or_without, passing, stored, table
 
 BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 #: Fixed values of the sketch: base, rate, and the largest register.
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
+#: Native sketches: sets up to this size have a prefix; bits of a hash that name its range.
+FEW, RANGE_BITS = 150, 5
 FOLD = bytes.maketrans(UPPER, LOWER)
 SEEDS = np.random.default_rng(7).integers(1, 2**63, size=(2, REGISTERS), dtype=np.uint64) | np.uint64(1)
 
@@ -129,15 +136,44 @@ def sketch(docs: DataFrame, size: int, doc_id: str, text: str, sets: bool = Fals
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, s1 long, s2 long, n long, {more}")
 
 
+def bound(c: Column, use) -> Column:
+    """use(c), with c worked out once for a row."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def native_sketch(docs: DataFrame, size: int, doc_id: str, text: str, percent: int, sets: bool = False) -> DataFrame:
+    """As sketch, by built-in functions and without registers."""
+
+    def shingles(words: Column) -> Column:  # of fewer words than `size` the missing ones are null, which the hash leaves out
+        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0))), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))
+        return F.when(F.size(words) > 0, F.sort_array(F.array_distinct(each))).otherwise(F.array().cast("array<long>"))
+
+    def keys(own: Column) -> Column:
+        n = F.size(own)
+        few = F.slice(own, F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.shiftright(F.get(own, i - 1), 64 - RANGE_BITS) != F.shiftright(F.get(own, i - 2), 64 - RANGE_BITS)))
+        many = bound(F.concat(own, F.slice(own, 1, ROWS - 1)), lambda ring: F.transform(starts, lambda i: F.xxhash64(F.slice(ring, i, F.lit(ROWS)))))
+        none = F.array().cast("array<long>")
+        return F.when(n == 0, none).otherwise(F.concat(F.when(n * percent <= FEW * 100, few).otherwise(none), F.when(n > FEW, many).otherwise(none)))
+
+    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    lower = F.when(F.length(own) == F.octet_length(own), F.lower(own)).otherwise(F.translate(own, UPPER.decode(), LOWER.decode()))
+    words = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    name = lambda s, of: F.when(F.size(s) > 0, of)
+    own = bound(bound(hashes, shingles), lambda s: F.struct(name(s, F.xxhash64(s)).alias("s1"), name(s, F.xxhash64(F.lit(size), s)).alias("s2"), F.size(s).cast("long").alias("n"), s.alias("shingles") if sets else keys(s).alias("bands")))
+    # a generator, so that no filter or projection above works it out again
+    return docs.select(F.col(doc_id).alias("id"), F.inline(F.array(own)))
+
+
 PAIR = ["a1", "a2", "b1", "b2"]
 
 
-def verified(pairs: DataFrame, regs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have at least so many percent in common; those that the sketches rule out go first."""
+def likely_pairs(pairs: DataFrame, regs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the sketches do not rule out."""
     least = percent / 100 - 4.6 * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
-    of = lambda df, s, *cols: df.select(F.col("s1").alias(f"{s}1"), F.col("s2").alias(f"{s}2"), *(F.col(c).alias(f"{s}_{c}") for c in cols))
-    both = pairs.join(of(regs, "a", "n", "regs"), ["a1", "a2"]).join(of(regs, "b", "n", "regs"), ["b1", "b2"])
-    both = both.where((F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & ~((F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")))).select(*PAIR, "a_n", "b_n", "a_regs", "b_regs")
+    of = lambda s: regs.select(F.col("s1").alias(f"{s}1"), F.col("s2").alias(f"{s}2"), F.col("n").alias(f"{s}_n"), F.col("regs").alias(f"{s}_regs"))
+    both = pairs.join(of("a"), ["a1", "a2"]).join(of("b"), ["b1", "b2"])
 
     def likely(frames):
         for f in frames:
@@ -146,8 +182,13 @@ def verified(pairs: DataFrame, regs: DataFrame, sets: DataFrame, percent: int) -
                 f = f[likeliest(x, y, f["a_n"].to_numpy(float), f["b_n"].to_numpy(float)) >= least]
             yield f[PAIR]
 
-    chosen = stored(both.mapInPandas(likely, "a1 long, a2 long, b1 long, b2 long"), "likely")
-    full = chosen.join(of(sets, "b", "shingles"), ["b1", "b2"]).join(of(sets, "a", "shingles"), ["a1", "a2"])
+    return stored(both.select(*PAIR, "a_n", "b_n", "a_regs", "b_regs").mapInPandas(likely, "a1 long, a2 long, b1 long, b2 long"), "likely")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets have at least so many percent in common."""
+    of = lambda s: sets.select(F.col("s1").alias(f"{s}1"), F.col("s2").alias(f"{s}2"), F.col("shingles").alias(f"{s}_shingles"))
+    full = pairs.join(of("b"), ["b1", "b2"]).join(of("a"), ["a1", "a2"])
     same = F.size(F.array_intersect("a_shingles", "b_shingles"))
     return stored(full.where(100 * same >= percent * (F.size("a_shingles") + F.size("b_shingles") - same)).select(*PAIR), "links")
 
@@ -174,32 +215,43 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.join(y, on).select(F.col("x_s1").alias("a1"), F.col("x_s2").alias("a2"), F.col("y_s1").alias("b1"), F.col("y_s2").alias("b2")).distinct()
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """id, n (set size), component (smallest id of the group), one row per row of docs."""
-    sketches = stored(sketch(docs, size, doc_id, text), "sketches")
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, native: bool = False) -> DataFrame:
+    """id, n (set size), component (smallest id of the group), one row per row of docs, stored; with `native`, by built-in functions only."""
+    with passing(docs.sparkSession):
+        return lasting(_near_groups(docs, doc_id, text, size, percent, native), "groups-of-rows")
+
+
+def _near_groups(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, native: bool) -> DataFrame:
+    sketched = lambda df, doc_id, text, **more: native_sketch(df, size, doc_id, text, percent, **more) if native else sketch(df, size, doc_id, text, **more)
+    sketches = stored(sketched(docs, doc_id, text), "sketches")
     nodes = stored(sketches.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "nodes")
-    placed = sketches.select("s1", "s2", F.explode("bands").alias("band"))
+    placed = sketches.select("s1", "s2", "n", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low != high").select("band")
-    members = stored(placed.join(shared, "band").select("band", "s1", "s2").distinct(), "members")
+    members = stored(placed.join(shared, "band").select("band", "s1", "s2", "n").distinct(), "members")
     counts = stored(members.groupBy("band").agg(F.count("*").alias("held")), "bands")
     degree = stored(members.join(counts, "band").groupBy("s1", "s2").agg(F.sum("held").alias("degree")), "degrees")
-    hubs = stored(members.join(degree, ["s1", "s2"]).groupBy("band").agg(F.max(F.struct("degree", "s1", "s2")).alias("hub")).select("band", F.col("hub.s1").alias("a1"), F.col("hub.s2").alias("a2")), "hubs")
-    pairs = stored(members.join(hubs, "band").where((F.col("s1") != F.col("a1")) | (F.col("s2") != F.col("a2"))).select("a1", "a2", F.col("s1").alias("b1"), F.col("s2").alias("b2")).distinct(), "pairs")
+    hubs = stored(members.join(degree, ["s1", "s2"]).groupBy("band").agg(F.max(F.struct("degree", "s1", "s2", "n")).alias("hub")).select("band", F.col("hub.s1").alias("a1"), F.col("hub.s2").alias("a2"), F.col("hub.n").alias("a_n")), "hubs")
+    sizes = F.least("n", "a_n") * 100 >= F.greatest("n", "a_n") * percent
+    pairs = stored(members.join(hubs, "band").where(((F.col("s1") != F.col("a1")) | (F.col("s2") != F.col("a2"))) & sizes).select("a1", "a2", F.col("s1").alias("b1"), F.col("s2").alias("b2")).distinct(), "pairs")
 
     inner = stored(degree.join(nodes, ["s1", "s2"]).select("s1", "s2", F.col("rep").alias("id")), "inner")  # nodes with a candidate
-    regs = only_or_without(sketches.select("id", "s1", "s2", "n", "regs"), inner, "left_semi", ["id", "s1", "s2"])
-    regs = stored(regs.select("s1", "s2", "n", "regs"), "registers")
+    if not native:
+        regs = only_or_without(sketches.select("id", "s1", "s2", "n", "regs"), inner, "left_semi", ["id", "s1", "s2"])
+        regs = stored(regs.select("s1", "s2", "n", "regs"), "registers")
     texts = only_or_without(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), inner, "left_semi", ["id"])
-    sets = only_or_without(sketch(texts, size, "id", "text", sets=True), inner, "left_semi", ["id", "s1", "s2"]).select("s1", "s2", "shingles")
+    sets = only_or_without(sketched(texts, "id", "text", sets=True), inner, "left_semi", ["id", "s1", "s2"]).select("s1", "s2", "shingles")
     sets = stored(sets, "sets")
-    if regs.count() > inner.count():  # repeated rows
-        regs, sets = (stored(x.dropDuplicates(["s1", "s2"]), "once") for x in (regs, sets))
+    if sets.count() > inner.count():  # repeated rows
+        sets = stored(sets.dropDuplicates(["s1", "s2"]), "once")
+        if not native:
+            regs = stored(regs.dropDuplicates(["s1", "s2"]), "once")
+    checked = lambda pairs: verified(pairs if native else likely_pairs(pairs, regs, percent), sets, percent)
 
     named = nodes.select("s1", "s2", F.struct("rep", "s1", "s2").alias("node"))
     label = lambda links: components(
         links.join(named.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("node").alias("a")), ["a1", "a2"]).join(named.select(F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("node").alias("b")), ["b1", "b2"]), "groups"
     )
-    links = verified(pairs, regs, sets, percent)
+    links = checked(pairs)
     labels = label(links)
 
     # what one bucket holds but the links with its hub don't connect: the nodes outside its largest group against all of these
@@ -211,7 +263,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     open_ = many.join(largest, "band")
     open_ = stored(open_.groupBy("s1", "s2", "group").agg(F.max(F.col("group") != F.col("top")).alias("outside")), "open")
     rest = prefix_pairs(open_, sets, percent)
-    more = verified(stored(rest, "rest"), regs, sets, percent)
+    more = checked(stored(rest, "rest"))
     if not more.isEmpty():
         labels = label(links.unionByName(more))
 
@@ -225,7 +277,7 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
 
     An id names one document: rows of one id go or stay together, and of those with one text the first is kept.
     """
-    found = stored(near_groups(docs, doc_id, text, size, percent), "groups-of-rows")
+    found = near_groups(docs, doc_id, text, size, percent)
     gone = found.where("id != component").select(F.col("id").alias("__id"))
     kept = only_or_without(docs.withColumn("__id", F.col(doc_id)), gone, "left_anti", ["__id"])
     again = stored(found.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("__id")), "repeated")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +27,42 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of the tables stored since the innermost `passing` began.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: this cuts lineage and survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/kelpworks-{name}-{uuid.uuid4().hex}"
+    if (tables := _PASSING.get()) is not None:
+        tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within are deleted at the end, so what is returned must be stored `lasting`."""
+    tables: list[str] = []
+    token = _PASSING.set(tables)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in tables:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """df stored beyond the `passing` around it."""
+    tables = _PASSING.get()
+    found = stored(df, name)
+    if tables is not None:
+        tables.pop()
+    return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -63,6 +63,30 @@ def test_rows_without_an_id_follow_their_group(spark):
     assert found == {(None, 3), (3, 3), (None, None)}
 
 
+@pytest.mark.parametrize("size", [2, 5])
+def test_native_near_groups_agree_with_brute_force(spark, size):
+    """Sets below and above FEW and at its border, links of every size from one changed word to the threshold, odd rows."""
+    rng = random.Random(size)
+    texts = [None, "", " \t", "one", "ONE", "two words", "a b c d e", "A b C\x0bd e", "Ä b c d e", "ä b c d e", "x " * 3_000]
+    for n in (8, 40, 120, 150, 160, 185, 190, 400, 900):
+        core = prose(rng, n)
+        for changes in (0, 1, n // 60, n // 55, n // 50, n // 45, n // 20, n // 10):
+            out = list(core)
+            for i in rng.sample(range(n), changes):
+                out[i] = f"z{rng.randrange(10**9)}"
+            texts.append(" ".join(out).upper() if changes == 1 else " ".join(out))
+    chain = [prose(rng, 200)]
+    for _ in range(6):
+        chain.append(list(chain[-1]))
+        for i in rng.sample(range(200), 3):
+            chain[-1][i] = f"z{rng.randrange(10**9)}"
+    texts += [" ".join(x) for x in chain]
+    wanted = brute.near(list(enumerate(texts)), size)
+    found = near_dedup.near_groups(docs(spark, texts), size=size, native=True).collect()
+    assert {r.id: r.component for r in found} == wanted and len(found) == len(texts)
+    assert {r.id: r.n for r in found} == {i: len(brute.shingles(t, size)) for i, t in enumerate(texts)}
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     every = rng.integers(0, 2**63, 3000).astype(np.uint64)
@@ -451,6 +475,25 @@ def test_pipeline_cleans_boilerplate_and_keeps_one_copy(spark, sf_dir):
     assert {r.doc_id for r in stages["near dedup"](spark, cleaned, sf_dir).collect()} == {*range(41)}
 
 
+def test_line_stage_runs_no_python_and_clears_its_tables(spark, sf_dir, monkeypatch):
+    """Groups of copies are found by built-in functions; of its tables, only those that the result reads are left."""
+    import pathlib
+
+    monkeypatch.setattr(near_dedup, "sketch", None)
+    monkeypatch.setattr(near_dedup, "likeliest", None)
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.glob("kelpworks-*"))
+    texts = ["\n".join([*(f"copied line {w} of this text alone" for w in "abcdefghijklmnop"), f"ending {'abcdefghijkl'[i]}"]) for i in range(12)]
+    texts += [f"some text {w} of its own\nshare this page with all" for w in "abcdefghijkl"] + [None]
+    rows = spark.createDataFrame([(None if i == 3 else i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["line dedup"](spark, rows, sf_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(((r.doc_id, r.text.replace("\nshare this page with all", "") if r.text else None) for r in rows.collect()), key=str)
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.glob("kelpworks-*")) - before} == {"kelpworks-groups-of-rows", "kelpworks-drops"}
+
+
 def test_pipeline_of_odd_rows(spark, sf_dir):
     odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "some words here", "en", None, 15), (4, "some words here", "en", "s", 15), (4, "some words here", "en", "s", 15)], "doc_id long, text string, lang string, source string, n_chars long")
     for df in (odd, odd.limit(0)):
