@@ -133,7 +133,7 @@ WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 20 AND 80 AN
 
 def label_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every vector whose id is divisible by 100 the label of the best match among all others."""
-    return best_matches(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return best_matches(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, nulls=True)
 
 
 NEIGHBOURS = f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round({_COS}, 6) AS score FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q ON q.vec_id <> e.vec_id)
